@@ -193,7 +193,7 @@ def write_shards(docs: DataFrame, tokenizer: str, to: str, *, id_col: str = "doc
                 fs, root = common.filesystem(to)
                 fs.create_dir(root, recursive=True)
                 name = f"{uuid.uuid4().hex}.tok.zst"
-                shard = ShardWriter(fs.open_output_stream(f"{root}/.{name}"), make.dtype.str, level)
+                shard = ShardWriter(fs.open_output_stream(f"{root}/.{name}", compression=None), make.dtype.str, level)
                 first = (ids[0], part.column(2)[0].as_py())
             for i, tokens in zip(ids, make.encode(texts), strict=True):
                 shard.add(i, tokens + end)
