@@ -7,6 +7,7 @@ import importlib
 #: Modules with an ``op…`` query, in the order of their numbers.
 MODULES = {
     "op1_token_files": "token_files",
+    "op2_decontamination": "decontamination",
     "op5_bpe_round_trip": "bpe",
     "op9_token_counts": "token_counts",
 }
