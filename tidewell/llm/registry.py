@@ -9,6 +9,7 @@ MODULES = {
     "op1_token_files": "token_files",
     "op2_decontamination": "decontamination",
     "op5_bpe_round_trip": "bpe",
+    "op8_quality_rules": "quality",
     "op9_token_counts": "token_counts",
 }
 
