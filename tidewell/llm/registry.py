@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_token_files": "token_files",
     "op2_decontamination": "decontamination",
+    "op4_order_minhash": "near_dedup",
     "op5_bpe_round_trip": "bpe",
     "op8_quality_rules": "quality",
     "op9_token_counts": "token_counts",
