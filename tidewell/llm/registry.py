@@ -10,6 +10,8 @@ MODULES = {
     "op2_decontamination": "decontamination",
     "op4_order_minhash": "near_dedup",
     "op5_bpe_round_trip": "bpe",
+    "op6_additive_quantisation": "neighbours",
+    "op7_warc_zip": "warc_zip",
     "op8_quality_rules": "quality",
     "op9_token_counts": "token_counts",
 }
