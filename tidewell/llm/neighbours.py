@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import common
 
-BOOKS, WORDS, BEAM = 8, 128, 4
-TRAIN_ROWS = 8_000
-RERANK = 400
+BOOKS, WORDS, BEAM = 16, 256, 2
+TRAIN_ROWS = 6_000
+#: Of a partition's vectors, so many and at least this share are ranked again by exact distances.
+RERANK, RERANK_SHARE = 400, 1 / 32
 BLOCK = 1024
 
 
@@ -44,7 +45,7 @@ class AdditiveQuantiser:
         self.square = (self.books**2).sum(2)
 
     @classmethod
-    def fit(cls, x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 7) -> AdditiveQuantiser:
+    def fit(cls, x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 5, seed: int = 7) -> AdditiveQuantiser:
         """k-means on the residuals that the codebooks before leave."""
         rng, left, out = np.random.default_rng(seed), x.astype(np.float32).copy(), []
         for _ in range(books):
@@ -52,9 +53,10 @@ class AdditiveQuantiser:
             c = left[rng.choice(len(left), k, replace=False)]
             for _ in range(rounds):
                 own = ((c**2).sum(1) - 2 * left @ c.T).argmin(1)
-                total = np.zeros_like(c)
-                np.add.at(total, own, left)
                 n = np.bincount(own, minlength=k)
+                order = np.argsort(own, kind="stable")
+                total = np.zeros_like(c)
+                total[n > 0] = np.add.reduceat(left[order], (np.cumsum(n) - n)[n > 0])
                 c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c).astype(np.float32)
             own = ((c**2).sum(1) - 2 * left @ c.T).argmin(1)
             left -= c[own]
@@ -163,7 +165,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
                 t = tables[i] * 2
                 for c in columns:
                     near -= t[c]
-                m = min(rerank, len(near))
+                m = min(max(rerank, int(len(near) * RERANK_SHARE)), len(near))
                 top = np.argpartition(near, m - 1)[:m]
                 top = top[ids[top] != q_ids[i]]
                 d = exact(q[i], x[top])

@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_token_files": "token_files",
     "op2_decontamination": "decontamination",
+    "op3_html_text": "html_text",
     "op4_order_minhash": "near_dedup",
     "op5_bpe_round_trip": "bpe",
     "op6_additive_quantisation": "neighbours",
