@@ -15,6 +15,7 @@ MODULES = {
     "op7_warc_zip": "warc_zip",
     "op8_quality_rules": "quality",
     "op9_token_counts": "token_counts",
+    "op10_secret_forest": "secrets",
 }
 
 
