@@ -1,10 +1,34 @@
-"""The corpus pipeline: each stage reads what the one before kept."""
+"""The corpus pipeline: each stage reads what the one before kept.
+
+All stages but the last return the columns of documents; each works on all the
+documents its predecessor kept, and the table is written between the stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, common
+from tidewell.llm import bpe, common, decontamination, near_dedup, quality, secrets
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dedup.survivors(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark for each secret."""
+    return secrets.redacted(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,9 +36,15 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs)
 
 
-STAGES = [("bpe", bpe_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("bpe", bpe_stage),
+]
 
-#: SQL can't express byte-pair encoding and the stages before it.
+#: SQL can't express trees, sketches, alignment, forests and byte-pair encoding.
 ORACLE_SQL = None
 
 
