@@ -1,4 +1,9 @@
-"""Registry of the library's own queries and their SQL counterparts."""
+"""The library's own queries, one an operator, and the SQL that says the same.
+
+Each entry has a name, a function of the session and the tables' folder, and
+DuckDB SQL. Computed columns have one name on both sides; sums of doubles are
+rounded, as they depend on the order of addition.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +12,328 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions import filters as fl
+from tidewell.functions import types as ty
+from tidewell.functions import vectors
+from tidewell.operators import enrich, joins, shape
+from tidewell.plans import checkpoints, sinks
+from tidewell.plans.gateway import Gateway
+from tidewell.sources import cube, files, jdbc
+from tidewell.streaming import bookmarks
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ENTRIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _gateway(spark: SparkSession, sf_dir: str, name: str, **more) -> Gateway:
+    return Gateway(spark, files.ParquetSource(f"{sf_dir}/{name}.parquet"), **more)
+
+
+def _entry(name: str, query: Query, sql: str | None = None) -> None:
+    _ENTRIES[name] = (query, sql)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A scratch dataset for round trips: below the checkpoint folder that executors share, or in the warehouse."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tidewell-{name}-{uuid.uuid4().hex}"
 
 
+# ------------------------------------------------------------------ flagship
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by nation and ship year of shipped, discounted line items."""
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"))
-    )
+    """Totals of line items shipped before a day, by flag and status."""
+    return _gateway(spark, sf_dir, "lineitem").load(
+        l_shipdate__lt="1998-09-02",
+        columns=["l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"],
+        df_options={"group_by_expr": ["l_returnflag", "l_linestatus"], "group_expr": {"l_quantity": "sum", "l_extendedprice": "sum"}},
+    ).select("l_returnflag", "l_linestatus", F.round("l_quantity", 2).alias("l_quantity"), F.round("l_extendedprice", 2).alias("l_extendedprice"))
+
+
+_entry("flagship", flagship, "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) l_quantity, round(sum(l_extendedprice), 2) l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02' GROUP BY ALL")
+
+
+# ------------------------------------------------------------------- filters
+def _filter(name: str, table: str, columns: str, where: str, *, exclude: bool = False, **filters) -> None:
+    names = columns.split()
+    _entry(name, lambda s, d: _gateway(s, d, table).load(filters, columns=names, exclude=exclude), f"SELECT {', '.join(names)} FROM {table} WHERE {where}")
+
+
+_O = "o_orderkey o_orderstatus o_totalprice"
+_filter("filter_exact", "orders", _O, "o_orderstatus = 'F'", o_orderstatus="F")
+_filter("filter_not_exact", "orders", _O, "o_orderstatus <> 'F'", o_orderstatus__ne="F")
+_filter("filter_gt", "orders", _O, "o_totalprice > 200000", o_totalprice__gt=200000)
+_filter("filter_gte", "orders", _O, "o_orderkey >= 100", o_orderkey__gte=100)
+_filter("filter_lt", "orders", _O, "o_totalprice < 50000", o_totalprice__lt=50000)
+_filter("filter_lte", "orders", _O, "o_orderkey <= 500", o_orderkey__lte=500)
+_filter("filter_in", "orders", _O, "o_orderkey IN (1, 2, 3, 5, 8, 13)", o_orderkey__in=[1, 2, 3, 5, 8, 13, 13])
+_filter("filter_not_in", "orders", _O, "o_orderstatus NOT IN ('F', 'O')", o_orderstatus__nin=["F", "O"])
+_filter("filter_in_empty", "orders", _O, "false", o_orderkey__in=[])
+_filter("filter_not_in_empty", "orders", _O, "true", o_orderkey__not_in=[])
+_filter("filter_range", "orders", _O, "o_totalprice BETWEEN 100000 AND 150000", o_totalprice__range=[100000, 150000])
+_P = "p_partkey p_name p_type"
+_filter("filter_contains", "part", _P, "contains(p_type, 'E')", p_type__contains="E")
+_filter("filter_not_contains", "part", _P, "NOT contains(p_type, 'E')", p_type__not_contains="E")
+_filter("filter_startswith", "part", _P, "starts_with(p_type, 'S')", p_type__startswith="S")
+_filter("filter_endswith", "part", _P, "suffix(p_type, 'L')", p_type__endswith="L")
+_filter("filter_icontains", "part", _P, "contains(lower(p_name), 'part')", p_name__icontains="PART")
+_filter("filter_istartswith", "part", _P, "starts_with(lower(p_type), 's')", p_type__istartswith="s")
+_filter("filter_iendswith", "part", _P, "suffix(lower(p_type), 'l')", p_type__iendswith="L")
+_filter("filter_iexact", "orders", _O, "lower(o_orderstatus) = 'f'", o_orderstatus__iexact="f")
+_filter("filter_regex", "part", _P, "regexp_matches(p_name, '[0-4]$')", p_name__regex="[0-4]$")
+_filter("filter_iregex", "part", _P, "regexp_matches(p_type, '^s', 'i')", p_type__iregex="^s")
+_filter("filter_isnull", "orders", _O, "o_orderstatus IS NOT NULL", o_orderstatus__isnull=False)
+_E = "event_id user_id event_type"
+for _cast, _value, _sql in (
+    ("year", 2024, "year(ts) = 2024"),
+    ("month", 1, "month(ts) = 1"),
+    ("day", 2, "day(ts) = 2"),
+    ("hour", 3, "hour(ts) = 3"),
+    ("minute", 5, "minute(ts) = 5"),
+    ("second", 7, "CAST(floor(second(ts)) AS INT) = 7"),
+    ("week_day", 0, "isodow(ts) - 1 = 0"),
+):
+    _filter(f"filter_cast_{_cast}", "events", _E, _sql, **{f"ts__{_cast}": _value})
+_filter("filter_cast_date", "events", _E, "CAST(ts AS DATE) <= DATE '2024-01-10'", ts__date__lte="2024-01-10")
+_filter("filter_cast_date_range", "orders", _O, "CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'", o_orderdate__date__range=["1996-01-01", "1996-03-31"])
+_filter("filter_cast_time", "events", _E, "hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) >= 43200", ts__time__gte="12:00:00")
+_filter("filter_and", "orders", _O, "o_totalprice > 100000 AND o_orderstatus = 'O'", **{"$and": [{"o_totalprice__gt": 100000}, {"o_orderstatus": "O"}]})
+_filter("filter_or", "orders", _O, "o_totalprice < 20000 OR o_orderstatus = 'P'", **{"$or": [{"o_totalprice__lt": 20000}, {"o_orderstatus": "P"}]})
+_filter("filter_not", "orders", _O, "NOT (o_orderstatus = 'F' AND o_totalprice > 100000)", **{"$not": {"o_orderstatus": "F", "o_totalprice__gt": 100000}})
+_filter("filter_exclude", "orders", _O, "NOT (o_orderstatus = 'O')", exclude=True, o_orderstatus="O")
+_entry("filter_sticky", lambda s, d: _gateway(s, d, "orders", filters={"o_orderstatus": "F", "o_totalprice__gt": 1}).load(o_totalprice__gt=150000, columns=_O.split()), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000")
+_entry("filter_period", lambda s, d: _gateway(s, d, "orders").load_period("o_orderdate", "1996-02-01", "1996-02-20", columns=_O.split()), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-02-01' AND TIMESTAMP '1996-02-20'")
+_entry("filter_tuples", lambda s, d: fl.apply(_table(s, d, "orders"), fl.parse_tuples([("o_totalprice", ">", 1e5), ("o_orderstatus", "not in", ["F"])])).select(*_O.split()), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus NOT IN ('F')")
+
+
+def _nulled(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("status"))
+
+
+_N = "(SELECT o_orderkey, nullif(o_orderstatus, 'P') status FROM orders)"
+_entry("filter_in_null", lambda s, d: fl.apply(_nulled(s, d), status__in=["F", None]), f"SELECT * FROM {_N} WHERE status = 'F' OR status IS NULL")
+_entry("filter_not_in_null", lambda s, d: fl.apply(_nulled(s, d), status__not_in=["F", None]), f"SELECT * FROM {_N} WHERE status <> 'F' AND status IS NOT NULL")
+_entry("filter_null_logic", lambda s, d: fl.apply(_nulled(s, d), {"$not": {"status": "F"}}), f"SELECT * FROM {_N} WHERE NOT (status = 'F')")
+
+# ---------------------------------------------------------- names and shape
+_MAP = {"c_custkey": "customer_id", "c_name": "full_name", "c_acctbal": "balance", "c_mktsegment": "segment", "c_nationkey": "nation_id"}
+_entry("select_fields", lambda s, d: _gateway(s, d, "customer").load(columns=["c_custkey", "c_name", "no_such"]), "SELECT c_custkey, c_name FROM customer")
+_entry("rename_field_map", lambda s, d: _gateway(s, d, "customer", field_map=_MAP).load({"$or": [{"segment": "BUILDING"}, {"balance__lt": 0}]}, columns=["customer_id", "balance", "segment"]), "SELECT c_custkey customer_id, c_acctbal balance, c_mktsegment segment FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0")
+_entry("column_names", lambda s, d: _gateway(s, d, "region").load(df_options={"column_names": ["id", "name"]}), "SELECT r_regionkey id, r_name name FROM region")
+_entry("with_columns", lambda s, d: shape.with_columns(_table(s, d, "nation").select("n_nationkey", "n_name"), {"shout": F.upper("n_name"), "twice": "n_nationkey * 2"}), "SELECT n_nationkey, n_name, upper(n_name) shout, n_nationkey * 2 twice FROM nation")
+_entry("sort_asc", lambda s, d: shape.sort(_table(s, d, "nation"), "n_name"), "SELECT * FROM nation ORDER BY n_name NULLS LAST")
+_entry("sort_many", lambda s, d: shape.sort(_table(s, d, "supplier"), [("s_nationkey", "descending"), "s_suppkey"]), "SELECT * FROM supplier ORDER BY s_nationkey DESC, s_suppkey")
+_entry("limit", lambda s, d: shape.top(_table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 25), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
+_entry("topk", lambda s, d: shape.top(_table(s, d, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", "descending"), "o_orderkey"], 20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+for _keep, _way in (("first", "ASC"), ("last", "DESC")):
+    _entry(f"dedup_{_keep}", lambda s, d, keep=_keep: shape.deduplicate(_table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", keep, "event_id"), f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id {_way}) rn FROM events) WHERE rn = 1")
+_entry("dedup_none", lambda s, d: shape.deduplicate(_table(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", False), "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1)")
+_entry("distinct", lambda s, d: shape.deduplicate(_table(s, d, "lineitem").select("l_returnflag", "l_linestatus")), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+_entry("value_counts", lambda s, d: shape.value_counts(_table(s, d, "events"), "event_type"), "SELECT event_type, count(*) AS count FROM events GROUP BY 1")
+
+# ---------------------------------------------------------------- aggregates
+_AGG = {"sum": "round(sum(l_quantity), 2)", "mean": "round(avg(l_quantity), 6)", "min": "min(l_quantity)", "max": "max(l_quantity)", "count": "count(l_quantity)", "nunique": "count(DISTINCT l_quantity)", "std": "round(stddev_samp(l_quantity), 6)", "var": "round(var_samp(l_quantity), 5)", "median": "median(l_quantity)"}
+_DIGITS = {"sum": 2, "mean": 6, "std": 6, "var": 5}
+
+
+def _grouped(name: str) -> Query:
+    def query(spark, sf_dir):
+        df = shape.group(_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), "l_returnflag", {"l_quantity": name})
+        return df.withColumn("l_quantity", F.round("l_quantity", _DIGITS[name])) if name in _DIGITS else df
+
+    return query
+
+
+for _name, _sql in _AGG.items():
+    _entry(f"group_{_name}", _grouped(_name), f"SELECT l_returnflag, {_sql} l_quantity FROM lineitem GROUP BY 1")
+_entry("group_any", lambda s, d: shape.group(_table(s, d, "labels").select("quality", "toxic"), "quality", {"toxic": "any"}), "SELECT quality, bool_or(toxic <> 0) toxic FROM labels GROUP BY 1")
+_entry("group_first", lambda s, d: shape.group(_table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", {"event_type": "first"}, "event_id"), "SELECT user_id, arg_min(event_type, event_id) event_type FROM events GROUP BY 1")
+_entry("group_last", lambda s, d: shape.group(_table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", {"event_type": "last"}, "event_id"), "SELECT user_id, arg_max(event_type, event_id) event_type FROM events GROUP BY 1")
+_entry("group_all_columns", lambda s, d: shape.group(_table(s, d, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey"), "o_orderstatus", "max"), "SELECT o_orderstatus, max(o_totalprice) o_totalprice, max(o_orderkey) o_orderkey FROM orders GROUP BY 1")
+_entry("group_several", lambda s, d: shape.group(_table(s, d, "orders").select("o_orderstatus", "o_totalprice"), "o_orderstatus", {"o_totalprice": ["min", "max", "count"]}), "SELECT o_orderstatus, min(o_totalprice) o_totalprice_min, max(o_totalprice) o_totalprice_max, count(o_totalprice) o_totalprice_count FROM orders GROUP BY 1")
+_entry("group_null_key", lambda s, d: shape.group(_nulled(s, d), "status", {"o_orderkey": "count"}), f"SELECT status, count(o_orderkey) o_orderkey FROM {_N} GROUP BY 1")
+_entry("minmax_bounds", lambda s, d: _table(s, d, "orders").agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")), "SELECT min(o_orderkey) low, max(o_orderkey) high FROM orders")
+_entry("bounded_count", lambda s, d: s.createDataFrame([(shape.bounded_count(_table(s, d, "orders"), 1000),)], "n long"), "SELECT least(count(*), 1001) n FROM orders")
+_entry("exact_count", lambda s, d: _table(s, d, "orders").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) n FROM orders")
+_entry("distinct_values", lambda s, d: s.createDataFrame([(v,) for v in shape.distinct_values(_table(s, d, "orders"), "o_orderstatus", 10)], "status string"), "SELECT DISTINCT o_orderstatus status FROM orders WHERE o_orderstatus IS NOT NULL")
+
+# --------------------------------------------------------------------- joins
+_entry("left_join", lambda s, d: joins.left_join(_table(s, d, "orders").select("o_orderkey", "o_custkey"), _table(s, d, "customer").select("c_custkey", "c_name").where("c_custkey % 2 = 0"), "o_custkey", "c_custkey"), "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+_entry("left_join_multi", lambda s, d: joins.left_join(_table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), _table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("first_line")), ["l_orderkey", "l_suppkey"], ["k", "s"]), "SELECT a.l_orderkey, a.l_suppkey, a.l_linenumber, b.l_orderkey k, b.l_suppkey s, b.l_linenumber first_line FROM lineitem a LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey")
+_entry("left_join_suffixes", lambda s, d: joins.left_join(_table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), _table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), "id"), "SELECT n_nationkey id, n_name name_x, r_name name_y FROM nation LEFT JOIN region ON n_nationkey = r_regionkey")
+_entry("indexed_left_join", lambda s, d: joins.indexed_left_join(_table(s, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"), _table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment"), "k"), "SELECT o_custkey k, o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+_entry("join_cast_keys", lambda s, d: joins.left_join(_table(s, d, "orders").select("o_orderkey", "o_custkey"), _table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name"), "o_custkey", "c_custkey", schema={"o_custkey": "Int64", "c_custkey": "Int64"}), "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+_entry("semi_join", lambda s, d: joins.semi_join(_table(s, d, "customer").select("c_custkey", "c_name"), _table(s, d, "orders").where("o_totalprice > 200000").select("o_custkey"), "c_custkey"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+_entry("series_filter", lambda s, d: _gateway(s, d, "customer").load(c_custkey__in=_table(s, d, "orders").where("o_totalprice > 250000").select("o_custkey"), columns=["c_custkey", "c_name"]), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+_entry("large_in", lambda s, d: _gateway(s, d, "orders").load(o_orderkey__in=list(range(0, 40_000, 3)), columns=_O.split()), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (SELECT unnest(range(0, 40000, 3)))")
+_entry("anti_join", lambda s, d: joins.anti_join(_table(s, d, "customer").select("c_custkey", "c_name"), _table(s, d, "orders").select("o_custkey"), "c_custkey"), "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_entry("enrich_left", lambda s, d: enrich.Enricher([enrich.AttachmentSpec("segment", lambda: _table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_mktsegment"), "o_custkey", "id", drop=["id"])]).transform(_table(s, d, "orders").select("o_orderkey", "o_custkey")), "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+_entry("enrich_by_keys", lambda s, d: enrich.Enricher([enrich.AttachmentSpec("region", lambda keys: [{"k": k, "label": f"region_{k}"} for k in sorted(keys)], "n_regionkey", "k", keyword="keys", drop=["k"])]).transform(_table(s, d, "nation").select("n_nationkey", "n_regionkey")), "SELECT n_nationkey, n_regionkey, 'region_' || n_regionkey AS label FROM nation")
+
+# -------------------------------------------------------------------- unions
+_entry("union_hybrid", lambda s, d: cube.HybridDataset(lambda x: _table(x, d, "orders"), lambda x: _table(x, d, "orders"), "o_orderdate", "1997-01-01").load(s, "1996-06-01", "1997-06-30").select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-06-01' AND DATE '1997-06-30'")
+_entry("union_all", lambda s, d: ty.union_widened(_table(s, d, "nation").select("n_name"), _table(s, d, "nation").select("n_name")), "SELECT n_name FROM nation UNION ALL SELECT n_name FROM nation")
+_entry("union_widen", lambda s, d: ty.union_widened(_table(s, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name"), _table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))), "SELECT CAST(n_nationkey AS BIGINT) id, n_name, NULL::DOUBLE balance FROM nation UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer")
+_entry("union_stringify", lambda s, d: ty.union_widened(_table(s, d, "nation").select(F.col("n_nationkey").alias("v")), _table(s, d, "nation").select(F.col("n_name").alias("v"))), "SELECT CAST(n_nationkey AS VARCHAR) v FROM nation UNION ALL SELECT n_name FROM nation")
+_entry("cube_source", lambda s, d: cube.CubeSource(lambda x, r: _table(x, d, r["table"]), request_transformer=lambda r: r | {"table": r["table"].lower()}, frame_transformer=lambda df: df.where("r_regionkey > 0")).read(s, table="REGION"), "SELECT * FROM region WHERE r_regionkey > 0")
+
+# ------------------------------------------------------------------- vectors
+_V = "CAST(embedding AS DOUBLE[])"
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+_VSQL = {"cosine": f"list_cosine_distance({_V}, {_Q})", "l2": f"list_distance({_V}, {_Q})", "inner_product": f"-list_inner_product({_V}, {_Q})", "l1": "list_sum([abs(a[i] - q[i]) FOR i IN range(1, 65)])"}
+
+
+def _vector(metric: str) -> Query:
+    def query(spark, sf_dir):
+        df = _table(spark, sf_dir, "embeddings")
+        q = df.where("vec_id = 0").first().embedding
+        return df.select("vec_id", F.round(vectors.distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in q)), metric), 5).alias("distance"))
+
+    return query
+
+
+for _metric, _sql in _VSQL.items():
+    _entry(f"vec_{_metric}", _vector(_metric), f"SELECT vec_id, round({_sql}, 5) + 0.0 distance FROM (SELECT vec_id, embedding, {_V} a, {_Q} q FROM embeddings)")
+
+
+def _vec_topk(spark, sf_dir):
+    df = _table(spark, sf_dir, "embeddings")
+    q = df.where("vec_id = 0").first().embedding
+    return vectors.nearest(df.select("vec_id", "embedding"), "embedding", q, 10, "l2", "vec_id").select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+_entry("vec_topk", _vec_topk, f"SELECT vec_id, round({_VSQL['l2']}, 5) distance FROM embeddings ORDER BY {_VSQL['l2']}, vec_id LIMIT 10")
+
+# ------------------------------------------------------------- transformers
+_entry("derived_column", lambda s, d: enrich.DerivedColumn({"net": "l_extendedprice * (1 - l_discount)", "big": "net > 30000"}).transform(_table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")).withColumn("net", F.round("net", 4)), "SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, round(l_extendedprice * (1 - l_discount), 4) net, l_extendedprice * (1 - l_discount) > 30000 big FROM lineitem")
+_entry("row_filter", lambda s, d: enrich.RowFilter(["(p_size > 10) & (p_size < 20)", "p_brand == 'Brand#11' | p_retailprice > 1000"]).transform(_table(s, d, "part")).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size < 20 AND (p_brand = 'Brand#11' OR p_retailprice > 1000)")
+_entry("type_cast", lambda s, d: enrich.TypeCaster({"v": "Int64"}).transform(_table(s, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "x").otherwise("")).alias("v"))), "SELECT p_partkey, TRY_CAST(CAST(p_size AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN 'x' ELSE '' END AS BIGINT) v FROM part")
+_entry("bool_parse", lambda s, d: ty.apply_schema_map(_table(s, d, "labels").select("doc_id", F.expr("CASE quality WHEN 1 THEN ' Yes' ELSE 'maybe' END").alias("good")), {"good": "boolean"}), "SELECT doc_id, CASE quality WHEN 1 THEN true END good FROM labels")
+_entry("composite", lambda s, d: enrich.Composite([enrich.RowFilter(["o_totalprice > 100000"]), enrich.DerivedColumn({"thousands": "floor(o_totalprice / 1000)"}), enrich.Deduplicator(["o_custkey"], "first", ["o_orderkey"])]).transform(_table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")), "SELECT o_custkey, o_orderkey, o_totalprice, CAST(floor(o_totalprice / 1000) AS BIGINT) thousands FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders WHERE o_totalprice > 100000) WHERE rn = 1")
+_entry("partition_date", lambda s, d: sinks.with_partition_date(_table(s, d, "events").select("event_id", "ts"), "ts").drop("ts"), "SELECT event_id, strftime(ts, '%Y-%m-%d') partition_date FROM events")
+
+# --------------------------------------------------------------- incremental
+_entry("incr_delta", lambda s, d: bookmarks.load(lambda f: fl.apply(_table(s, d, "events"), f).select("event_id", "user_id"), "event_id", bookmarks.MemoryStore({"e": 500}), "e").frame, "SELECT event_id, user_id FROM events WHERE event_id > 500")
+_entry("incr_max", lambda s, d: s.createDataFrame([(bookmarks.load(lambda f: fl.apply(_table(s, d, "events"), f), "event_id", bookmarks.MemoryStore({}), "e").current,)], "mark long"), "SELECT max(event_id) mark FROM events")
+
+
+def _sliced(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    low, high = shape.bounds(df, "o_orderkey")
+    plan = checkpoints.SlicePlan.of(jdbc.RangePlan("o_orderkey", low, high, 4).predicates())
+    return checkpoints.run(spark, plan, lambda x: df.where(x.predicate), _folder(spark, "slices"))
+
+
+_entry("range_partitions", _sliced, "SELECT o_orderkey, o_totalprice FROM orders")
+
+
+# --------------------------------------------------------------------- sinks
+def _round_trip(kind: str) -> Query:
+    def query(spark, sf_dir):
+        df, path = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), _folder(spark, kind)
+        sinks.create_sink(kind, spark, path, ["c_mktsegment"]).write(df)
+        if kind == "parquet":
+            return spark.read.parquet(path).select(*df.columns)
+        reader = spark.read.schema(df.schema)
+        return (reader.option("header", True).csv(path) if kind == "csv" else reader.json(path)).select(*df.columns)
+
+    return query
+
+
+for _kind in ("parquet", "csv", "jsonl"):
+    _entry(f"sink_roundtrip_{_kind}", _round_trip(_kind), "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+
+
+def _evolved(spark, sf_dir):
+    path = _folder(spark, "evolved")
+    n = _table(spark, sf_dir, "nation")
+    sinks.write_parquet(n.select("n_nationkey", "n_name"), path)
+    sinks.write_parquet(n.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.lit("late").alias("note")), path, overwrite=False)
+    return files.read_evolved(spark, path)
+
+
+_entry("evolve_read", _evolved, "SELECT CAST(n_nationkey AS BIGINT) n_nationkey, n_name, NULL::VARCHAR note FROM nation UNION ALL SELECT n_nationkey, NULL, 'late' FROM nation")
+
+
+def _upserted(spark, sf_dir):
+    path = _folder(spark, "upsert")
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    sink = sinks.create_sink("upsert", spark, path, ["n_nationkey"])
+    sink.write(n.where("n_nationkey < 15"))
+    sink.write(n.where("n_nationkey >= 10").withColumn("n_name", F.upper(F.concat("n_name", F.lit("!")))))
+    return spark.read.parquet(path)
+
+
+_entry("upsert_merge", _upserted, "SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN n_name ELSE upper(n_name || '!') END n_name FROM nation")
+
+
+def _pipeline(spark, sf_dir):
+    path, gateway = _folder(spark, "pipeline"), _gateway(spark, sf_dir, "events")
+    job = sinks.ParquetPipeline(gateway, sinks.ParquetSink(spark, path, ["event_type"]), enrich.RowFilter(["value > 0"]))
+    return job.materialize(columns=["event_id", "value", "event_type"]).frame.select("event_id", "value", "event_type")
+
+
+_entry("parquet_pipeline", _pipeline, "SELECT event_id, value, event_type FROM events WHERE value > 0")
+
+
+def _incremental_pipeline(spark, sf_dir):
+    path, store = _folder(spark, "incremental"), bookmarks.JsonStore(spark, f"{_folder(spark, 'marks')}/marks.json")
+    job = sinks.ParquetPipeline(_gateway(spark, sf_dir, "orders"), sinks.ParquetSink(spark, path))
+    job.incremental("o_orderkey", store, "orders", o_orderkey__lte=300, columns=["o_orderkey", "o_totalprice"])
+    return job.incremental("o_orderkey", store, "orders", columns=["o_orderkey", "o_totalprice"]).frame
+
+
+_entry("incremental_pipeline", _incremental_pipeline, "SELECT o_orderkey, o_totalprice FROM orders")
+
+
+def _ranged(spark, sf_dir):
+    path = _folder(spark, "ranged")
+    df = sinks.with_partition_date(_table(spark, sf_dir, "orders").where("o_orderkey < 2000"), "o_orderdate").withColumn("partition_date", F.substring("partition_date", 1, 7))
+    sinks.write_parquet(df.select("o_orderkey", "partition_date"), path, ["partition_date"])
+    return files.ParquetSource(path, start="1996-01", end="1996-12", partition_on=["partition_date"]).read(spark).select("o_orderkey")
+
+
+_entry("partition_range", _ranged, "SELECT o_orderkey FROM orders WHERE o_orderkey < 2000 AND year(o_orderdate) = 1996")
+
+
+def _stream(spark, sf_dir):
+    out = _folder(spark, "stream")
+    source = _table(spark, sf_dir, "events")
+    staged = f"{out}/in"
+    source.select("event_id", "user_id").write.parquet(staged)
+    bookmarks.replay(spark, staged, spark.read.parquet(staged).schema, f"{out}/out", f"{out}/marks", lambda df: df.where("user_id > 10"))
+    return spark.read.parquet(f"{out}/out")
+
+
+_entry("stream_replay", _stream, "SELECT event_id, user_id FROM events WHERE user_id > 10")
+
+# --------------------------------------------------------------- diagnostics
+_entry("raw_sql", lambda s, d: _raw(s, d), "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+_entry("describe", lambda s, d: s.createDataFrame([(k, v) for k, v in _gateway(s, d, "region").describe()["columns"].items()], "name string, type string"), "SELECT 'r_regionkey' AS name, 'int' AS type UNION ALL SELECT 'r_name', 'string'")
+_entry("preview", lambda s, d: s.createDataFrame(_gateway(s, d, "region").preview(3, df_options={"sort_field": "r_regionkey"}), "r_regionkey int, r_name string"), "SELECT * FROM region ORDER BY r_regionkey LIMIT 3")
+
+
+def _raw(spark, sf_dir):
+    _table(spark, sf_dir, "nation").createOrReplaceTempView("tidewell_nation")
+    return Gateway(spark, "tidewell_nation").load(sql="SELECT n_nationkey, n_name FROM tidewell_nation WHERE n_regionkey = :region", params={"region": 1}, allow_raw_sql=True)
+
+
+def _batches(spark, sf_dir):
+    sizes = [(k, b.num_rows) for k, b in enumerate(_gateway(spark, sf_dir, "nation").iter_batches(10))]
+    return spark.createDataFrame(sizes, "batch long, n long")
+
+
+_entry("iter_batches", _batches, "SELECT CAST(i AS BIGINT) batch, CAST(least(10, c - i * 10) AS BIGINT) n FROM (SELECT count(*) c FROM nation), range(0, 3) t(i)")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for k, (q, _) in _ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ENTRIES.items() if sql is not None}
