@@ -9,7 +9,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE = 1024
@@ -61,6 +62,25 @@ def partitions(df: DataFrame, mb: int = 32, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20) + 1, 200_000))
 
 
+#: Bits of the map by which ``marked`` thins a table out; its words are a broadcast of bounded size.
+MAP_BITS = 1 << 24
+
+
+def marked(df: DataFrame, column: Column, values: DataFrame, *, other: bool = False) -> DataFrame:
+    """The rows whose ``column`` may be among ``values`` (a column of its type), or with ``other`` those for which it can't be.
+
+    Values set bits of a map of ``MAP_BITS`` by hash: at most MAP_BITS / 64
+    words, however many the values. A full map lets all rows pass, so an exact
+    join follows where it matters; null is not among any values.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    c = values.columns[0]
+    words = values.where(F.col(c).isNotNull()).select(bit(F.col(c)).alias("b")).groupBy(F.expr("b DIV 64").alias("_map_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("_map_bits"))
+    rows = df.withColumn("_map_bit", F.when(column.isNotNull(), bit(column)))
+    hit = F.expr("_map_bit DIV 64 = _map_word") & F.expr("(shiftrightunsigned(_map_bits, CAST(_map_bit % 64 AS INT)) & 1L) = 1L")
+    return rows.join(F.broadcast(words), hit, "left_anti" if other else "left_semi").drop("_map_bit")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, mb: float = 2.0) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of at most ``rows`` rows and, but for single rows, about ``mb`` MB, to bound what Python objects hold."""
     for batch in batches:
