@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     from tidewell.session import session
 
     root = tmp_path_factory.mktemp("spark")
-    s = session("tests", "local[4]", {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": str(root / "warehouse"), "spark.driver.memory": "4g", "spark.checkpoint.dir": str(root / "checkpoints")})
+    s = session("tests", "local[4]", {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": str(root / "warehouse"), "spark.driver.memory": "4g", "spark.sql.maxMetadataStringLength": "1000", "spark.checkpoint.dir": str(root / "checkpoints")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

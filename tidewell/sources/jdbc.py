@@ -75,7 +75,9 @@ class JdbcSource:
     def plan(self, spark: SparkSession) -> RangePlan:
         """Bounds and partitions: one fetch for a table of up to a chunk."""
         c = self.partition_column
-        n, low, high = self._reader(spark, f"(select count(*) n, min({c}) lo, max({c}) hi from {self.relation}) b").load().first()
+        dialect = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.url)
+        q = dialect.quoteIdentifier(c)
+        n, low, high = self._reader(spark, f"(select count(*) as n, min({q}) as lo, max({q}) as hi from {self.relation}) b").load().first()
         return RangePlan(c, low, high, max(1, math.ceil(n / self.chunk)) if low is not None else 1)
 
 
