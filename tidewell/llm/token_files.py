@@ -137,6 +137,13 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo = common.Cache()
         mark = self._ids(self.MARK)
+        end = self.library.model.end_of_word_suffix
+        self.last = None
+        if end:
+            self.last = np.zeros(self.library.get_vocab_size(), bool)
+            self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(end)]] = True
+        tell = self._ids("\u00c9Ab") == self._ids("\u00e9ab")
+        self.apart = tell and all(self._ids(f"abc{x}") == [*self._ids("abc"), *self._ids(x)] for x in ".,")
         self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {self.MARK} a") == [*self._ids("a"), *mark, *self._ids("a")] else None
 
     #: A control character that stands between words when many are encoded in one call.
@@ -146,6 +153,17 @@ class WordEncoder:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[str]) -> None:
+        if self.last is not None:
+            # a word of Latin letters is one pre-token, whose last id, and no other, ends a word
+            letters = [w for w in words if w.isalpha() and max(w) <= "\u024f" and "\u0130" not in w]
+            ids = np.array(self._ids(" ".join(letters)), self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
+            if len(ends) == len(letters):
+                blob, at = ids.tobytes(), 0
+                for w, end in zip(letters, ends.tolist(), strict=True):
+                    self.memo[w] = blob[at:end]
+                    at = end
+                words = [w for w in words if w not in self.memo]
         apart = [w for w in words if self.mark is None or self.MARK in w]
         for w, e in zip(apart, self.library.encode_batch_fast(apart, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, self.dtype).tobytes()
@@ -159,11 +177,30 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        self.memo.room(len(words))
-        if new := [w for w in words if w not in self.memo]:
-            self._learn(new)
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + 2 * len(new) > self.memo.most:
+            self.memo.clear()
+            new = list(words)
+        if new:
+            cores = {w: self._core(w) for w in new}
+            if todo := list({x for c in cores.values() for x in c if x not in self.memo}):
+                self._learn(todo)
+            for w, c in cores.items():
+                self.memo[w] = b"".join(map(self.memo.__getitem__, c))
         return [b"".join(map(self.memo.__getitem__, s)) for s in split]
 
+    def _core(self, word: str) -> tuple[str, ...]:
+        """The words whose ids, in order, are the word's: small letters, and a stop or comma at the end by itself.
+
+        That holds for precomposed Latin letters, which neither the file's
+        normalisation nor its lower-casing sees differently.
+        """
+        if not self.apart or not word or word[-1] > "\u024f":
+            return (word,)
+        core = word[:-1] if word[-1] in ".," else word
+        if not core.isalpha() or max(core) > "\u024f" or "\u0130" in core:
+            return (word,)
+        return (core.lower(), word[-1]) if core is not word else (core.lower(),)
 
 @functools.lru_cache(2)
 def encoder(path: str) -> WordEncoder:
