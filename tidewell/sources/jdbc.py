@@ -70,7 +70,9 @@ class JdbcSource:
         if plan.partitions == 1:
             return whole
         reader = self._reader(spark, self.relation).option("partitionColumn", self.partition_column)
-        return reader.option("lowerBound", str(plan.lower)).option("upperBound", str(plan.upper)).option("numPartitions", plan.partitions).load()
+        df = reader.option("lowerBound", str(plan.lower)).option("upperBound", str(plan.upper)).option("numPartitions", plan.partitions).load()
+        # a task has one connection at a time: so many tasks, so many connections
+        return df.coalesce(self.workers) if plan.partitions > self.workers else df
 
     def plan(self, spark: SparkSession) -> RangePlan:
         """Bounds and partitions: one fetch for a table of up to a chunk."""
