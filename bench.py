@@ -13,7 +13,10 @@ import statistics
 import time
 
 from tidewell import catalog
+from tidewell.plans.gateway import Gateway
+from tidewell.plans.sinks import ParquetSink
 from tidewell.session import session
+from tidewell.sources.files import ParquetSource
 
 HEADLINE = (
     "flagship",
@@ -37,6 +40,37 @@ HEADLINE = (
 )
 
 
+def _events(spark, sf_dir):
+    return Gateway(spark, ParquetSource(f"{sf_dir}/lineitem.parquet")), ["l_orderkey", "l_shipdate", "l_suppkey", "l_extendedprice", "l_returnflag"]
+
+
+def to_pandas(spark, sf_dir):
+    """Five columns of the largest table as pandas."""
+    g, columns = _events(spark, sf_dir)
+    return len(g.load(columns=columns, return_type="pandas"))
+
+
+def in_to_pandas(spark, sf_dir):
+    """The rows of 25 of many keys as pandas."""
+    g, columns = _events(spark, sf_dir)
+    return len(g.load(columns=columns, l_suppkey__in=list(range(1, 26)), return_type="pandas"))
+
+
+def batches(spark, sf_dir):
+    """The same columns as Arrow batches of 100,000 rows."""
+    g, columns = _events(spark, sf_dir)
+    return sum(b.num_rows for b in g.iter_batches(100_000, columns=columns))
+
+
+def sink_100k(spark, sf_dir):
+    """100,000 rows to a Parquet dataset, partitioned and swapped in."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(100_000)
+    return len(ParquetSink(spark, "/tmp/tidewell-bench/sink", ["l_returnflag"]).write(df.coalesce(4)).files)
+
+
+ACTIONS = {"parquet_to_pandas": to_pandas, "in_clause_to_pandas": in_to_pandas, "stream_batches": batches, "sink_write_100k": sink_100k}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -50,6 +84,13 @@ def main() -> None:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
         took[name] = round(statistics.median(runs[1:]), 4)
+    for name, action in ACTIONS.items():
+        runs = []
+        for _ in range(4):
+            began = time.perf_counter()
+            action(spark, sf_dir)
+            runs.append(time.perf_counter() - began)
+        took[name] = round(statistics.median(runs[1:]), 4)
     print(json.dumps({"metric": "headline queries, total of medians", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 

@@ -200,24 +200,30 @@ class Gateway:
     def iter_batches(self, size: int = 100_000, filters: Mapping[str, Any] | None = None, **more: Any) -> Iterator[pa.RecordBatch]:
         """All rows as Arrow batches of up to ``size``, a partition at a time on the driver."""
         df = self.load(filters, **more)
-        schema = df.limit(0).toArrow().schema
-        rows: list = []
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            rows.append(row)
-            if len(rows) == size:
-                yield _batch(rows, schema)
-                rows = []
-        if rows:
-            yield _batch(rows, schema)
+
+        def pack(batches):
+            # a row a batch, so that rows stay columns on their way
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part, out = batch.slice(at, size), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, part.schema) as writer:
+                        writer.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+        held: list[pa.RecordBatch] = []
+        for row in df.mapInArrow(pack, "ipc binary").toLocalIterator(prefetchPartitions=True):
+            held += pa.ipc.open_stream(row.ipc)
+            while sum(b.num_rows for b in held) >= size:
+                table = pa.Table.from_batches(held)
+                yield table.slice(0, size).combine_chunks().to_batches()[0]
+                held = table.slice(size).to_batches()
+        if sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def with_options(self, **options: Any) -> Gateway:
         return replace(self, options=replace(self.options, **options))
 
 
-def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-
 def _within(spark: SparkSession, action, seconds: float | None):
     """The action's result, or its jobs are cancelled after so many seconds."""
     if seconds is None:
