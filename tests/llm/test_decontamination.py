@@ -58,6 +58,15 @@ def test_leaks_and_edges(spark):
     assert dc.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_blocks_of_the_index_give_the_same(spark, sf_dir, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda df: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in df.collect())
+    whole = key(dc.leaks(docs, bench))
+    monkeypatch.setattr(dc, "INDEX_BYTES", 3000)
+    assert key(dc.leaks(docs, bench)) == whole
+    assert dc.clean(docs, bench).count() == docs.count() - len({d for d, *_ in whole})
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: f" {' '.join(dc.words(r.text))} " for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r.item_id: f" {' '.join(dc.words(r.text))} " for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}

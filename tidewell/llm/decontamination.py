@@ -10,7 +10,7 @@ block at or above the threshold is then walked by the pivot rule, where blocks
 below the threshold are skipped unread. What is retrieved is verified: the
 item's question and its answer must each be found, in order, in the passage.
 
-The index is held in blocks of at most ``INDEX_MB`` of item text; larger
+The index is held in blocks of at most ``INDEX_BYTES`` of item text; larger
 benchmarks take a pass over the documents for each. Term counts are taken over
 all items, so scores don't depend on the blocks.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import common
 
 WORD = re.compile(r"\w+")
-INDEX_MB = 8
+INDEX_BYTES = 8 << 20
 #: Items of a block of the index: whole items are short, so that a block of more would bound them badly.
 BLOCK = 2
 SHORT = 8
@@ -277,7 +277,7 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str):
     """The benchmark's indexes, one a block of bounded text."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
     n, total, size = items.select(F.count("*"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\s]+"))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = int(size // (INDEX_MB << 20) + 1)
+    blocks = int(size // INDEX_BYTES + 1)
     spread = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     terms = items.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
     counts = terms.groupBy("term").count()
