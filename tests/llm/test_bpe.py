@@ -56,6 +56,8 @@ def test_query_and_edges(spark, sf_dir):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+    one = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20), PATH)
+    assert all(r.decoded == OWN.decode(r.token_ids) for r in bpe.decode(one, PATH).collect())
     docs = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (2, "b", "z")], "doc_id long, text string, token_ids string")
     rows = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.round_trip(docs).collect())
     assert [r[:2] for r in rows] == [(1, 0), (1, 0), (2, 1)] and rows[0][2] == hashlib.sha256(b"").hexdigest()

@@ -213,24 +213,34 @@ class ByteBPE:
         return b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(2)
-def tokenizer(path: str) -> ByteBPE:
+@functools.lru_cache(1)
+def _tokenizer(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def tokenizer(path: str) -> ByteBPE:
+    found = _tokenizer(path)
+    common.sole(found.memo)
+    return found
+
+
 # --------------------------------------------------------------- operators
-def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and token_ids of every text."""
+def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id and token_ids of every text; with ``decoded`` also the text that the ids stand for, from the same worker."""
 
     def run(batches):
         bpe = tokenizer(path)
         for part in common.slices(batches):
             ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
             ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))], names=["doc_id", "token_ids"])
+            values = np.concatenate([np.zeros(0, np.int32), *ids])
+            columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))]
+            if decoded:
+                columns.append(pa.array([bpe.decode(i.tolist()) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>")
+    names = ["doc_id", "token_ids", "decoded"][: 2 + decoded]
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -258,7 +268,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return digests(decode(encode(docs, path), path))
+    return digests(encode(docs, path, decoded=True))
 
 
 # ------------------------------------------------------------------- query

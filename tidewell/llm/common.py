@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SLICE = 1024
 
 
+#: While a table is written, Arrow batches have at most 1,000 rows, which may hold long texts.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,8 +46,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table: its lineage ends here and lost executors don't recompute it."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    path, conf = shared_dir(df.sparkSession, label), df.sparkSession.conf
+    rows = conf.get(BATCH_ROWS)
+    conf.set(BATCH_ROWS, str(min(int(rows), 1000) if int(rows) > 0 else 1000))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_ROWS, rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -99,6 +108,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+_LAST: list[dict | None] = [None]
+
+
+def sole(memo: dict) -> None:
+    """Make ``memo`` the one memo that this worker keeps: workers go from one operator to the next."""
+    if _LAST[0] is not memo and _LAST[0] is not None:
+        _LAST[0].clear()
+    _LAST[0] = memo
+
+
 class Cache(dict):
     """A bounded memo: emptied when full, so a worker's memory doesn't grow with its input."""
 

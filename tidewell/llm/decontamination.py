@@ -180,14 +180,17 @@ class Codes(dict):
     #: Codes: a word that no item has, no word, and below it the places in ``several`` of pieces with several words.
     OTHER, EMPTY = -1, -2
 
-    def __init__(self, term: dict[str, int], most: int = 400_000):
+    def __init__(self, term: dict[str, int], most: int = 250_000):
         self.term, self.most = term, most
         self.several: list[list[int]] = []
 
+    def clear(self) -> None:
+        super().clear()
+        self.several.clear()
+
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
-            self.several.clear()
 
     def __missing__(self, piece: str) -> int:
         low = piece.lower()
@@ -305,6 +308,7 @@ def _scanner(shared, theta: float, overlap: float) -> Scanner:
     if (found := _SCANNERS.get(shared.value_id)) is None:
         _SCANNERS.clear()
         found = _SCANNERS[shared.value_id] = Scanner(shared.index.value, theta, overlap)
+    common.sole(found.memo)
     return found
 
 

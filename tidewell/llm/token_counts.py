@@ -126,11 +126,17 @@ class PieceCounter:
         return [sum(map(self.memo.__getitem__, s)) for s in split]
 
 
-@functools.lru_cache(2)
-def counter(path: str) -> PieceCounter:
+@functools.lru_cache(1)
+def _counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+def counter(path: str) -> PieceCounter:
+    found = _counter(path)
+    common.sole(found.memo)
+    return found
+
+
 def count_tokens(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether the count is over ``limit``."""
 

@@ -202,11 +202,17 @@ class WordEncoder:
             return (word,)
         return (core.lower(), word[-1]) if core is not word else (core.lower(),)
 
-@functools.lru_cache(2)
-def encoder(path: str) -> WordEncoder:
+@functools.lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def encoder(path: str) -> WordEncoder:
+    found = _encoder(path)
+    common.sole(found.memo)
+    return found
+
+
 # --------------------------------------------------------------- operators
 def write_shards(docs: DataFrame, tokenizer: str, to: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, level: int = 3, mb: int = 48) -> DataFrame:
     """Encode, order by id and write; returns the manifest, a row a shard, in file order.
