@@ -98,6 +98,24 @@ def test_large_groups_are_dealt_again(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in nd.classes(docs).collect()} == components(texts)
 
 
+def test_large_groups_find_links_to_texts_that_are_linked_already(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SMALL", 3)
+    monkeypatch.setattr(nd, "SALT", 5)
+    base = [f"w{k}" for k in range(204)]
+    texts = [" ".join(base)]
+    for k in range(24):
+        b = list(base)
+        b[7 * k + 10] = f"b{k}"
+        c = list(b)
+        for j in range(4):  # 0.82 similar to b, 0.78 to the base
+            c[(7 * k + 40 + 35 * j) % 195 + 4] = f"c{k}x{j}"
+        texts += [" ".join(b), " ".join(c)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components(texts)
+    assert set(want.values()) == {0}
+    assert {r.doc_id: r.class_id for r in nd.classes(docs).collect()} == want
+
+
 def test_labelled_shingles_are_distinct():
     h = sequence("a b c d e " * 40)
     assert len(np.unique(sh.labelled(h))) == len(h) > len(np.unique(h))

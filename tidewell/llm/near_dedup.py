@@ -15,7 +15,9 @@ index of its members' shingles finds for each that is apart the members that
 share enough shingles to be a link, and those are verified. Buckets beyond
 ``SMALL`` texts, too large for one task, have the members apart from their
 centre dealt again by two keys in common, round by round, until no bucket holds
-more than one class. No bucket is capped.
+more than one class. What is then still outside the largest class of such a
+bucket is joined with all texts of large buckets by an exact prefix filter over
+labelled shingles, rarest first (``crossed``). No bucket is capped.
 
 Defined results: equal texts are of one class, and so are texts without words
 if equal; a null text is a class of its own; fewer than five words are one
@@ -43,6 +45,8 @@ SMALL, SMALL_SHINGLES = 4096, 2_000_000
 SIMILARITY = 0.8
 #: Shingles that are hashed at once, to bound memory on very long texts.
 CHUNK = 8192
+#: Slots of the counts by which shingles are ordered, rarest first, and the texts that a shingle may have before it is salted.
+SLOTS, SALT = 1 << 20, 2000
 _LAST = (1 << 63) - 1
 _SEED = sh.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -215,6 +219,80 @@ def settled(lists: DataFrame, texts: DataFrame) -> DataFrame:
     return lists.join(texts, "node").groupBy("gid").applyInPandas(run, "member binary, centre binary")
 
 
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many labelled shingles fall in each slot: a table of bounded size, whatever the number of shingles."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for part in common.slices(batches):
+            for t in part.column(0).to_pylist():
+                np.add.at(total, (sh.labelled(_shingled(t)) % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 10_000):
+            piece = at[lo : lo + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(total[piece])], names=["slot", "n"])
+
+    got = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def prefix(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a text, in one order for all texts, of which it shares the first it shares with any text it is linked to.
+
+    Linked texts of n1 and n2 shingles share at least (n1 + n2) s / (1 + s), so
+    n2 >= s n1, and all but n1 (1 - s) of a text's shingles are shared.
+    """
+    h = sh.labelled(h)
+    order = np.lexsort((h, counts[(h % np.uint64(len(counts))).astype(np.int64)]))
+    return h[order[: int(len(h) * (1 - SIMILARITY) + 1e-6) + 1]]
+
+
+def crossed(big: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join what can be joined in the large buckets ``big`` with rows (key, node).
+
+    Who isn't of its bucket's largest class asks for all texts of such buckets.
+    Candidates share a shingle of their prefixes, at places that leave room for
+    enough shared shingles; all of them are verified.
+    """
+    spark = labels.sparkSession
+    members = common.written(big.join(labels.select("node", F.col("label.node").alias("own")), "node"), "large")
+    most = members.groupBy("key", "own").count().groupBy("key").agg(F.max(F.struct("count", "own")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    role = members.join(most, "key").groupBy("node", "own").agg(F.max(F.col("own") != F.col("most.own")).alias("asks"))
+    role = common.written(role.join(texts, "node"), "asking")
+    if role.isEmpty():
+        return spark.createDataFrame([], "member binary, centre binary")
+    counts = spark.sparkContext.broadcast(_slot_counts(role))
+
+    def run(batches):
+        for part in common.slices(batches):
+            got = [_shingled(t) for t in part.column(3).to_pylist()]
+            size = np.array([len(x) for x in got], np.int64)
+            first = [prefix(x, counts.value) for x in got]
+            n = np.array([len(x) for x in first], np.int64)
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            h = np.concatenate(first).view(np.int64)
+            whole = pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in range(3)), pa.array(h), pa.array(place), pa.array(np.repeat(size, n))], names=["node", "own", "asks", "h", "place", "size"])
+            for lo in range(0, whole.num_rows, 10_000):
+                yield whole.slice(lo, 10_000)
+
+    rows = role.select("node", "own", "asks", "text").mapInArrow(run, "node binary, own binary, asks boolean, h long, place long, size long")
+    rows = common.written(rows, "prefixes")
+    asked = rows.where("asks").select("h")
+    rows = common.marked(rows, F.col("h"), asked)
+    hot = common.written(rows.groupBy("h").count().where(F.col("count") > SALT).select("h", F.expr(f"count DIV {SALT} + 1").alias("salts")), "hot")
+    rows = rows.join(hot, "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    a = rows.where("asks").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("h", "salt", F.col("node").alias("member"), F.col("own").alias("a_own"), (F.col("size") - F.col("place")).alias("a_left"), F.col("size").alias("a_size"))
+    b = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).select("h", "salt", F.col("node").alias("centre"), F.col("own").alias("b_own"), (F.col("size") - F.col("place")).alias("b_left"), F.col("size").alias("b_size"))
+    room = F.least("a_left", "b_left") >= (F.col("a_size") + F.col("b_size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    a, b = a.alias("a"), b.alias("b")
+    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a_own") != F.col("b_own")) & room
+    pairs = common.written(a.join(b, same).select("member", "centre").distinct(), "pairs")
+    return verified(with_texts(pairs, texts))
+
+
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest label (rep, node) by connected node, from links and the labels so far.
 
@@ -251,7 +329,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     in_groups = common.written(groups.select("node").distinct().join(nodes, "node").select("node", "rep", "keys"), "in-groups")
     labels = common.written(in_groups.select("node", F.struct("rep", "node").alias("label")), "labels")
     keys = in_groups.select("node", F.explode("keys").alias("own"))
-    texts = None
+    texts = big = None
     while not groups.isEmpty():
         # the most popular member of each group is its centre
         sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
@@ -281,11 +359,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         links = common.written(settled(lists, texts), "links")
         if not links.isEmpty():
             labels = components(links, labels)
-        # large groups: what is apart from the centre is dealt again, by two keys in common
+        # large groups: what is apart from the centre is dealt again, by two keys in common; later groups are parts of the first ones
+        if big is None:
+            big = common.written(still.where(~one_task).select("key", F.col("member").alias("node")), "big")
         rest = still.where(~one_task & F.col("apart")).select("key", F.col("member").alias("node"), "size")
         finer = rest.join(keys, "node").select(F.xxhash64("key", "own").alias("key"), "node", "size").distinct().join(labels, "node")
         several = finer.groupBy("key").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("key")
         groups = common.written(finer.join(several, "key", "left_semi").select("key", "node", "size"), "groups")
+    if big is not None and not big.isEmpty():
+        links = common.written(crossed(big, labels, texts), "links")
+        if not links.isEmpty():
+            labels = components(links, labels)
     linked = labels.where(F.col("label.node") != F.col("node")).select("node", F.col("label.rep").alias("l_rep"), F.col("label.node").alias("l_node"))
     own = nodes.join(linked, "node", "left").select("node", F.coalesce("l_rep", "rep").alias("class_id"), F.coalesce("l_node", "node").alias("class_node"))
     back = lambda c: F.when(F.col(c) != F.lit(_LAST), F.col(c))
