@@ -62,3 +62,18 @@ def test_edges(spark):
     got = [(r.rank, r.vec_id, round(r.score, 6)) for r in nn.search(df, df.where("vec_id % 100 = 0")).orderBy("rank").collect()]
     assert got == [(1, 1, 0.0), (2, 10, 0.0), (3, 2, 0.1)]
     assert nn.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_groups_of_copies_are_exact(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 8)).astype(np.float32)
+    x[:1000] = x[0]  # a third is equal, and a third nearly so
+    x[1000:2000] = x[1000] + r.normal(size=(1000, 8)).astype(np.float32) * np.float32(1e-4)
+    ids = r.permutation(3000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").coalesce(1)
+    asked = ids[[0, 7, 500, 1000, 1001, 1500, 2500]].tolist()
+    got = {}
+    for row in nn.search(df, df.where(df.vec_id.isin(asked))).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    place = {int(v): k for k, v in enumerate(ids)}
+    assert got == {int(q): [v for v, _ in brute(ids, x, place[q])] for q in asked}

@@ -9,8 +9,11 @@ the original vectors, in double precision.
 
 Codebooks are fitted on a bounded sample of the vectors (``TRAIN_ROWS``, by
 smallest hash) and all vectors are coded. Queries are a stated set; their
-blocks of ``BLOCK`` meet every partition of coded vectors in turn, and each
-partition gives its exact ``k`` best of the ``RERANK`` looked up for a query.
+blocks of ``BLOCK`` meet every partition of coded vectors in turn. Equal vectors
+are one there, with their ``k`` + 1 smallest ids. The best looked up for a query
+bound its k-th exact distance from above; a vector's looked-up distance less its
+own quantisation error bounds its exact distance from below, and all that this
+doesn't rule out are ranked exactly, so that each partition's ``k`` best are exact.
 
 Defined results: vectors that are null, empty, zero, or hold a null or
 non-finite component take no part, and neither do vectors of another than the
@@ -32,7 +35,7 @@ from tidewell.llm import common
 
 BOOKS, WORDS, BEAM = 16, 256, 2
 TRAIN_ROWS = 6_000
-#: Of a partition's vectors, so many and at least this share are ranked again by exact distances.
+#: Of a partition's vectors, so many and at least this share are ranked exactly before the bound of the rest is known.
 RERANK, RERANK_SHARE = 400, 1 / 32
 BLOCK = 1024
 
@@ -91,6 +94,24 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x.astype(np.float64) - q.astype(np.float64)) ** 2).sum(1))
 
 
+def distances(q: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Exact distances of the rows ``at``, some at a time to bound memory."""
+    return np.concatenate([np.zeros(0), *(exact(q, x[at[a : a + 8192]]) for a in range(0, len(at), 8192))])
+
+
+def distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct vectors, the up to ``most`` smallest ids of each in turn, and where those begin."""
+    x = np.ascontiguousarray(x + np.float32(0))  # one zero
+    _, first, own = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, own))
+    g, v = own[order], ids[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+    g, v = g[new], v[new]
+    nth = np.arange(len(g)) - np.searchsorted(g, g)
+    g, v = g[nth < most], v[nth < most]
+    return x[first], v, np.searchsorted(g, np.arange(len(first) + 1))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull())
@@ -153,9 +174,30 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
     def found(aq, ids, x):
         if not len(ids):
             return
-        codes, norms = (np.concatenate(y) for y in zip(*(aq.encode(x[a : a + 2048]) for a in range(0, len(x), 2048)), strict=True))
+        x, listed, begin = distinct(ids, x, k + 1)
+        parts, error = [], []
+        for a in range(0, len(x), 2048):
+            parts.append(aq.encode(x[a : a + 2048]))
+            stood = sum(book[word].astype(np.float64) for book, word in zip(aq.books, parts[-1][0].T, strict=True))
+            error.append(np.sqrt(((x[a : a + 2048] - stood) ** 2).sum(1)))
+        codes, norms = (np.concatenate(y) for y in zip(*parts, strict=True))
+        error = np.concatenate(error)
         flat = codes.astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * aq.books.shape[1]
         columns = [np.ascontiguousarray(c) for c in flat.T]
+
+        def best(own: int, at: np.ndarray, d: np.ndarray) -> list[tuple[int, float]]:
+            """The ``k`` nearest ids but ``own`` of the distinct vectors ``at``."""
+            n = begin[at + 1] - begin[at]
+            ids = listed[np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            d = np.repeat(d, n)
+            seen: dict[int, float] = {}
+            for o in np.lexsort((ids, d)).tolist():
+                if ids[o] != own:
+                    seen.setdefault(int(ids[o]), float(d[o]))
+                    if len(seen) == k:
+                        break
+            return list(seen.items())
+
         for block in blocks:
             q_ids, q = _block(block)
             tables = aq.tables(q).reshape(len(q), -1)
@@ -167,17 +209,20 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str =
                     near -= t[c]
                 m = min(max(rerank, int(len(near) * RERANK_SHARE)), len(near))
                 top = np.argpartition(near, m - 1)[:m]
-                top = top[ids[top] != q_ids[i]]
-                d = exact(q[i], x[top])
-                order = np.lexsort((ids[top], d))
-                seen: set[int] = set()
-                for o in order.tolist():
-                    v = int(ids[top[o]])
-                    if v not in seen:
-                        seen.add(v)
-                        out.append((int(q_ids[i]), v, float(d[o])))
-                        if len(seen) == k:
-                            break
+                d = distances(q[i], x, top)
+                got = best(int(q_ids[i]), top, d)
+                kth = got[-1][1] if len(got) == k else np.inf
+                # what looked-up sums may be off by rounding comes on top
+                whole = float((q[i].astype(np.float64) ** 2).sum())
+                slack = 2e-5 * (whole + norms + np.abs(t).reshape(len(columns), -1).max(1).sum())
+                more = ~(near + whole > (kth + error) ** 2 + slack)
+                more[top] = False
+                rest = np.flatnonzero(more)
+                if len(rest):
+                    top, d = np.concatenate([top, rest]), np.concatenate([d, distances(q[i], x, rest)])
+                    close = d <= kth
+                    got = best(int(q_ids[i]), top[close], d[close])
+                out += [(int(q_ids[i]), v, s) for v, s in got]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     near = rows.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
