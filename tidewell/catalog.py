@@ -293,9 +293,9 @@ _entry("incremental_pipeline", _incremental_pipeline, "SELECT o_orderkey, o_tota
 
 def _ranged(spark, sf_dir):
     path = _folder(spark, "ranged")
-    df = sinks.with_partition_date(_table(spark, sf_dir, "orders").where("o_orderkey < 2000"), "o_orderdate").withColumn("partition_date", F.substring("partition_date", 1, 7))
+    df = sinks.with_partition_date(_table(spark, sf_dir, "orders"), "o_orderdate").withColumn("partition_date", F.substring("partition_date", 1, 7))
     sinks.write_parquet(df.select("o_orderkey", "partition_date"), path, ["partition_date"])
-    return files.ParquetSource(path, start="1996-01", end="1996-12", partition_on=["partition_date"]).read(spark).select("o_orderkey")
+    return files.ParquetSource(path, start="1996-01", end="1996-12", partition_on=["partition_date"]).read(spark).select("o_orderkey").where("o_orderkey < 2000")
 
 
 _entry("partition_range", _ranged, "SELECT o_orderkey FROM orders WHERE o_orderkey < 2000 AND year(o_orderdate) = 1996")
