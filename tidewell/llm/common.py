@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE = 1024
@@ -25,13 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share, of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster
+    no folder of one machine would do, so that is an error.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_ = sc._jsc.sc().getCheckpointDir()
         root = os.path.dirname(set_.get()) if set_.isDefined() else None
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidewell-")
         sc.setCheckpointDir(root)
     path = sc._jvm.org.apache.hadoop.fs.Path(root)
@@ -56,18 +63,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` when nothing reads it any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        if df is None:
+            continue
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Estimates from here on are those of plans whose sizes Spark doesn't know.
+UNKNOWN = 1 << 50
 
 
 def partitions(df: DataFrame, mb: int = 32, least: int = 1) -> int:
-    """Enough partitions for about ``mb`` MB of the plan's estimated size each."""
+    """Enough partitions for about ``mb`` MB each, by the plan's estimated size, or by its rows' sizes where it has no estimate."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8) for f in df.schema]
+        size = int(df.agg(F.sum(sum(wide[1:], wide[0]).cast("long"))).first()[0] or 0)
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20) + 1, 200_000))
 
 
@@ -83,11 +100,20 @@ def marked(df: DataFrame, column: Column, values: DataFrame, *, other: bool = Fa
     join follows where it matters; null is not among any values.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    own, word, bits = fresh(df, "map_bit", "map_word", "map_bits")
     c = values.columns[0]
-    words = values.where(F.col(c).isNotNull()).select(bit(F.col(c)).alias("b")).groupBy(F.expr("b DIV 64").alias("_map_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("_map_bits"))
-    rows = df.withColumn("_map_bit", F.when(column.isNotNull(), bit(column)))
-    hit = F.expr("_map_bit DIV 64 = _map_word") & F.expr("(shiftrightunsigned(_map_bits, CAST(_map_bit % 64 AS INT)) & 1L) = 1L")
-    return rows.join(F.broadcast(words), hit, "left_anti" if other else "left_semi").drop("_map_bit")
+    words = values.where(F.col(c).isNotNull()).select(bit(F.col(c)).alias("b")).groupBy(F.expr("b DIV 64").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias(bits))
+    rows = df.withColumn(own, F.when(column.isNotNull(), bit(column)))
+    hit = F.expr(f"{own} DIV 64 = {word}") & F.expr(f"(shiftrightunsigned({bits}, CAST({own} % 64 AS INT)) & 1L) = 1L")
+    return rows.join(F.broadcast(words), hit, "left_anti" if other else "left_semi").drop(own)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as ``df`` has no column of."""
+    lead, taken = "_", {c.lower() for c in df.columns}
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, mb: float = 2.0) -> Iterator[pa.RecordBatch]:
