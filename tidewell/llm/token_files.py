@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ SKIPPABLE_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
+#: Words that a worker remembers, about 0.2 kB each.
+MEMO = 800_000
+#: A word of composed Latin letters, with marks at its end.
+LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
+
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
 
 
@@ -135,15 +142,17 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = common.Cache()
+        self.memo = common.Cache(MEMO)
         mark = self._ids(self.MARK)
         end = self.library.model.end_of_word_suffix
         self.last = None
         if end:
             self.last = np.zeros(self.library.get_vocab_size(), bool)
             self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(end)]] = True
-        tell = self._ids("\u00c9Ab") == self._ids("\u00e9ab")
-        self.apart = tell and all(self._ids(f"abc{x}") == [*self._ids("abc"), *self._ids(x)] for x in ".,")
+        #: Whether capitals have the ids of small letters, the strings that are looked for before that, and which marks end a word.
+        self.tell = self._ids("\u00c9Ab") == self._ids("\u00e9ab")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.apart: dict[str, bool] = {}
         self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {self.MARK} a") == [*self._ids("a"), *mark, *self._ids("a")] else None
 
     #: A control character that stands between words when many are encoded in one call.
@@ -174,33 +183,61 @@ class WordEncoder:
                 self.memo[w] = blob[at:end]
                 at = end + width
 
+    def _folded(self, text: str) -> str:
+        """The text in small letters where that changes no id: in Latin-1 letters are composed and have one small form each."""
+        if self.tell:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+            low = text.lower()
+            if not any(x in low for x in self.special):
+                return low
+        return text
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        new = [w for w in words if w not in self.memo]
+        new = words.difference(self.memo)
         if len(self.memo) + 2 * len(new) > self.memo.most:
+            # what these texts use stays: it has the frequent words
+            kept = {w: self.memo[w] for w in words if w in self.memo}
             self.memo.clear()
-            new = list(words)
+            if len(kept) + 2 * len(new) <= self.memo.most:
+                self.memo.update(kept)
+            else:
+                new = words
         if new:
             cores = {w: self._core(w) for w in new}
-            if todo := list({x for c in cores.values() for x in c if x not in self.memo}):
-                self._learn(todo)
+            if todo := set(chain.from_iterable(cores.values())).difference(self.memo):
+                self._learn(list(todo))
+            get = self.memo.__getitem__
             for w, c in cores.items():
-                self.memo[w] = b"".join(map(self.memo.__getitem__, c))
+                if c[0] is not w:
+                    self.memo[w] = get(c[0]) if len(c) == 1 else get(c[0]) + get(c[1])
         return [b"".join(map(self.memo.__getitem__, s)) for s in split]
 
     def _core(self, word: str) -> tuple[str, ...]:
-        """The words whose ids, in order, are the word's: small letters, and a stop or comma at the end by itself.
+        """The words whose ids, in order, are the word's: small letters, and the marks at the end by themselves.
 
         That holds for precomposed Latin letters, which neither the file's
-        normalisation nor its lower-casing sees differently.
+        normalisation nor its lower-casing sees differently, and for marks that
+        the file, asked once, splits from letters.
         """
-        if not self.apart or not word or word[-1] > "\u024f":
+        m = LETTERS.fullmatch(word) if self.tell else None
+        if m is None:
             return (word,)
-        core = word[:-1] if word[-1] in ".," else word
-        if not core.isalpha() or max(core) > "\u024f" or "\u0130" in core:
-            return (word,)
-        return (core.lower(), word[-1]) if core is not word else (core.lower(),)
+        core, marks = m.groups()
+        low = core.lower()
+        if not marks:
+            return (low,) if low != word else (word,)
+        apart = self.apart.get(marks)
+        if apart is None:
+            if len(self.apart) > 10_000:
+                self.apart.clear()
+            apart = self.apart[marks] = self._ids(f"abc{marks}") == [*self._ids("abc"), *self._ids(marks)]
+        return (low, marks) if apart else (word,)
+
 
 @functools.lru_cache(1)
 def _encoder(path: str) -> WordEncoder:
