@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
@@ -23,6 +26,17 @@ def test_long_texts():
     assert OWN.count(texts) == [len(x) for x in LIB.encode(texts)]
 
 
+def test_long_pre_tokens_take_linear_time():
+    r = random.Random(8)
+    some = ["".join(r.choice("abcdefgh ijéthen▁"[: r.randint(3, 17)]) for _ in range(r.randint(100, 3000))) for _ in range(60)]
+    some += ["".join(r.choice("etaoinshr日") for _ in range(5000)), "th" * 2000, "\n" * 700, "e" * 1001]
+    assert OWN.count(some) == [len(x) for x in LIB.encode(some)]
+    for text in ("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "a" * 1_000_000, " " * 1_000_000, "é日" * 300_000):
+        start = time.process_time()
+        assert OWN.count([text])[0] > 0
+        assert time.process_time() - start < 10
+
+
 def test_query_and_edges(spark, sf_dir):
     got = {r.doc_id: r for r in tc.op9_token_counts(spark, sf_dir).collect()}
     for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():

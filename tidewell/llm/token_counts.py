@@ -5,7 +5,9 @@ every sequence that still has a mergeable pair applies its pair of the lowest
 rank, all sequences at once, and the array is compacted; the symbols that
 survive are counted. Where no piece can outrank one of its own parts, all
 occurrences of a sequence's lowest pair merge in the same step; otherwise only
-the leftmost one does, as one-at-a-time merging would.
+the leftmost one does, as one-at-a-time merging would. A pre-token of over
+``LONG`` symbols would take many such steps: its pairs lie in a heap by rank and
+place, and it costs O(n log n).
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a character
 that the vocabulary lacks counts one token for each of its UTF-8 bytes; rows
@@ -15,6 +17,7 @@ that repeat are counted each; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from itertools import chain
 
@@ -28,6 +31,7 @@ from tidewell.llm import common
 #: Fixed value: the character that stands for a blank.
 BLANK = "▁"
 _NONE = np.iinfo(np.int64).max
+LONG = 128
 
 
 class PieceCounter:
@@ -52,6 +56,7 @@ class PieceCounter:
                     unsafe |= {x for x in (a, b) if rank[piece] <= rank[x]}
         joins.sort()
         self.size = model.vocab_size()
+        self.merges = {k: (r, m) for k, r, m in joins}
         self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*joins, strict=True))
         self.safe = np.ones(self.size, bool)
         self.safe[[self.id[p] for p in unsafe]] = False
@@ -110,11 +115,43 @@ class PieceCounter:
             sym, seq = sym[keep], seq[keep]
         return total
 
+    def long_count(self, word: str) -> int:
+        """Tokens of one pre-token, its pairs in a heap."""
+        n, size, pair = len(word), self.size, self.merges.get
+        lost = -size * size  # a character without a piece: no pair with it has a key of a merge
+        sym = [self.id.get(c, lost) for c in word]
+        total = n + sum(len(c.encode()) - 1 for c, x in zip(word, sym, strict=True) if x == lost)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        keys = [a * size + b for a, b in zip(sym, sym[1:], strict=False)]
+        heap = [got[0] << 32 | i for i, k in enumerate(keys) if (got := pair(k)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            if sym[i] is None or (j := after[i]) >= n:
+                continue
+            got = pair(sym[i] * size + sym[j])
+            if got is None or got[0] != top >> 32:
+                continue  # an older pair of this place
+            total -= 1
+            sym[i], sym[j] = got[1], None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (got := pair(sym[i] * size + sym[k])) is not None:
+                    heapq.heappush(heap, got[0] << 32 | i)
+            if (k := before[i]) >= 0 and (got := pair(sym[k] * size + sym[i])) is not None:
+                heapq.heappush(heap, got[0] << 32 | k)
+        return total
+
     def count(self, texts: list[str]) -> list[int]:
         split = [self.words.findall(self.prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
         words = set(chain.from_iterable(split))
         self.memo.room(len(words))
         new = sorted((w for w in words if w not in self.memo), key=len)
+        while new and len(new[-1]) > LONG:
+            self.memo[new[-1]] = self.long_count(new[-1])
+            new.pop()
         at = 0
         while at < len(new):  # blocks of like length, about a million symbols each
             block = max(1, min(100_000, 1_000_000 // len(new[at])))
