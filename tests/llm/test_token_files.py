@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zlib
 
 import numpy as np
@@ -36,6 +37,24 @@ def test_round_trip_in_id_order(spark):
     assert digest.ids_crc32 == zlib.crc32(np.array(library(TEXTS[0][1]), "<u4").tobytes())
 
 
+def test_any_text_as_the_library():
+    r, make, lib = random.Random(6), tf.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    some = ["Don't", "I'LL,", "x's.", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "e\u0301.", "ÇA***", "3.5,", "a_b_", "...", "\u00a0", "\t", "İ.", "ǅ,", "ΑΣ.", "ΑΣ b", "日本。", "ﬁ!", "«où»", "\x01", "ß?", "µ,", "it's'", "_.", "\r\n", "\x85", "a\u0300b", "word", "The", "'S", "😀.", "ª.", "aº!"]
+    texts = ["".join(r.choice(some) + r.choice([" ", " ", "\n", ""]) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    for lo in range(0, len(texts), 500):
+        got = [np.frombuffer(x, make.dtype).tolist() for x in make.encode(texts[lo : lo + 500])]
+        assert got == [x.ids for x in lib.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
+    assert make.tell
+
+
+def test_a_full_memo_loses_nothing():
+    make, lib = tf.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    make.memo.most = 40
+    for k in range(9):
+        texts = [" ".join(f"word{k * 7 + j} the" for j in range(20)), "of the and"]
+        assert [np.frombuffer(x, make.dtype).tolist() for x in make.encode(texts)] == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tf.read_shards(tf.write_shards(docs, PATH, common.shared_dir(spark, "t"))).count() == 0

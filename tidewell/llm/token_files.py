@@ -21,10 +21,10 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,8 +40,10 @@ CHECKSUM_FLAG = 0x80
 
 #: Words that a worker remembers, about 0.2 kB each.
 MEMO = 800_000
-#: A word of composed Latin letters, with marks at its end.
-LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
+#: A word of composed Latin letters; marks at a word's end; words of marks alone.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+MARKS_END = "([a-z\u00df-\u00f6\u00f8-\u00ff])([!-/:-@\\[-`{-~]+)( |$)"
+ONLY_MARKS = re.compile("[!-/:-@\\[-`{-~]+")
 
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
 
@@ -131,7 +133,9 @@ class WordEncoder:
 
     The file's normaliser and its splitting never join characters across a
     blank or line feed, so a text's ids are those of its words in order; the
-    library encodes every word that the memo lacks.
+    library encodes every word that the memo lacks. Texts of composed Latin
+    letters are put in small letters first, and marks at the ends of words
+    apart, where neither changes an id.
     """
 
     def __init__(self, path: str):
@@ -149,10 +153,9 @@ class WordEncoder:
         if end:
             self.last = np.zeros(self.library.get_vocab_size(), bool)
             self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(end)]] = True
-        #: Whether capitals have the ids of small letters, the strings that are looked for before that, and which marks end a word.
+        #: Whether capitals have the ids of small letters, and the strings that are looked for before anything else.
         self.tell = self._ids("\u00c9Ab") == self._ids("\u00e9ab")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.apart: dict[str, bool] = {}
         self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {self.MARK} a") == [*self._ids("a"), *mark, *self._ids("a")] else None
 
     #: A control character that stands between words when many are encoded in one call.
@@ -164,7 +167,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         if self.last is not None:
             # a word of Latin letters is one pre-token, whose last id, and no other, ends a word
-            letters = [w for w in words if w.isalpha() and max(w) <= "\u024f" and "\u0130" not in w]
+            letters = [w for w in words if LETTERS.fullmatch(w)]
             ids = np.array(self._ids(" ".join(letters)), self.dtype)
             ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
             if len(ends) == len(letters):
@@ -196,47 +199,33 @@ class WordEncoder:
         return text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.memo)
-        if len(self.memo) + 2 * len(new) > self.memo.most:
-            # what these texts use stays: it has the frequent words
-            kept = {w: self.memo[w] for w in words if w in self.memo}
-            self.memo.clear()
-            if len(kept) + 2 * len(new) <= self.memo.most:
+        """The ids of each text: its distinct words are looked up, or learnt, and then taken in the texts' order."""
+        whole = {k: np.array(self._ids(t), self.dtype).tobytes() for k, t in enumerate(texts) if any(x in t for x in self.special)}
+        rows = pc.replace_substring(pa.array(["" if k in whole else self._folded(t) for k, t in enumerate(texts)], pa.string()), "\n", " ")
+        words = pc.split_pattern(pc.replace_substring_regex(rows, MARKS_END, r"\1 \2\3") if self.tell else rows, " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.memo.get, distinct))
+        if new := [w for w, x in zip(distinct, found, strict=True) if x is None]:
+            if self.tell and not all(self._apart(w) for w in new if ONLY_MARKS.fullmatch(w)):
+                self.tell = False  # marks that the file doesn't split from letters: words stay as they are
+                self.memo.clear()
+                return self.encode(texts)
+            kept = {w: x for w, x in zip(distinct, found, strict=True) if x is not None}
+            if len(self.memo) + len(new) > self.memo.most:
+                # what these texts use stays: it has the frequent words
+                self.memo.clear()
                 self.memo.update(kept)
-            else:
-                new = words
-        if new:
-            cores = {w: self._core(w) for w in new}
-            if todo := set(chain.from_iterable(cores.values())).difference(self.memo):
-                self._learn(list(todo))
-            get = self.memo.__getitem__
-            for w, c in cores.items():
-                if c[0] is not w:
-                    self.memo[w] = get(c[0]) if len(c) == 1 else get(c[0]) + get(c[1])
-        return [b"".join(map(self.memo.__getitem__, s)) for s in split]
-
-    def _core(self, word: str) -> tuple[str, ...]:
-        """The words whose ids, in order, are the word's: small letters, and the marks at the end by themselves.
-
-        That holds for precomposed Latin letters, which neither the file's
-        normalisation nor its lower-casing sees differently, and for marks that
-        the file, asked once, splits from letters.
-        """
-        m = LETTERS.fullmatch(word) if self.tell else None
-        if m is None:
-            return (word,)
-        core, marks = m.groups()
-        low = core.lower()
-        if not marks:
-            return (low,) if low != word else (word,)
-        apart = self.apart.get(marks)
-        if apart is None:
-            if len(self.apart) > 10_000:
-                self.apart.clear()
-            apart = self.apart[marks] = self._ids(f"abc{marks}") == [*self._ids("abc"), *self._ids(marks)]
-        return (low, marks) if apart else (word,)
+            self._learn(new)
+            found = list(map(self.memo.__getitem__, distinct))
+        ids = pa.array(found, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[words.offsets.to_numpy() + ids.offset].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [whole.get(k) or bytes(data[x:y]) for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False))]
+
+    def _apart(self, marks: str) -> bool:
+        """Whether the file splits these marks from letters before them."""
+        return self._ids(f"abc{marks}") == [*self._ids("abc"), *self._ids(marks)]
 
 
 @functools.lru_cache(1)
