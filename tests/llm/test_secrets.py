@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from tidewell.llm import secrets as sc
 
@@ -34,6 +35,55 @@ def test_scan_and_redact(spark):
     assert sc.redacted(docs).columns == docs.columns and sc.scan(docs.limit(0)).count() == 0
 
 
+def test_shapes_after_other_names_and_short_ones():
+    model = sc.forest()
+    for text, want in {
+        "the secret password: Tr0ub4dor&3x": "Tr0ub4dor&3x",
+        "token is password: aB3dE5gH7jK9": "aB3dE5gH7jK9",
+        'password="hunter2"': "hunter2",
+        "credentials token = x9Kd82LqPz77vBnM": "x9Kd82LqPz77vBnM",
+    }.items():
+        assert [c.value for c, _ in sc.secrets(text, None, model)] == [want], text
+    for text in ("the secret password: string", "a token of appreciation", "password is required", "secret recipe tokens Bearer", "passwords: optional"):
+        assert not sc.secrets(text, None, model), text
+
+
+def test_precision_and_recall_on_held_out_findings():
+    model = sc.forest()
+    hit = {True: [0, 0], False: [0, 0]}
+    for text, path, leak in sc.findings(1500, seed=99):
+        got = bool(sc.secrets(text, path, model))
+        hit[leak][got] += 1
+    recall, precision = hit[True][1] / sum(hit[True]), hit[True][1] / (hit[True][1] + hit[False][1])
+    assert recall > 0.97 and precision > 0.97
+
+
+def test_coverage_by_words():
+    words = frozenset({"correct", "horse", "rect"})
+    assert sc.coverage("correctHorse12", words) == 12 / 14 and sc.coverage("x9K", words) == 0.0 and len(sc.dictionary()) > 10_000
+
+
+def test_long_texts_take_linear_time():
+    model, n = sc.forest(), 1_000_000
+    for text in ("token" * (n // 5), "token " * (n // 6), "token" + " " * n, "eyJ-" * (n // 4), "password=" * (n // 9), "a1" * (n // 2), "-----BEGIN " * (n // 11), "secret is " * (n // 10), "pwd=abc" * (n // 7), "xoxb-" * (n // 5)):
+        start = time.process_time()
+        sc.secrets(text, None, model)
+        assert time.process_time() - start < 5, text[:12]
+
+
+def test_without_paths_and_with_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', 7)] * 2 + [(None, None, 7)], "doc_id long, text string, score int")
+    assert [(r.doc_id, r.start_at) for r in sc.scan(docs).collect()] == [(1, 9), (1, 9)]
+    assert sc.redacted(docs).columns == docs.columns
+
+
+def test_query_as_a_plain_loop(spark, sf_dir):
+    model, want = sc.forest(), []
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        want += [(d.doc_id, c.kind, c.start, c.end - c.start) for c, _ in sc.secrets(d.text, d.source, model)]
+    assert sorted(tuple(r)[:4] for r in sc.op10_secret_forest(spark, sf_dir).collect()) == sorted(want)
+
+
 def test_query_finds_planted_tokens(spark, sf_dir):
     planted = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if re.search(r'(?i)token = "[0-9a-f]{40}"', r.text)}
     found = {r.doc_id for r in sc.op10_secret_forest(spark, sf_dir).collect()}

@@ -1,30 +1,38 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are provider-shaped keys, key blocks, and values of 16 and more key
-characters that look assigned or stand alone with letters and digits mixed.
-Each has features: length, shares of character kinds, transitions between
-kinds and a character-bigram surprise, how much of it plain words cover, what
-its path tells (tests, samples, lock files), and the words around it. A random
-forest trained from labelled findings tells leaks from look-alikes: digests in
-prose, identifiers, versions, placeholders, words joined by punctuation.
-
-There is no table of labelled findings, so ``findings`` makes them: labelled
-examples drawn from the public formats of keys and of what is taken for them,
-with a fixed seed. ``fit`` takes any other labelled findings alike.
-
-Defined results: a null or empty text holds none; overlapping candidates are
-one, the longest; a secret that occurs twice is reported twice, by place; rows
-that repeat are each scanned; an empty table gives no rows.
+Candidates are provider-shaped keys, key blocks, values that a name of a secret
+is given to, and words of 20 and more key characters that stand alone with
+letters and digits mixed. Each has features: length, shares of character kinds,
+transitions between kinds, entropy and letter pairs, how much of it words of a
+dictionary cover, what its path tells (tests, samples, lock files), and the
+words around it. A random forest trained from labelled findings tells leaks from
+look-alikes: digests in prose, identifiers, versions, placeholders, joined words.
+
+The dictionary is the whole words of a public tokenizer's vocabulary, whose path
+is a parameter. There is no table of labelled findings, so ``findings`` makes
+them: labelled examples drawn from the public formats of keys and of what is
+taken for them, with a fixed seed. ``fit`` takes any other labelled findings
+alike; it runs once, and its trees go to the tasks.
+
+Defined results: a null or empty text holds none; candidates are told from left
+to right and don't overlap; where a candidate is no value (a name, a plain word
+of prose), the search goes on within it; a secret that occurs twice is reported
+twice, by place; rows that repeat are each scanned; without a column of paths
+all paths are unknown; an empty table gives no rows. The time is linear in a
+text's length.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import math
+import operator
 import random
 import re
 import string
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,19 +46,19 @@ from tidewell.llm import common
 PROVIDERS = {
     "aws_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github": r"\b(?:gh[pousr]_[0-9A-Za-z]{36}|github_pat_[0-9A-Za-z_]{22,82})\b",
-    "slack": r"\bxox[abeprs]-[0-9A-Za-z-]{10,}",
+    "slack": r"\bxox[abeprs]-[0-9A-Za-z-]{10,}+",
     "google": r"\bAIza[0-9A-Za-z_-]{35}",
-    "stripe": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}",
-    "openai": r"\bsk-[0-9A-Za-z_-]{20,}",
-    "jwt": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)",
+    "stripe": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+",
+    "openai": r"\bsk-[0-9A-Za-z_-]{20,}+",
+    "jwt": r"\beyJ[0-9A-Za-z_-]{8,2000}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)",
 }
 #: Names that secrets are assigned to.
 NAMES = r"(?:api|access|auth|secret|private|client)[_-]?(?:key|token|secret)|token|secret|passw(?:or)?d|pwd|passphrase|credentials?|bearer|authorization"
-ASSIGNED = rf"""(?i:(?P<name>{NAMES})\w*)["']?\s*(?:[:=]>?|\bis\b|\s)\s*["'`]?(?P<value>[A-Za-z0-9+/=_.\-!@#$%^&*]{{8,}})"""
-ALONE = r"(?<![A-Za-z0-9+/=_.\-@])(?=[A-Za-z+/=_\-]*[0-9])(?=[0-9+/=_\-]*[A-Za-z])[A-Za-z0-9+/=_\-]{20,}(?![A-Za-z0-9+/=_.\-@])"
-#: What any candidate needs; most texts have none of it and are read no further.
-HINT = re.compile(rf"(?i:{NAMES})|[A-Za-z0-9+/=_\-]{{20}}|-----BEGIN|AKIA|ASIA|xox[abeprs]-|eyJ")
+ASSIGNED = rf"""(?i:(?P<name>{NAMES})\w{{0,32}})["'\]]{{0,2}}\s{{0,8}}+(?P<sep>[:=]{{1,2}}>?|\bis\b|(?<=\s))\s{{0,8}}+(?P<quote>["'`]?)(?P<value>[A-Za-z0-9+/=_.\-!@#$%^&*]{{6,}}+)"""
+ALONE = r"(?<![A-Za-z0-9+/=_.\-@])(?=[A-Za-z+/=_\-]*+[0-9])(?=[0-9+/=_\-]*+[A-Za-z])[A-Za-z0-9+/=_\-]{20,}+(?![A-Za-z0-9+/=_.\-@])"
+#: Parts of which every name, and every format that fits in less than 20 characters, has one.
+HINTS = "key token secret passw pwd passphrase credential bearer authorization xox -----begin".split()
 CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in PROVIDERS.items()), f"(?P<assigned>{ASSIGNED})", f"(?P<alone>{ALONE})"]), re.S)
 THRESHOLD = 0.5
 AROUND = 40
@@ -58,7 +66,7 @@ _NAME = re.compile(NAMES, re.I)
 _DENY = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|<|\$\{|test|fake|todo|redacted")
 _HASHY = re.compile(r"(?i)\b(?:commit|sha\d*|md5|digest|checksum|hash|integrity|revision|etag|uuid|guid|version|build|id)\b")
 _PATH = re.compile(r"(?i)test|spec|example|sample|fixture|mock|lock|doc|vendor|readme")
-_WORDS = re.compile(r"[A-Za-z]{3,}")
+_LETTERS = re.compile(r"[a-z]{3,}")
 
 
 @dataclass(frozen=True)
@@ -67,45 +75,85 @@ class Candidate:
     start: int
     end: int
     value: str
-    name: str
+    name: str = ""
+    given: bool = False  # by a colon or an equals sign
+    quoted: bool = False
+
+
+def hinted(text: str) -> bool:
+    """Whether the text has what any candidate needs: a part of a name or format, or a piece of 20 characters."""
+    low = text.casefold()
+    return any(x in low for x in HINTS) or max(map(len, text.split()), default=0) >= 20
 
 
 def candidates(text: str | None) -> list[Candidate]:
-    if not text or not HINT.search(text):
+    if not text or not hinted(text):
         return []
-    found = []
-    for m in CANDIDATE.finditer(text):
-        kind = m.lastgroup if m.lastgroup not in ("name", "value") else "assigned"
+    found, at = [], 0
+    while m := CANDIDATE.search(text, at):
+        at = m.end()
         if m["assigned"]:
-            if len(set(m["value"])) < 4 or m["value"].isalpha() and m["value"].islower():
+            start, given = m.start("value"), bool(m["sep"]) and m["sep"].lower() != "is"
+            value = m["value"].rstrip(".") if not m["quote"] else m["value"]
+            word = value.isalpha() and (value.islower() or value.istitle() or value.isupper())
+            if len(set(value)) < 4 or _NAME.fullmatch(value) or not given and (word or len(value) < 8):
+                at = start  # what stands there may itself be a name, or a key
                 continue
-            found.append(Candidate("assigned", m.start("value"), m.end("value"), m["value"], m["name"].lower()))
+            found.append(Candidate("assigned", start, start + len(value), value, m["name"].lower(), given, bool(m["quote"])))
         else:
             kind = next(k for k in (*PROVIDERS, "alone") if m[k])
-            found.append(Candidate(kind, m.start(), m.end(), m[0], ""))
+            found.append(Candidate(kind, m.start(), m.end(), m[0]))
     return found
 
 
+# --------------------------------------------------------------- dictionary
+@functools.lru_cache(2)
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """The whole words of four letters and more in the vocabulary of a ``tokenizers`` file with word ends."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    end = model["end_of_word_suffix"]
+    return frozenset(w for t in model["vocab"] if t.endswith(end) and len(w := t[: -len(end)]) >= 4 and w.isascii() and w.isalpha())
+
+
+LONGEST = 14
+
+
+def coverage(value: str, words: frozenset[str]) -> float:
+    """The share of a value's characters that words of the dictionary cover, the longest first from left to right."""
+    covered = 0
+    for m in _LETTERS.finditer(value.lower()):
+        run, at = m[0], 0
+        while at <= len(run) - 4:
+            n = next((n for n in range(min(LONGEST, len(run) - at), 3, -1) if run[at : at + n] in words), 0)
+            covered += n
+            at += n or 1
+    return covered / len(value)
+
+
 # ----------------------------------------------------------------- features
 #: Letter pairs of plain words, by which a candidate's own pairs are surprising or not.
 COMMON_PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
-FEATURES = 16
+FEATURES = 19
 
 
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(c: Candidate, text: str, path: str | None) -> tuple[float, ...]:
+def features(c: Candidate, text: str, path: str | None, words: frozenset[str]) -> tuple[float, ...]:
     v = c.value
     n = len(v)
-    kinds = [_kind(x) for x in v]
-    moves = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
-    counts = {x: v.count(x) for x in set(v)}
+    kinds = list(map(_kind, v))
+    moves = sum(map(operator.ne, kinds, kinds[1:])) / max(1, n - 1)
+    counts = Counter(v)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     low = v.lower()
-    pairs = sum(low[i : i + 2] in COMMON_PAIRS for i in range(n - 1)) / max(1, n - 1)
-    covered = sum(len(w) for w in _WORDS.findall(v) if len(w) >= 4 and sum(w.lower()[i : i + 2] in COMMON_PAIRS for i in range(len(w) - 1)) >= (len(w) - 1) / 3) / n
+    pairs = sum(x + y in COMMON_PAIRS for x, y in zip(low, low[1:], strict=False)) / max(1, n - 1)
     near = text[max(0, c.start - AROUND) : c.start]
     around = near + " " + text[c.end : c.end + AROUND]
     return (
@@ -117,7 +165,7 @@ def features(c: Candidate, text: str, path: str | None) -> tuple[float, ...]:
         moves,
         entropy,
         pairs,
-        covered,
+        coverage(v, words),
         float(all(x in string.hexdigits for x in v)),
         float(c.kind not in ("assigned", "alone")),
         float(c.kind == "assigned" or bool(_NAME.search(near))),
@@ -125,6 +173,9 @@ def features(c: Candidate, text: str, path: str | None) -> tuple[float, ...]:
         float(bool(_HASHY.search(near))),
         float(bool(path and _PATH.search(path))),
         float(max(counts.values()) / n),
+        float(c.given),
+        float(c.quoted),
+        float(c.name.startswith("pass") or c.name == "pwd"),
     )
 
 
@@ -182,24 +233,29 @@ class Forest:
         return total / len(self.trees)
 
 
-def findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, bool]]:
+def findings(n: int = 4000, seed: int = 5, words: frozenset[str] | None = None) -> list[tuple[str, str, bool]]:
     """Labelled findings (text, path, leak) of public formats."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     sylls = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ción que mente para eau tre ung keit sch".split()
-    word = lambda: "".join(r.choice(sylls) for _ in range(r.randint(1, 4)))
+    real = sorted(dictionary() if words is None else words)
+    made = lambda: "".join(r.choice(sylls) for _ in range(r.randint(1, 4)))
+    word = lambda: r.choice(real) if real and r.random() < 0.5 else made()
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 9)))
     loud = lambda s: s.upper() if r.random() < 0.15 else s
     name = lambda: r.choice(["token", "api_key", "apikey", "secret", "password", "access_token", "client_secret", "auth_token", "private_key", "passwd"])
+    login = lambda: r.choice(["password", "passwd", "pwd", "passphrase", "db_password", "PASSWORD"])
     eq = lambda: r.choice([" = ", "=", ": ", '": ', " : "])
-    key = lambda: r.choice([lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(alnum, r.randint(20, 48)), lambda: pick(alnum + "+/", r.choice([40, 44, 64])), lambda: pick(alnum + "-_", r.randint(24, 60)), lambda: pick(alnum + "!@#$%", r.randint(10, 18))])()
+    key = lambda: r.choice([lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(alnum, r.randint(12, 48)), lambda: pick(alnum + "+/", r.choice([40, 44, 64])), lambda: pick(alnum + "-_", r.randint(24, 60)), lambda: pick(alnum + "!@#$%", r.randint(10, 18))])()
+    leet = lambda w: "".join({"o": "0", "a": "4", "e": "3", "i": "1"}.get(x, x) if r.random() < 0.5 else x for x in w)
+    phrase = lambda: r.choice([lambda: f"{word()}{r.randint(0, 9999)}", lambda: f"{leet(word()).capitalize()}{r.choice('!@#$%&*-_')}{r.randint(0, 99)}{pick(string.ascii_lowercase, 1)}", lambda: f"{word()}{word()}{r.randint(1, 99)}{r.choice('!@#$%')}", lambda: leet(word() + word())])()
     out = []
     for k in range(n):
         q = r.choice(['"', "'", ""])
-        path = r.choice(["src/app.py", "config/prod.yml", "src0", "src17", "deploy/env.sh", "notes.txt", ""])
+        path = r.choice(["src/app.py", "config/prod.yml", f"{made()}{r.randint(0, 99)}", f"{made()}.md", "deploy/env.sh", "notes.txt", ""])
         if k % 2:
-            body = r.choice([lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 40), lambda: f"xoxb-{pick(string.digits, 11)}-{pick(alnum, 24)}", lambda: "AIza" + pick(alnum, 35), lambda: f"sk_live_{pick(alnum, 24)}", lambda: f"eyJ{pick(alnum, 20)}.{pick(alnum, 40)}.{pick(alnum, 43)}", lambda: f"Authorization: Bearer {pick(alnum, 40)}"])()
+            body = r.choice([lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: f"{login()}{eq()}{q}{phrase()}{q}", lambda: f"{name()} {login()}: {q}{phrase()}{q}", lambda: f"{r.choice(['the', 'my', 'root'])} {login()} is {q}{pick(alnum, 3)}{r.randint(10, 99)}{pick(alnum + '!@#$%', r.randint(5, 9))}{q}", lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 40), lambda: f"xoxb-{pick(string.digits, 11)}-{pick(alnum, 24)}", lambda: "AIza" + pick(alnum, 35), lambda: f"sk_live_{pick(alnum, 24)}", lambda: f"eyJ{pick(alnum, 20)}.{pick(alnum, 40)}.{pick(alnum, 43)}", lambda: f"Authorization: Bearer {pick(alnum, 40)}"])()
             out.append((loud(f"{prose()} {body} {prose()}") if "=" in body else f"{prose()} {body} {prose()}", path, True))
         else:
             body = r.choice(
@@ -208,6 +264,7 @@ def findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, bool]]:
                     lambda: f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}",
                     lambda: f"{name()}{eq()}{q}{r.choice(['YOUR_API_KEY_HERE1', 'xxxxxxxxxxxxxxxx', 'changeme123', 'example-token-123', '${API_KEY}1', 'placeholder_value', 'test_password_1'])}{q}",
                     lambda: f"{name()} {r.choice(['is', ''])} {word()}{word()}{word()}",
+                    lambda: f"{name()}{r.choice([': ', ' = ', '='])}{r.choice(['string', 'required', 'optional', 'undefined', 'getenv', 'String', 'function', 'expired', word(), word()])}",
                     lambda: f"{word()}_{word()}_{word()}{r.randint(1, 99)}_{word()}",
                     lambda: f"{word()}-{word()}-{word()}-{r.randint(2000, 2030)}-{word()}",
                     lambda: f"https://www.{word()}.example.com/{word()}/{word()}{r.randint(1, 99)}/{word()}",
@@ -221,36 +278,44 @@ def findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, bool]]:
     return out
 
 
-def fit(labelled: list[tuple[str, str, bool]]) -> Forest:
+@dataclass(frozen=True)
+class Model:
+    forest: Forest
+    words: frozenset[str]
+
+
+def fit(labelled: list[tuple[str, str, bool]], words: frozenset[str]) -> Model:
     x, y = [], []
     for text, path, leak in labelled:
         for c in candidates(text):
-            x.append(features(c, text, path))
+            x.append(features(c, text, path, words))
             y.append(float(leak))
-    return Forest.fit(np.array(x).reshape(-1, FEATURES), np.array(y))
+    return Model(Forest.fit(np.array(x).reshape(-1, FEATURES), np.array(y)), words)
 
 
 @functools.lru_cache(1)
-def forest() -> Forest:
-    return fit(findings())
+def forest() -> Model:
+    """The model of the made findings and the default dictionary."""
+    words = dictionary()
+    return fit(findings(words=words), words)
 
 
-def secrets(text: str | None, path: str | None, model: Forest, threshold: float = THRESHOLD) -> list[tuple[Candidate, float]]:
+def secrets(text: str | None, path: str | None, model: Model, threshold: float = THRESHOLD) -> list[tuple[Candidate, float]]:
     found = candidates(text)
     if not found:
         return []
-    score = model.score(np.array([features(c, text, path) for c in found]))
+    score = model.forest.score(np.array([features(c, text, path, model.words) for c in found]))
     return [(c, float(s)) for c, s in zip(found, score, strict=True) if s >= threshold]
 
 
 # --------------------------------------------------------------- operators
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", model: Forest | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", model: Model | None = None) -> DataFrame:
     """Rows (doc_id, kind, start_at, length, score, sha256) of each secret; the secrets themselves are not repeated."""
-    given = model
-    path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
+    shared = docs.sparkSession.sparkContext.broadcast(model or forest())
+    path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
 
     def run(batches):
-        own = given or forest()
+        own = shared.value
         for part in common.slices(batches):
             rows = [(i, c.kind, c.start, c.end - c.start, s, hashlib.sha256(c.value.encode()).hexdigest()) for i, t, p in zip(*(c.to_pylist() for c in part.columns), strict=True) for c, s in secrets(t, p, own)]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string())
@@ -259,15 +324,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), path.alias("path")).mapInArrow(run, "doc_id long, kind string, start_at long, length long, score double, sha256 string")
 
 
-def redacted(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "source", size_col: str | None = "n_chars", mark: str = "[SECRET]", model: Forest | None = None) -> DataFrame:
+def redacted(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "source", size_col: str | None = "n_chars", mark: str = "[SECRET]", model: Model | None = None) -> DataFrame:
     """The documents with ``mark`` for each secret, and their length where ``size_col`` has it."""
-    given, schema = model, docs.schema
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model or forest()), docs.schema
     at = docs.columns.index(text_col)
     path_at = docs.columns.index(path_col) if path_col in docs.columns else None
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches):
-        own = given or forest()
+        own = shared.value
         for part in common.slices(batches):
             texts = part.column(at).to_pylist()
             paths = part.column(path_at).to_pylist() if path_at is not None else [None] * len(texts)
