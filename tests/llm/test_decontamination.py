@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 from tidewell.llm import decontamination as dc
@@ -73,3 +74,39 @@ def test_query(spark, sf_dir):
     verbatim = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     found = {(r.doc_id, r.item_id) for r in dc.op2_decontamination(spark, sf_dir).collect()}
     assert verbatim <= found and len(found - verbatim) <= 2
+
+
+def test_words_of_all_scripts_count_alike_in_all_blocks(spark, monkeypatch):
+    r = random.Random(2)
+    words = ["नमस्ते", "दुनिया", "क्षत्रिय", "हिन्दी", "भाषा", "ज्ञान", "पुस्तक", "विद्या", "café", "naïve", "İstanbul", "e\u0301te", "x_y", "don't"]
+    items = [(k, " ".join(r.choice(words) + r.choice(["", "ा", "1"]) for _ in range(24)) + "? " + " ".join(r.choices(words, k=6))) for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{' '.join(r.choices(words, k=300))} {items[k * 4][1]} {' '.join(r.choices(words, k=9))}") for k in range(5)], "doc_id long, text string")
+    key = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in dc.leaks(docs, bench).collect())
+    whole = key()
+    assert {(k, k * 4) for k in range(5)} <= {x[:2] for x in whole}
+    monkeypatch.setattr(dc, "INDEX_BYTES", 700)
+    assert key() == whole
+
+
+def test_an_index_is_small_and_bounds_pay_for_few_blocks():
+    import pickle
+
+    r = random.Random(1)
+    vocabulary = [f"w{k}" for k in range(30_000)]
+    items = [(k, " ".join(r.choices(vocabulary, k=120))) for k in range(2400)]
+    start = time.process_time()
+    ix = index(items)
+    assert time.process_time() - start < 5
+    assert len(pickle.dumps(ix)) < 12 * sum(len(t) for _, t in items)
+    texts = [" ".join(r.choices(vocabulary, k=3000)) for _ in range(20)] + [items[5][1]]
+    found = dc.Scanner(ix, 0.6, 0.8).scan(texts)
+    assert [sorted(f) for f in found] == [[]] * 20 + [[5]]
+
+
+def test_a_very_long_text_in_linear_time():
+    items = [(k, " ".join(f"w{k * 30 + j}" for j in range(60))) for k in range(50)]
+    filler = " ".join(f"v{k % 5000} w{k % 1500}" for k in range(200_000))
+    start = time.process_time()
+    assert dc.Scanner(index(items), 0.6, 0.8).scan([f"{filler} {items[3][1]} {filler}"])[0].keys() >= {3}
+    assert time.process_time() - start < 20

@@ -10,9 +10,10 @@ block at or above the threshold is then walked by the pivot rule, where blocks
 below the threshold are skipped unread. What is retrieved is verified: the
 item's question and its answer must each be found, in order, in the passage.
 
-The index is held in blocks of at most ``INDEX_BYTES`` of item text; larger
-benchmarks take a pass over the documents for each. Term counts are taken over
-all items, so scores don't depend on the blocks.
+The index is held in blocks of at most ``INDEX_BYTES`` of item text, in flat
+arrays; larger benchmarks take a pass over the documents for each. Words are
+counted over all items by the words that texts are cut into, so scores don't
+depend on the blocks.
 
 Defined results: a document without words holds no passage; an item without
 words matches nothing; an item of fewer than ``SHORT`` words must occur word
@@ -53,9 +54,9 @@ def parts(item: list[str], text: str) -> int:
     return max(1, len(item) * 3 // 4)
 
 
-def common_run(a: list[str], b: list[str]) -> int:
+def common_run(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a bit a word of ``a``."""
-    places: dict[str, int] = defaultdict(int)
+    places: dict[int, int] = defaultdict(int)
     for i, w in enumerate(a):
         places[w] |= 1 << i
     full = (1 << len(a)) - 1
@@ -69,17 +70,49 @@ def common_run(a: list[str], b: list[str]) -> int:
 
 @dataclass
 class Tier:
-    """Items of like length: windows, weights and postings."""
+    """Items of like length: windows, and postings in flat arrays, a term's from ``first[t]`` to ``first[t + 1]``."""
 
     stride: int
     items: list[int]
-    postings: list[tuple[np.ndarray, np.ndarray]]  # by term: items' places and weights
-    block_max: list[dict[int, float]]  # by term: largest weight by block
+    first: np.ndarray
+    place: np.ndarray  # items' places
+    weight: np.ndarray
+    block_first: np.ndarray  # of the blocks that hold a term
+    block: np.ndarray
+    block_max: np.ndarray
     term_max: np.ndarray
     wide: np.ndarray  # terms in over half of the blocks
-    first: np.ndarray  # narrow terms: where their blocks begin in what follows
-    blocks: np.ndarray
-    maxima: np.ndarray
+
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each term's places and weights."""
+        return [(self.place[a:b], self.weight[a:b]) for a, b in zip(self.first, self.first[1:], strict=False)]
+
+    @property
+    def blocks(self) -> int:
+        return (len(self.items) + BLOCK - 1) // BLOCK
+
+
+class Cursor:
+    """A place in a term's postings."""
+
+    def __init__(self, tier: Tier, term: int):
+        a, b = tier.first[term], tier.first[term + 1]
+        self.place, self.weight, self.end = tier.place[a:b], tier.weight[a:b], len(tier.items)
+        a, b = tier.block_first[term], tier.block_first[term + 1]
+        self.block, self.block_max, self.most = tier.block[a:b], tier.block_max[a:b], float(tier.term_max[term])
+        self.at = 0
+
+    @property
+    def doc(self) -> int:
+        return int(self.place[self.at]) if self.at < len(self.place) else self.end
+
+    def bound(self, block: int) -> float:
+        i = int(np.searchsorted(self.block, block))
+        return float(self.block_max[i]) if i < len(self.block) and self.block[i] == block else 0.0
+
+    def skip(self, doc: int) -> None:
+        self.at += int(np.searchsorted(self.place[self.at :], doc))
 
 
 class Index:
@@ -89,88 +122,104 @@ class Index:
         tokens = [words(t) for _, t in items]
         keep = [k for k, w in enumerate(tokens) if w]
         self.ids = [items[k][0] for k in keep]
-        self.words = [tokens[k] for k in keep]
         self.cut = [parts(tokens[k], items[k][1]) for k in keep]
-        self.term = {w: t for t, w in enumerate(sorted(set(chain.from_iterable(self.words))))}
-        idf = {w: math.log(1 + (n_items - document_counts[w] + 0.5) / (document_counts[w] + 0.5)) for w in self.term}
+        self.term = {w: t for t, w in enumerate(sorted(set(chain.from_iterable(tokens))))}
+        #: The items' words as terms.
+        self.words = [np.array([self.term[w] for w in tokens[k]], np.int32) for k in keep]
+        n = np.array([document_counts[w] for w in self.term], float)
+        idf = np.log(1 + (n_items - n + 0.5) / (n + 0.5))
         by_tier = defaultdict(list)
         for k, w in enumerate(self.words):
             by_tier[max(64, 4 ** math.ceil(math.log(len(w), 4) - 1e-9))].append(k)
         self.tiers = [self._tier(stride, ks, idf, mean_length) for stride, ks in sorted(by_tier.items())]
 
-    def _tier(self, stride: int, ks: list[int], idf: dict[str, float], mean: float) -> Tier:
-        lists = [[] for _ in self.term]
-        for place, k in enumerate(ks):
-            counts, n = Counter(self.words[k]), len(self.words[k])
-            w = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * n / mean)) for t, c in counts.items()}
-            whole = sum(w.values())
-            for t, x in w.items():
-                lists[self.term[t]].append((place, x / whole))
-        postings = [(np.array([p for p, _ in x], np.int64), np.array([v for _, v in x])) for x in lists]
-        block_max = []
-        for x in lists:
-            top: dict[int, float] = {}
-            for p, v in x:
-                top[p // BLOCK] = max(top.get(p // BLOCK, 0.0), v)
-            block_max.append(top)
-        n_blocks = (len(ks) + BLOCK - 1) // BLOCK
-        term_max = np.array([max(t.values(), default=0.0) for t in block_max])
-        wide = np.array([len(t) * 2 > n_blocks for t in block_max])
-        narrow = [sorted(t.items()) if not w else [] for t, w in zip(block_max, wide, strict=True)]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in narrow])])
-        flat = list(chain.from_iterable(narrow))
-        return Tier(stride, ks, postings, block_max, term_max, wide, first, np.array([b for b, _ in flat], np.int64), np.array([v for _, v in flat]))
+    def _tier(self, stride: int, ks: list[int], idf: np.ndarray, mean: float) -> Tier:
+        v, size = len(self.term), np.array([len(self.words[k]) for k in ks])
+        keys, c = np.unique(np.repeat(np.arange(len(ks)), size) * v + np.concatenate([self.words[k] for k in ks]), return_counts=True)
+        place, term = keys // v, keys % v
+        w = idf[term] * c * (K1 + 1) / (c + K1 * (1 - B + B * size[place] / mean))
+        w /= np.bincount(place, w)[place]
+        order = np.lexsort((place, term))
+        place, term, w = place[order], term[order], w[order]
+        first = np.searchsorted(term, np.arange(v + 1))
+        start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (place[1:] // BLOCK != place[:-1] // BLOCK)])
+        block_max = np.maximum.reduceat(w, start)
+        block_first = np.searchsorted(term[start], np.arange(v + 1))
+        term_max = np.zeros(v)
+        np.maximum.at(term_max, term[start], block_max)
+        wide = np.diff(block_first) * 2 > (len(ks) + BLOCK - 1) // BLOCK
+        return Tier(stride, ks, first, place.astype(np.int32), w, block_first, (place[start] // BLOCK).astype(np.int32), block_max, term_max, wide)
 
     # ------------------------------------------------------------ retrieval
     @staticmethod
     def wand(tier: Tier, terms: list[int], theta: float) -> list[tuple[int, float]]:
         """Every item whose score by these terms is at least ``theta``: block-max WAND."""
-        lists = [[*tier.postings[t], 0, float(tier.term_max[t]), tier.block_max[t]] for t in terms if len(tier.postings[t][0])]
         end, found = len(tier.items), []
-        at = lambda c: int(c[0][c[2]]) if c[2] < len(c[0]) else end
+        lists = [c for c in (Cursor(tier, t) for t in terms) if c.doc < end]
         while lists:
-            lists.sort(key=at)
+            lists.sort(key=lambda c: c.doc)
             bound, pivot = 0.0, -1
             for k, c in enumerate(lists):
-                bound += c[3]
+                bound += c.most
                 if bound >= theta - 1e-9:
                     pivot = k
                     break
-            if pivot < 0 or (doc := at(lists[pivot])) >= end:
+            if pivot < 0 or (doc := lists[pivot].doc) >= end:
                 break
-            while pivot + 1 < len(lists) and at(lists[pivot + 1]) == doc:
+            while pivot + 1 < len(lists) and lists[pivot + 1].doc == doc:
                 pivot += 1
             block = doc // BLOCK
-            if sum(c[4].get(block, 0.0) for c in lists[: pivot + 1]) < theta - 1e-9:
+            if sum(c.bound(block) for c in lists[: pivot + 1]) < theta - 1e-9:
                 # no item of this block can reach the threshold by these lists
-                to = min((block + 1) * BLOCK, at(lists[pivot + 1]) if pivot + 1 < len(lists) else end)
+                to = min((block + 1) * BLOCK, lists[pivot + 1].doc if pivot + 1 < len(lists) else end)
                 for c in lists[: pivot + 1]:
-                    c[2] += int(np.searchsorted(c[0][c[2] :], max(to, doc + 1)))
-            elif at(lists[0]) == doc:
-                score = sum(float(c[1][c[2]]) for c in lists[: pivot + 1])
+                    c.skip(max(to, doc + 1))
+            elif lists[0].doc == doc:
+                score = sum(float(c.weight[c.at]) for c in lists[: pivot + 1])
                 if score >= theta - 1e-9:
                     found.append((doc, score))
                 for c in lists[: pivot + 1]:
-                    c[2] += 1
+                    c.at += 1
             else:
                 for c in lists[:pivot]:
-                    c[2] += int(np.searchsorted(c[0][c[2] :], doc))
-            lists = [c for c in lists if c[2] < len(c[0])]
+                    c.skip(doc)
+            lists = [c for c in lists if c.doc < end]
         return found
 
     def survivors(self, tier: Tier, window: np.ndarray, term: np.ndarray, n: int, theta: float) -> np.ndarray:
-        """Windows whose bound on some block reaches the threshold; the pairs are distinct and ordered by window."""
+        """Windows whose bound on some block reaches the threshold; the pairs are distinct and ordered by window.
+
+        Only blocks that hold a term of a window, but for terms of most blocks,
+        are added up for it; those terms count with their largest weight.
+        """
         base = np.bincount(window, np.where(tier.wide[term], tier.term_max[term], 0.0), n)
-        size = (tier.first[1:] - tier.first[:-1])[term]
-        n_blocks = (len(tier.items) + BLOCK - 1) // BLOCK
         keep = base >= theta - 1e-9
-        chunk = max(1, 4_000_000 // n_blocks)
-        for lo in range(0, n, chunk):
-            a, b = np.searchsorted(window, [lo, lo + chunk])
-            s = size[a:b]
-            place = np.repeat(tier.first[term[a:b]] - np.cumsum(s) + s, s) + np.arange(s.sum())
-            bound = np.bincount(np.repeat(window[a:b] - lo, s) * n_blocks + tier.blocks[place], tier.maxima[place], min(chunk, n - lo) * n_blocks)
-            keep[lo : lo + chunk] |= bound.reshape(-1, n_blocks).max(1) + base[lo : lo + chunk] >= theta - 1e-9
+        # who can't reach the threshold with all terms' largest weights has no block to look at
+        most = np.bincount(window, tier.term_max[term], n)
+        go = ~tier.wide[term] & ((most >= theta - 1e-9) & ~keep)[window]
+        window, term = window[go], term[go]
+        size = (tier.block_first[1:] - tier.block_first[:-1])[term]
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            # some windows at a time, whole ones, to bound memory
+            hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right"))
+            hi = int(np.searchsorted(window, window[min(max(hi, lo + 1), len(window)) - 1], "right"))
+            s, first, w = size[lo:hi], window[lo], window[lo:hi]
+            at = np.repeat(tier.block_first[term[lo:hi]] - np.cumsum(s) + s, s) + np.arange(s.sum())
+            key, value = np.repeat(w - first, s) * tier.blocks + tier.block[at], tier.block_max[at]
+            cells = int(w[-1] - first + 1) * tier.blocks
+            if cells <= 4 * len(key) + 1000:
+                bound = np.bincount(key, value, cells)
+                hit = np.flatnonzero(bound + np.repeat(base[first : w[-1] + 1], tier.blocks) >= theta - 1e-9)
+            else:
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                hit = key[start]
+                hit = hit[np.add.reduceat(value[order], start) + base[first + hit // tier.blocks] >= theta - 1e-9]
+            keep[first + hit // tier.blocks] = True
+            lo = hi
         return np.flatnonzero(keep)
 
 
@@ -251,25 +300,25 @@ class Scanner:
             if not n:
                 continue
             owner = np.repeat(np.arange(len(texts)), windows)
-            cache: dict[int, list[str]] = {}
             for w in self.index.survivors(tier, window, term, n, self.theta).tolist():
                 a, b = np.searchsorted(window, [w, w + 1])
                 doc = int(owner[w])
                 for place, score in self.index.wand(tier, term[a:b].tolist(), self.theta):
-                    if doc not in cache:
-                        cache = {doc: words(texts[doc])}
                     at = (w - int(begin[doc])) * tier.stride
                     k = tier.items[place]
-                    q, r = self._verify(k, cache[doc][at : at + 2 * tier.stride])
+                    q, r = self._overlaps(k, codes[doc][at : at + 2 * tier.stride].tolist())
                     if min(q, r) >= self.overlap and score > found[doc].get(k, (0.0,))[0]:
                         found[doc][k] = (score, q, r)
         return found
 
     def _verify(self, k: int, passage: list[str]) -> tuple[float, float]:
-        """The shares of the item's question and of its answer that the passage holds in order."""
-        item, cut = self.index.words[k], self.index.cut[k]
+        return self._overlaps(k, [self.index.term.get(w, Codes.OTHER) for w in passage])
+
+    def _overlaps(self, k: int, passage: list[int]) -> tuple[float, float]:
+        """The shares of the item's question and of its answer that the passage (terms, or numbers below 0) holds in order."""
+        item, cut = self.index.words[k].tolist(), self.index.cut[k]
         if len(item) < SHORT:
-            whole = f" {' '.join(item)} " in f" {' '.join(passage)} "
+            whole = any(passage[i : i + len(item)] == item for i in range(len(passage) - len(item) + 1))
             return float(whole), float(whole)
         question, answer = item[:cut], item[cut:]
         return common_run(question, passage) / len(question), common_run(answer, passage) / len(answer) if answer else 1.0
@@ -279,19 +328,23 @@ class Scanner:
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str):
     """The benchmark's indexes, one a block of bounded text."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n, total, size = items.select(F.count("*"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\s]+"))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+
+    def counted(batches):
+        # items by word, and below no word how many words there are
+        for part in common.slices(batches):
+            tokens = [words(t) for t in part.column(0).to_pylist()]
+            n = Counter(chain.from_iterable(map(set, tokens)))
+            yield pa.RecordBatch.from_arrays([pa.array([*n, None], pa.string()), pa.array([*n.values(), sum(map(len, tokens))], pa.int64())], names=["term", "n"])
+
+    counts = common.written(items.select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    n, size = items.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    total = (counts.where("term IS NULL").first() or (None, 0))[1]
     blocks = int(size // INDEX_BYTES + 1)
     spread = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    terms = items.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
-    counts = terms.groupBy("term").count()
     for b in range(blocks):
-        rows = spread.where(F.col("block") == b).orderBy("item").select("item", "text").collect()
+        rows = spread.where(F.col("block") == b).orderBy("item", "text").select("item", "text").collect()
         own = sorted({w for _, t in rows for w in words(t)})
-        if blocks == 1:
-            known = Counter(w for _, t in rows for w in set(words(t)))
-        else:
-            known = dict(counts.join(items.sparkSession.createDataFrame([(w,) for w in own], "term string"), "term", "left_semi").collect())
-            known = {w: known.get(w, 1) for w in own}
+        known = dict(counts.join(items.sparkSession.createDataFrame([(w,) for w in own], "term string"), "term", "left_semi").collect())
         yield Index([tuple(r) for r in rows], n, known, max(1.0, total / max(1, n)))
 
 
