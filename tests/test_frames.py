@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.functions import fieldmap, vectors
+from tidewell.functions import filters as fl
 from tidewell.functions import types as ty
 from tidewell.operators import enrich, joins, shape
 from tidewell.plans import checkpoints, sinks, telemetry
@@ -249,3 +251,75 @@ def test_llm_is_not_needed():
     from pathlib import Path
 
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_long_lists_and_frames_of_values_anywhere(spark):
+    rows = [(k if k % 7 else None, f"t{k % 3}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)) for k in range(6100)]
+    df = spark.createDataFrame(rows, "k long, t string, ts timestamp_ntz")
+    gate = Gateway(spark, df, field_map={"k": "key"})
+    days = [(dt.date(2020, 1, 1) + dt.timedelta(days=j)) for j in range(6000)]
+    n = lambda **f: gate.load(**f).count()
+    for size in (5000, 5001, 6000):
+        values = list(range(size))
+        inside = sum(r[0] is not None and r[0] < size for r in rows)
+        known = sum(r[0] is not None for r in rows)
+        assert n(key__in=values) == inside and n(key__in=values, exclude=True) == known - inside
+        assert n(key__not_in=values) == known - inside and n(key__not_in=values, exclude=True) == inside
+        assert n(key__in=[*values, None]) == inside + len(rows) - known
+        assert n(key__not_in=[*values, None]) == known - inside
+        assert gate.load({"$or": [{"key__in": values}, {"t": "t0"}]}).count() == sum(r[0] is not None and r[0] < size or r[1] == "t0" for r in rows)
+        assert gate.load({"$not": {"key__in": values, "t": "t0"}}).count() == sum(r[1] != "t0" or r[0] is not None and r[0] >= size for r in rows)
+        with pytest.raises(fl.FilterError):
+            Gateway(spark, df, allowed=["t"]).load(k__in=values)
+    assert n(ts__date__in=days[:5000]) == n(ts__date__in=days) == len(rows)
+    assert n(ts__date__in=[d.isoformat() for d in days[:5001]]) == len(rows)
+    assert n(ts__year__in=[2024] * 9 + list(range(3000, 9000))) == sum(r[2].year == 2024 for r in rows)
+    keys = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k long")
+    assert n(key__in=keys) == 2 and n(key__in=keys, exclude=True) == n(key__not_in=keys) == sum(r[0] is not None for r in rows) - 2
+    assert gate.load({"$or": [{"key__in": keys}, {"key": 5}]}).columns == ["key", "t", "ts"]
+    assert fl.apply(df, k__in=keys).count() == 2
+
+
+def test_since(spark, tmp_path):
+    rows = [(k, f"e{k}") for k in range(1, 11)]
+    spark.createDataFrame(rows, "seq long, name string").createOrReplaceTempView("since_events")
+    store = bookmarks.JsonStore(spark, str(tmp_path / "wm.json"))
+    gate = Gateway(spark, "since_events")
+    assert len(gate.load(since="seq", watermark_store=store, return_type="pandas")) == 10 and store.read("since_events") == 10
+    assert gate.load(since="seq", watermark_store=store).count() == 0
+    store.write("since_events", 7)
+    assert sorted(gate.load({"name__ne": "e9"}, since=("seq", store, "since_events"), return_type="pandas")["seq"]) == [8, 10]
+    assert store.read("since_events") == 10
+    assert gate.load(since="seq", watermark_store=store, watermark_source="x", watermark_operator="gte", watermark_initial=9).count() == 2
+    with pytest.raises(ValueError):
+        gate.load(since="seq")
+    with pytest.raises(ValueError):
+        Gateway(spark, spark.range(3)).load(since="id", watermark_store=store)
+    with pytest.raises(TypeError):
+        gate.load(since=3, watermark_store=store)
+
+
+def test_evolved_reads_keep_folders_columns(spark, tmp_path):
+    path = str(tmp_path / "evolved")
+    sink = sinks.ParquetSink(spark, path, ["p"])
+    sink.write(spark.createDataFrame([(1, 1.5, "a"), (2, 2.5, "b")], "id int, x float, p string"))
+    sink.write(spark.createDataFrame([(3, "late", "a")], "id long, note string, p string"), overwrite=False)
+    df = files.ParquetSource(path, evolved=True).read(spark)
+    assert sorted(df.columns) == ["id", "note", "p", "x"]
+    assert sorted((r.id, r.p) for r in df.collect()) == [(1, "a"), (2, "b"), (3, "a")]
+    some = df.where("p = 'b'")
+    assert [r.id for r in some.collect()] == [2] and "PartitionFilters: [isnotnull(p" in some._jdf.queryExecution().toString()
+
+
+def test_pages_zones_and_marks(spark, tmp_path):
+    df = spark.createDataFrame([(k, "x") for k in range(25)], "id long, n string")
+    assert [[r.id for r in p.collect()] for p in Gateway(spark, df).iter_pages("id", 10)] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+    assert list(Gateway(spark, df.limit(0)).iter_pages("id", 10)) == []
+    local = spark.createDataFrame([(dt.datetime(2024, 7, 1, 12),)], "t timestamp_ntz")
+    assert ty.assume_zone(local, {"t": "Europe/Madrid"}).select((F.unix_seconds("t")).alias("s")).first().s == 1719828000
+    with pytest.raises(ty.SchemaValidationError):
+        ty.assume_zone(df, {"id": "UTC"})
+    store = bookmarks.JsonStore(spark, str(tmp_path / "m.json"))
+    for v in (1, 2):
+        store.write("a", v)
+    assert store.read("a") == 2

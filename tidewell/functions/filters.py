@@ -23,6 +23,8 @@ OPERATORS = ("exact", "not_exact", "gt", "gte", "lt", "lte", "in", "not_in", "ra
 SHORT = {"ne": "not_exact", "nin": "not_in"}
 CASTS = ("date", "time", "year", "month", "day", "hour", "minute", "second", "week_day")
 LONGEST_PATTERN = 500
+#: Lists beyond so many values are joined with instead of written into the plan; the rows are the same.
+LONG_LIST = 5_000
 
 
 class FilterError(ValueError):
@@ -54,6 +56,16 @@ class ColOp(Expr):
     cast: str | None = None
 
 
+@dataclass(frozen=True)
+class Joined(Expr):
+    """A membership whose values were joined with: ``mark`` is true where one matched, and ``key`` is what was compared."""
+
+    op: str
+    key: Column
+    mark: str
+    nulls: bool
+
+
 @dataclass(frozen=True)
 class And(Expr):
     parts: tuple[Expr, ...]
@@ -244,6 +256,11 @@ def compile_expr(expr: Expr, schema: T.StructType) -> Column:
         return reduce(lambda a, b: a & b, (compile_expr(p, schema) for p in expr.parts))
     if isinstance(expr, Or):
         return reduce(lambda a, b: a | b, (compile_expr(p, schema) for p in expr.parts))
+    if isinstance(expr, Joined):
+        found = F.when(expr.key.isNull(), F.lit(None).cast("boolean")).otherwise(F.col(expr.mark).isNotNull())
+        if expr.op == "in":
+            return found | expr.key.isNull() if expr.nulls else found
+        return ~found & expr.key.isNotNull() if expr.nulls else ~found
     if expr.column not in schema.names:
         raise FilterError(f"{expr.column!r}: no such column")
     kind, column = schema[expr.column].dataType, F.col(f"`{expr.column}`")
@@ -253,14 +270,98 @@ def compile_expr(expr: Expr, schema: T.StructType) -> Column:
     return _compare(_cast(column, expr.cast, kind), expr.op, expr.value, lit)
 
 
+def _long(expr: Expr) -> bool:
+    return isinstance(expr, ColOp) and (isinstance(expr.value, DataFrame) or expr.op in ("in", "not_in") and isinstance(expr.value, (list, tuple, set, frozenset)) and len(expr.value) > LONG_LIST)
+
+
+def _members(df: DataFrame, leaf: ColOp) -> tuple[Column, DataFrame, bool]:
+    """What a long membership compares, its distinct values as a frame of one column, and whether null is one of a list's."""
+    if leaf.op not in ("in", "not_in"):
+        raise FilterError(f"{leaf.column}: a frame of values goes with in or not_in")
+    if leaf.column not in df.columns:
+        raise FilterError(f"{leaf.column!r}: no such column")
+    column, kind = F.col(f"`{leaf.column}`"), df.schema[leaf.column].dataType
+    key = _cast(column, leaf.cast, kind) if leaf.cast else column
+    kind = df.select(key).schema[0].dataType
+    if isinstance(leaf.value, DataFrame):
+        first = F.col(f"`{leaf.value.columns[0]}`")
+        own = leaf.value.schema[0].dataType
+        given = leaf.value.select((_cast(first, leaf.cast, own) if leaf.cast and own != kind else first).alias("_member"))
+        return key, given.where("_member IS NOT NULL").distinct(), False
+    values = list(dict.fromkeys(leaf.value))
+    plain = [v for v in values if v is not None]
+    if leaf.cast == "date":
+        plain = [_date(v) for v in plain]
+    elif leaf.cast:
+        plain = [_seconds(v) if leaf.cast == "time" else int(v) for v in plain]
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)):
+        if isinstance(kind, T.TimestampNTZType):
+            plain = [v.astimezone(dt.UTC).replace(tzinfo=None) if isinstance(v, dt.datetime) and v.tzinfo else v for v in plain]
+        plain = [v.isoformat(" ") if isinstance(v, dt.datetime) else v.isoformat() if isinstance(v, dt.date) else str(v) for v in plain]
+    elif len({type(v) for v in plain}) > 1:
+        plain = [float(v) for v in plain]
+    given = df.sparkSession.createDataFrame([(v,) for v in plain], None if plain else "_member string").toDF("_member")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        given = given.select(F.col("_member").cast(kind))
+    return key, given.distinct(), None in values
+
+
+def _joined(df: DataFrame, expr: Expr) -> tuple[DataFrame, Expr]:
+    """``df`` with a mark for each long membership of the tree, and the tree over those marks."""
+    if _long(expr):
+        key, given, nulls = _members(df, expr)
+        mark = "_mark"
+        while mark in df.columns:
+            mark = "_" + mark
+        given = given.select(F.col("_member").alias(mark))
+        return df.join(given, key == F.col(mark), "left"), Joined(expr.op, key, mark, nulls)
+    if isinstance(expr, Not):
+        df, part = _joined(df, expr.part)
+        return df, Not(part)
+    if isinstance(expr, (And, Or)):
+        parts = []
+        for p in expr.parts:
+            df, part = _joined(df, p)
+            parts.append(part)
+        return df, type(expr)(tuple(parts))
+    return df, expr
+
+
 def apply(df: DataFrame, filters: Mapping[str, Any] | Expr | None = None, *, exclude: bool = False, **more: Any) -> DataFrame:
-    """The rows for which all filters hold, or with ``exclude`` for which they are false."""
+    """The rows for which all filters hold, or with ``exclude`` for which they are false.
+
+    A membership in a frame's first column (nulls there match nothing) or in a
+    long list is a join: a semi- or anti-join where it has to hold by itself,
+    else a left join that marks the rows, so that it may stand anywhere in a
+    tree.
+    """
     expr = parse(filters, df.columns)
     if more:
         expr = parse(more, df.columns) if isinstance(expr, TrueExpr) else And((expr, parse(more, df.columns)))
     if exclude:
         expr = Not(expr)
-    return df if isinstance(expr, TrueExpr) else df.where(compile_expr(expr, df.schema))
+    columns = df.columns
+    parts = _conjuncts(expr)
+    rest = [p for p in parts if not _long(p)]
+    if rest:
+        marked, expr = _joined(df, rest[0] if len(rest) == 1 else And(tuple(rest)))
+        if not isinstance(expr, TrueExpr):
+            df = marked.where(compile_expr(expr, marked.schema))
+            df = df.select(*(F.col(f"`{c}`") for c in columns)) if df.columns != columns else df
+    for leaf in parts:
+        if _long(leaf):
+            key, given, nulls = _members(df, leaf)
+            if leaf.op == "not_in":
+                df = df.where(key.isNotNull()).join(given, key == F.col("_member"), "left_anti")
+            else:
+                if nulls:
+                    given = given.unionByName(given.limit(0).groupBy().agg(F.max("_member").alias("_member")))
+                df = df.join(given, key.eqNullSafe(F.col("_member")) if nulls else key == F.col("_member"), "left_semi")
+    return df
+
+
+def _conjuncts(expr: Expr) -> list[Expr]:
+    return [x for p in expr.parts for x in _conjuncts(p)] if isinstance(expr, And) else [expr]
 
 
 def fields(expr: Expr) -> set[str]:

@@ -100,6 +100,15 @@ def align_for_join(left: DataFrame, right: DataFrame, schema: Mapping[str, str |
     return apply_schema_map(left, schema), apply_schema_map(right, schema)
 
 
+def assume_zone(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Columns of local times as instants, each read in its zone."""
+    wrong = [c for c in columns if not isinstance(df.schema[c].dataType, T.TimestampNTZType)]
+    if wrong:
+        raise SchemaValidationError(f"not local times: {', '.join(wrong)}")
+    local = lambda c, zone: F.convert_timezone(F.lit(zone), F.current_timezone(), F.col(f"`{c}`")).cast("timestamp")
+    return df.withColumns({c: local(c, zone) for c, zone in columns.items()})
+
+
 # ---------------------------------------------------------------- widening
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 

@@ -27,8 +27,10 @@ log = logging.getLogger(__name__)
 RETURN_TYPES = ("spark", "pandas", "arrow", "polars", "auto")
 #: A result of up to so many rows is "small" for ``return_type="auto"``.
 AUTO_ROWS = 10_000
+#: ... and so is one of up to so many files and estimated bytes.
+AUTO_FILES, AUTO_BYTES = 4, 32 << 20
 #: Names that are options of a load; all others are filters.
-CONTROLS = frozenset("filters columns limit sql params allow_raw_sql return_type df_options df_params exclude since persist dry_run diagnostics timeout start end dt_field statement return_schema".split())
+CONTROLS = frozenset("filters columns limit sql params allow_raw_sql return_type df_options exclude since watermark_store watermark_source watermark_operator watermark_initial persist dry_run diagnostics timeout start end dt_field statement return_schema".split())
 
 
 @dataclass(frozen=True)
@@ -95,9 +97,13 @@ class Gateway:
         """One lazy plan; ``return_type`` other than spark collects it.
 
         Runtime filters win over the gateway's own on the same key; ``filters``
-        wins over keywords. ``since`` is (field, store, source) or a field with
-        ``store``: see ``load_incremental``.
+        wins over keywords. With ``since``, a field or (field, store, source),
+        only rows past the source's mark come, and the mark moves when they are
+        there; ``watermark_store`` and ``watermark_source`` (the table, if not
+        given) go with a field.
         """
+        if more.get("since") is not None:
+            return self._since(filters, more)
         controls = {k: more.pop(k) for k in list(more) if k in CONTROLS}
         kind = controls.get("return_type", "spark")
         if kind not in RETURN_TYPES:
@@ -108,8 +114,7 @@ class Gateway:
             df = controls.get("statement")
             df = self.relation() if df is None else df
         names = fm.FieldMap(self.field_map)
-        given = self._series(df, names, dict(self.filters) | more | dict(filters or {}))
-        df, given = given
+        given = dict(self.filters) | more | dict(filters or {})
         semantic = [self.field_map.get(c, c) for c in df.columns]
         expr = names.filters(fl.parse(given, semantic))
         if self.allowed is not None and (bad := {self.field_map.get(c, c) for c in fl.fields(expr)} - set(self.allowed)):
@@ -135,26 +140,36 @@ class Gateway:
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
         return self._returned(df, kind, options, controls.get("timeout"))
 
-    def _series(self, df: DataFrame, names: fm.FieldMap, given: dict[str, Any]) -> tuple[DataFrame, dict[str, Any]]:
-        """Filters whose values are a frame's key column become semi-joins; long lists do too."""
-        rest = {}
-        for key, value in given.items():
-            if isinstance(value, DataFrame) or key.endswith("__in") and isinstance(value, (list, tuple, set)) and len(value) > 5_000:
-                column, _, op = fl.parse_key(key, [self.field_map.get(c, c) for c in df.columns])
-                if op not in ("in", "not_in"):
-                    raise fl.FilterError(f"{key}: a frame of keys goes with in or not_in")
-                on = names.storage.get(column, column)
-                if op == "in":
-                    df = joins.semi_join(df, value if isinstance(value, DataFrame) else list(dict.fromkeys(value)), on, nulls=not isinstance(value, DataFrame) and None in value)
-                else:
-                    df = joins.anti_join(df.where(df[on].isNotNull()), value, on)
-            else:
-                rest[key] = value
-        return df, rest
+    def _since(self, filters: Mapping[str, Any] | None, more: dict[str, Any]) -> Any:
+        since = more.pop("since")
+        store, source, operator, initial = (more.pop(f"watermark_{k}", d) for k, d in (("store", None), ("source", None), ("operator", "gt"), ("initial", None)))
+        if isinstance(since, tuple):
+            if len(since) != 3:
+                raise ValueError("since is a field or (field, store, source)")
+            field_, store, source = since
+        elif isinstance(since, str):
+            field_ = since
+        else:
+            raise TypeError("since is a field or (field, store, source)")
+        if store is None:
+            raise ValueError("since needs a store of marks: give watermark_store")
+        source = source or (self.source if isinstance(self.source, str) else getattr(self.source, "table", None) or getattr(self.source, "path", None))
+        if not source:
+            raise ValueError("since needs a name for the mark: give watermark_source")
+        kind, timeout = more.pop("return_type", "spark"), more.get("timeout")
+        both = lambda mark: {"$and": [x for x in (dict(filters or {}), dict(mark)) if x]} if filters and mark else dict(filters or {}) | dict(mark)
+        found = bookmarks.load(lambda mark: self.load(both(mark), **more), field_, store, source, operator=operator, initial=initial, commit=False)
+        options = more.get("df_options") or self.options
+        out = self._returned(found.frame, kind, FrameOptions(**options) if isinstance(options, Mapping) else options, timeout)
+        bookmarks.commit_mark(store, source, found)
+        return out
 
     def _returned(self, df: DataFrame, kind: str, options: FrameOptions, timeout: float | None) -> Any:
         if kind == "auto":
-            kind = "pandas" if shape.bounded_count(df, AUTO_ROWS) <= AUTO_ROWS else "spark"
+            # few and small files, or few rows, are small; what the planner thinks huge isn't counted
+            size = files.summary(df)
+            small = 0 < size["files"] <= AUTO_FILES and size["bytes"] <= AUTO_BYTES
+            kind = "pandas" if small or shape.bounded_count(df, AUTO_ROWS) <= AUTO_ROWS else "spark"
         if kind == "spark":
             return df
         with telemetry.span("collect", kind=kind):
@@ -179,6 +194,15 @@ class Gateway:
     async def aload(self, filters: Mapping[str, Any] | None = None, **more: Any) -> Any:
         return await asyncio.to_thread(self.load, filters, **more)
 
+    async def adescribe(self, most: int = 10_000, **more: Any) -> dict[str, Any]:
+        return await asyncio.to_thread(self.describe, most, **more)
+
+    async def apreview(self, n: int = 5, **more: Any):
+        return await asyncio.to_thread(self.preview, n, **more)
+
+    async def aload_incremental(self, field_: str, store: bookmarks.Store, source: str, **more: Any) -> bookmarks.Increment:
+        return await asyncio.to_thread(self.load_incremental, field_, store, source, **more)
+
     def load_period(self, dt_field: str, start: Any, end: Any, **more: Any) -> Any:
         return self.load(dt_field=dt_field, start=start, end=end, **more)
 
@@ -220,6 +244,10 @@ class Gateway:
         if sum(b.num_rows for b in held):
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
+    def iter_pages(self, key: str, size: int = jdbc.CHUNK, filters: Mapping[str, Any] | None = None, **more: Any) -> Iterator[DataFrame]:
+        """Pages of up to ``size`` rows in the order of a unique key, each by the rows past the last one's key."""
+        return jdbc.keyset(self.load(filters, **more), key, size)
+
     def with_options(self, **options: Any) -> Gateway:
         return replace(self, options=replace(self.options, **options))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,17 +42,22 @@ def with_partition_date(df: DataFrame, source: str, name: str = "partition_date"
     return df.withColumn(name, day.cast("string"))
 
 
-def check_partitions(df: DataFrame, columns: Sequence[str]) -> None:
-    """No value of a partition column is empty, a relative folder, or holds a separator or NUL."""
+#: What a failed write says of a partition value, for the driver to tell it from other failures.
+_BAD = "can't be a folder's name"
+
+
+def _bad(c: str) -> Column:
+    c = F.col(f"`{c}`")
+    return c.isin("", ".", "..") | c.contains("/") | c.contains("\\") | c.contains("\0")
+
+
+def check_partitions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` whose write fails where a value of a partition column is empty, a relative folder, or holds a separator or NUL."""
     for c in columns:
         if c not in df.columns:
             raise KeyError(f"{c}: no such column to partition by")
     texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    if not texts:
-        return
-    bad = df.select(*(f"`{c}`" for c in texts)).where(" OR ".join(f"(`{c}` IN ('', '.', '..') OR contains(`{c}`, '/') OR contains(`{c}`, '\\\\') OR contains(`{c}`, char(0)))" for c in texts)).limit(1).collect()
-    if bad:
-        raise PartitionValueError(f"{bad[0].asDict()} can't be a folder's name")
+    return df.withColumns({c: F.when(_bad(c), F.raise_error(F.concat(F.lit(f"{c} = "), F.col(f"`{c}`"), F.lit(f" {_BAD}"))).cast("string")).otherwise(F.col(f"`{c}`")) for c in texts})
 
 
 def _safe(path: str) -> str:
@@ -86,7 +91,7 @@ class _Folder:
     def write(self, df: DataFrame, *, overwrite: bool = True) -> SinkResult:
         """Overwriting writes a sibling folder and then swaps, so that a dataset may be read while it is replaced."""
         path = _safe(self.path)
-        check_partitions(df, self.partition_on)
+        df = check_partitions(df, self.partition_on)
         with telemetry.span("sink", kind=self.kind):
             before = set() if overwrite else set(hadoop.listed(self.spark, path, self.suffix))
             if overwrite:
@@ -105,7 +110,17 @@ class _Folder:
         writer = df.write.mode(mode).options(**self.options)
         if self.partition_on:
             writer = writer.partitionBy(*self.partition_on)
-        getattr(writer, self.kind)(path)
+        _written(getattr(writer, self.kind), path)
+
+
+def _written(write: Callable[[str], None], path: str) -> None:
+    """Write; a bad partition value, found by the tasks, is the caller's error."""
+    try:
+        write(path)
+    except Exception as e:
+        if _BAD in str(e):
+            raise PartitionValueError(next(x for x in str(e).split("\n") if _BAD in x)) from e
+        raise
 
 
 @dataclass(frozen=True)
@@ -135,7 +150,7 @@ class CsvSink(_Folder):
 
     def _save(self, df: DataFrame, path: str, mode: str) -> None:
         writer = df.write.mode(mode).option("header", True).options(**self.options)
-        (writer.partitionBy(*self.partition_on) if self.partition_on else writer).csv(path)
+        _written((writer.partitionBy(*self.partition_on) if self.partition_on else writer).csv, path)
 
 
 @dataclass(frozen=True)
@@ -158,18 +173,25 @@ class UpsertSink:
     def write(self, df: DataFrame, *, overwrite: bool = False) -> SinkResult:
         if not self.keys or any(k not in df.columns for k in self.keys):
             raise KeyError("an upsert needs its key columns")
-        if not df.groupBy(*self.keys).count().where("count > 1").isEmpty():
-            raise ValueError("several rows of one key")
         path = _safe(self.path)
-        if not overwrite and hadoop.listed(self.spark, path, ".parquet"):
-            old = self.spark.read.parquet(path)
-            check_widening(df.schema, old.schema)
-            match = [old[k].eqNullSafe(df[k]) for k in self.keys]
-            condition = match[0]
-            for m in match[1:]:
-                condition = condition & m
-            df = ty.union_widened(old.join(df, condition, "left_anti"), df, stringify=False)
-        return ParquetSink(self.spark, path, self.partition_on).write(df)
+        fresh = f"{path}.rows-{uuid.uuid4().hex}"
+        try:
+            # the new rows are computed once, though they are checked, matched and written
+            df.write.parquet(fresh)
+            df = self.spark.read.schema(df.schema).parquet(fresh)
+            if not df.groupBy(*self.keys).count().where("count > 1").isEmpty():
+                raise ValueError("several rows of one key")
+            if not overwrite and hadoop.listed(self.spark, path, ".parquet"):
+                old = self.spark.read.parquet(path)
+                check_widening(df.schema, old.schema)
+                match = [old[k].eqNullSafe(df[k]) for k in self.keys]
+                condition = match[0]
+                for m in match[1:]:
+                    condition = condition & m
+                df = ty.union_widened(old.join(df, condition, "left_anti"), df, stringify=False)
+            return ParquetSink(self.spark, path, self.partition_on).write(df)
+        finally:
+            hadoop.delete(self.spark, fresh)
 
 
 # ------------------------------------------------------------------ registry

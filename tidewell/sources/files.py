@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections import defaultdict
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -98,24 +98,49 @@ def _status(spark: SparkSession, path: str) -> tuple[int, int]:
     return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
 
 
+def _schemas(spark: SparkSession, names: list[str]) -> dict[str, tuple[T.StructType, list[str]]]:
+    """The schemas that occur, by text, each with its files. One job reads the footers, a file a row."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    def footers(batches):
+        for rows in batches:
+            out = []
+            for name in rows["path"]:
+                try:
+                    fs, path = pafs.FileSystem.from_uri(name)
+                    with fs.open_input_file(path) as file:
+                        found = pq.read_schema(file)
+                    own = (found.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+                    out.append(own.decode() if own else None)
+                except Exception:  # whatever a path is of that only Spark can open
+                    out.append(None)
+            yield rows.assign(schema=out)
+
+    told = spark.createDataFrame([(n,) for n in names], "path string").repartition(min(len(names), 200)).mapInPandas(footers, "path string, schema string").collect()
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for row in sorted(told):
+        # files that Spark didn't write, or that tasks can't open, are asked one by one
+        schema = T.StructType.fromJson(json.loads(row.schema)) if row.schema else spark.read.parquet(row.path).schema
+        groups.setdefault(",".join(f"{f.name} {f.dataType.simpleString()}" for f in schema), (schema, []))[1].append(row.path)
+    return groups
+
+
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:
     """Files whose schemas differ: each column has the type that all widen to, or text.
 
-    The files' own schemas are read by Spark, a file list a schema; files of one
-    schema are one scan.
+    Files of one schema are one scan. Columns that folders name (``p=1``) come
+    too, and filters on them leave folders unread.
     """
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
     names = sorted(r.path for r in files.toLocalIterator())
     if not names:
         return spark.createDataFrame([], T.StructType([]))
-    groups: dict[str, list[str]] = defaultdict(list)
-    schemas: dict[str, T.StructType] = {}
-    for name in names:
-        schema = spark.read.parquet(name).schema
-        key = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-        schemas[key] = schema
-        groups[key].append(name)
-    return ty.union_widened(*(spark.read.schema(schemas[k]).parquet(*v) for k, v in groups.items()))
+    scans = []
+    for schema, own in _schemas(spark, names).values():
+        reader = spark.read.option("basePath", path) if any("=" in n[len(path) :] for n in own) else spark.read
+        scans.append(reader.schema(schema).parquet(*own))
+    return ty.union_widened(*scans)
 
 
 def summary(df: DataFrame) -> dict[str, int]:

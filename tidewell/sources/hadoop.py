@@ -38,10 +38,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(aside, p):
-        raise OSError(f"{path} can't be replaced")
+    sc = spark.sparkContext
+    rename = sc._jvm.org.apache.hadoop.fs.Options.Rename
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(aside), fs.makeQualified(p), how)
 
 
 def delete(spark: SparkSession, path: str) -> None:

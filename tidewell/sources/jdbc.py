@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.sources import guard
 
@@ -112,6 +113,27 @@ class RangePlan:
         return cls(**json.loads(text))
 
 
+def keyset(df: DataFrame, key: str, size: int = CHUNK) -> Iterator[DataFrame]:
+    """Pages of up to ``size`` rows in the order of a unique key without nulls.
+
+    A page's rows lie past the last page's largest key, so that a source reads
+    a range and no page counts the rows before it. The driver has a key a page.
+    """
+    if size < 1:
+        raise ValueError("a page has a row at least")
+    c, last = F.col(f"`{key}`"), None
+    while True:
+        rest = df if last is None else df.where(c > F.lit(last))
+        page = rest.orderBy(c.asc_nulls_last()).limit(size)
+        n, top = page.agg(F.count("*"), F.max(c)).first()
+        if not n:
+            return
+        yield page.where(c <= F.lit(top)) if top is not None else page
+        if n < size or top is None:
+            return
+        last = top
+
+
 def described(df: DataFrame, most: int = 10_000) -> dict[str, Any]:
     """Types, and the row count up to a bound."""
     n = df.limit(most + 1).count()
@@ -122,5 +144,3 @@ def repository_get(df: DataFrame, key: str, value: Any) -> dict | None:
     """The row of a key."""
     row = df.where(df[key] == value).head(1)
     return row[0].asDict() if row else None
-
-

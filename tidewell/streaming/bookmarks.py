@@ -112,7 +112,7 @@ def load(read: Callable[[Mapping[str, Any]], DataFrame], field: str, store: Stor
 
     A stored 0 is a mark. A mark never moves back. It is committed when the
     maximum is known; write the rows first and ``commit_mark`` after, if a mark
-    must follow a write.
+    must follow a write. The frame ends at the mark, though rows may come later.
     """
     previous = store.read(source)
     previous = initial if previous is None else previous
@@ -120,6 +120,8 @@ def load(read: Callable[[Mapping[str, Any]], DataFrame], field: str, store: Stor
     previous = typed(previous, schema[field].dataType)
     df = read(build_filters(field, previous, operator))
     current = high_water(df, field)
+    if current is not None:
+        df = df.where(~F.coalesce(F.col(f"`{field}`") > F.lit(current), F.lit(False)))
     if current is None or previous is not None and current < previous:
         current = previous
     moved = current is not None and current != previous
