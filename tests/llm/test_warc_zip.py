@@ -66,6 +66,23 @@ def test_responses_and_revisits(spark):
     assert run(spark, []) == []
 
 
+def heads(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, archive string")
+    for name in [r.archive for r in wz.write_archives(pages, common.shared_dir(spark, "w")).collect()]:
+        fs, path = common.filesystem(name)
+        with fs.open_input_file(path) as file:
+            yield from (head for _, head, _, _ in wz.ArchiveReader(file).records())
+
+
+def test_record_ids_are_unique_and_referred_to(spark):
+    rows = [(k % 6, f"u{k}", "same" if k % 2 else f"p{k // 4}", "x") for k in range(60)]
+    for given in (rows, rows * 2):
+        found = list(heads(spark, given))
+        ids, refers = {h["WARC-Record-ID"] for h in found}, {h["WARC-Refers-To"] for h in found if "WARC-Refers-To" in h}
+        assert len(ids) == len(found) == len(given) and len(refers) > 1
+        assert refers <= ids or given is not rows
+
+
 def test_query(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     largest = {}

@@ -6,13 +6,15 @@ The reader parses the central directory (with ZIP64 records where sizes or
 counts need them), finds the stored index and WARC members, and reads single
 records by range; it extracts no member.
 
-Of records with equal payloads the one with the largest page id is the
-response; the others are revisit records of the identical-payload-digest
+Only payloads that occur several times are dealt by digest, each over ``SALTS``
+tasks; all others are written where they lie. Of records with equal payloads the
+one with the largest page id is the response; the others are revisit records of the identical-payload-digest
 profile that keep the HTTP head and refer to it. Payloads shorter than
 ``least`` bytes are all responses.
 
 Defined results: a null html is an empty payload; rows that repeat a page id
-and a payload are responses each where that id is the largest; a null id never
+and a payload are responses each where that id is the largest, and have record
+ids of their own, so that what refers to them names their page and payload; a null id never
 is the largest unless all are; an empty table gives no archive and no row.
 """
 
@@ -26,6 +28,7 @@ import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import common
 
+#: A repeated payload's rows go to so many tasks.
+SALTS = 32
 #: Archives are closed at about so many bytes.
 ARCHIVE_MB = 24
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,24 +51,27 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def record_id(page_id: int | None, url: str | None, said: str, own: str = "") -> str:
+    """A record's id, by its page, payload and address, and a mark of its ``own`` where those may occur again."""
+    mark = "" if url is None else f"{zlib.crc32(url.encode()):08x}"
+    return f"<urn:page:{'null' if page_id is None else page_id}:{said}:{mark}{own and ':'}{own}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers: int | None, refers_url: str | None = None, own: str = "") -> bytes:
     """One WARC record, not compressed."""
+    said = digest(payload)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + (payload if kind == "response" else b"")
     target = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, url, said, own)}",
         f"WARC-Target-URI: {target}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{said}",
         "Content-Type: application/http; msgtype=response",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers)}"] if kind == "revisit" else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers, refers_url, said)}"] if kind == "revisit" else []),
         f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -89,9 +97,9 @@ class ArchiveWriter:
     def size(self) -> int:
         return self.data.tell()
 
-    def add(self, page_id, url, payload: bytes, kind: str, refers) -> None:
+    def add(self, page_id, url, payload: bytes, kind: str, refers, refers_url=None, own: str = "") -> None:
         at = self.data.tell()
-        self.data.write(gzip.compress(record(page_id, url, payload, kind, refers), 4, mtime=0))
+        self.data.write(gzip.compress(record(page_id, url, payload, kind, refers, refers_url, own), 4, mtime=0))
         self.lines.append(json.dumps({"page": page_id, "offset": at, "length": self.data.tell() - at, "type": kind}))
 
     def archive(self, zip64: bool = False) -> bytes:
@@ -177,12 +185,18 @@ def write_archives(pages: DataFrame, to: str, *, id_col: str = "page_id", url_co
 
     Which record is the response comes from an aggregate over digests, so that
     many copies of one payload are counted before anything is shuffled; only
-    digests of several rows are joined back.
+    rows of digests with several rows are shuffled and joined back.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
-    best = rows.groupBy("sha").agg(F.max("page").alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "best")
-    todo = rows.join(best, "sha", "left").select("page", "url", "html", "best")
+    alike = rows.groupBy("sha", "page", "url").agg(F.count("*").alias("n"))
+    best = alike.groupBy("sha").agg(F.max(F.struct("page", "url", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1").select("sha", "best")
+    best = common.written(best, "repeated")
+    # a payload that the bit map lets by is joined with nothing
+    once = common.marked(rows, F.col("sha"), best.select("sha"), other=True).select("page", "url", "html", F.lit(None).cast("struct<page:long,url:string,n:long>").alias("best"))
+    again = common.marked(rows, F.col("sha"), best.select("sha")).withColumn("salt", F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    todo = once.unionByName(again.join(best, ["sha", "salt"], "left").select("page", "url", "html", "best"))
 
     def run(batches):
         fs = root = None
@@ -203,8 +217,10 @@ def write_archives(pages: DataFrame, to: str, *, id_col: str = "page_id", url_co
                 fs.create_dir(root, recursive=True)
             for page, url, html, top in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 payload = html.encode()
-                again = top is not None and page != top and len(payload) >= least
-                writer.add(page, url, payload, "revisit" if again else "response", top if again else None)
+                again = top is not None and page != top["page"] and len(payload) >= least
+                # a response that others refer to has a plain id, if it is one row
+                plain = top is None or (page, url, 1) == (top["page"], top["url"], top["n"])
+                writer.add(page, url, payload, "revisit" if again else "response", *((top["page"], top["url"]) if again else (None, None)), "" if plain else uuid.uuid4().hex)
                 if writer.size > ARCHIVE_MB << 20:
                     flush()
         if writer.lines:
@@ -216,7 +232,7 @@ def write_archives(pages: DataFrame, to: str, *, id_col: str = "page_id", url_co
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) from the archives' records."""
-    number = lambda x: None if x is None or x.endswith("null>") else int(x[len("<urn:page:") : -1])
+    number = lambda x: None if x is None or (n := x[len("<urn:page:") : -1].split(":")[0]) == "null" else int(n)
 
     def run(batches):
         for batch in batches:
