@@ -116,6 +116,17 @@ def test_large_groups_find_links_to_texts_that_are_linked_already(spark, monkeyp
     assert {r.doc_id: r.class_id for r in nd.classes(docs).collect()} == want
 
 
+def test_frequent_keys_are_dealt_over_many_tasks(spark, monkeypatch):
+    for name, value in (("SALT", 2), ("SALTS", 5), ("SMALL", 4)):
+        monkeypatch.setattr(nd, name, value)
+    texts = [*variants(random.Random(15), 50), *["one text " * 9] * 12, None]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, _t_id string, chosen string")
+    want = components(texts)
+    assert {r.doc_id: r.class_id for r in nd.classes(docs).collect()} == want
+    kept = nd.survivors(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_labelled_shingles_are_distinct():
     h = sequence("a b c d e " * 40)
     assert len(np.unique(sh.labelled(h))) == len(h) > len(np.unique(h))

@@ -47,6 +47,8 @@ SIMILARITY = 0.8
 CHUNK = 8192
 #: Slots of the counts by which shingles are ordered, rarest first, and the texts that a shingle may have before it is salted.
 SLOTS, SALT = 1 << 20, 2000
+#: Tasks over which the rows of a key with more than ``SALT`` of them are dealt.
+SALTS = 64
 _LAST = (1 << 63) - 1
 _SEED = sh.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -158,10 +160,29 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node binary, keys array<long>, size long")
 
 
+def looked_up(rows: DataFrame, on: str, table: DataFrame) -> DataFrame:
+    """``rows`` (a written table) left-joined with ``table``, which has a row a key; rows of frequent keys go to many tasks."""
+    hot = common.written(rows.groupBy(on).count().where(F.col("count") > SALT).select(on), "hot")
+    if hot.isEmpty():
+        return rows.join(table, on, "left")
+    few = common.marked(table, F.col(on), hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = common.marked(rows, F.col(on), hot).withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    rest = common.marked(rows, F.col(on), hot, other=True).join(table, on, "left")
+    return rest.unionByName(some.join(few, [on, "salt"], "left").drop("salt"))
+
+
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (member, centre, a, b) with both texts; ``pairs`` is a written table. A text that many pairs share goes to many tasks."""
     a = texts.select(F.col("node").alias("member"), F.col("text").alias("a"))
     b = texts.select(F.col("node").alias("centre"), F.col("text").alias("b"))
-    return pairs.join(a, "member").join(b, "centre").select("member", "centre", "a", "b")
+    pairs = pairs.select("member", "centre")
+    hot = common.written(pairs.groupBy("centre").count().where(F.col("count") > SALT).select("centre"), "hot")
+    if hot.isEmpty():
+        return pairs.join(a, "member").join(b, "centre").select("member", "centre", "a", "b")
+    few = common.marked(b, F.col("centre"), hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = common.marked(pairs, F.col("centre"), hot).withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
+    rest = common.marked(pairs, F.col("centre"), hot, other=True).join(a, "member").join(b, "centre")
+    return rest.select("member", "centre", "a", "b").unionByName(some.join(a, "member").join(few, ["centre", "salt"]).select("member", "centre", "a", "b"))
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -259,7 +280,7 @@ def crossed(big: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     spark = labels.sparkSession
     members = common.written(big.join(labels.select("node", F.col("label.node").alias("own")), "node"), "large")
     most = members.groupBy("key", "own").count().groupBy("key").agg(F.max(F.struct("count", "own")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
-    role = members.join(most, "key").groupBy("node", "own").agg(F.max(F.col("own") != F.col("most.own")).alias("asks"))
+    role = looked_up(members, "key", most).where("most IS NOT NULL").groupBy("node", "own").agg(F.max(F.col("own") != F.col("most.own")).alias("asks"))
     role = common.written(role.join(texts, "node"), "asking")
     if role.isEmpty():
         return spark.createDataFrame([], "member binary, centre binary")
@@ -297,21 +318,24 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest label (rep, node) by connected node, from links and the labels so far.
 
     Each round every node takes the smallest label among its own, its
-    neighbours' and its label's label; tables are written between the rounds.
+    neighbours' and its label's label; tables are written between the rounds,
+    and go when the next one is there.
     """
     # what earlier links joined hangs on its label's node, and goes where that goes
     links = links.unionByName(labels.where(F.col("label.node") != F.col("node")).select(F.col("node").alias("member"), F.col("label.node").alias("centre")))
     edges = common.written(links.select(F.col("member").alias("u"), F.col("centre").alias("v")).unionByName(links.select(F.col("centre").alias("u"), F.col("member").alias("v"))).distinct(), "edges")
-    now = common.written(labels, "labels")
+    now, old = labels, None
     while True:
-        near = edges.join(now.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        hop = now.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        near = looked_up(edges, "v", now.select(F.col("node").alias("v"), "label")).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = now.join(near, "node", "left").withColumn("best", F.least("label", F.coalesce("near", "label"))).withColumn("via", F.col("best.node"))
-        step = step.join(hop, "via", "left").select("node", F.least("best", F.coalesce("far", "best")).alias("next"), "label")
-        after = common.written(step, "labels")
+        step = common.written(step.select("node", "label", "best", "via"), "step")
+        hop = now.select(F.col("node").alias("via"), F.col("label").alias("far")).where(F.col("far.node") != F.col("via"))
+        after = common.written(looked_up(step, "via", hop).select("node", F.least("best", F.coalesce("far", "best")).alias("next"), "label"), "labels")
         changed = not after.where(F.col("next") != F.col("label")).isEmpty()
-        now = after.select("node", F.col("next").alias("label"))
+        common.dropped(step, old)
+        old, now = after, after.select("node", F.col("next").alias("label"))
         if not changed:
+            common.dropped(edges)
             return now
 
 
@@ -325,7 +349,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     lone = nodes.where(F.size("keys") > 0).select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
     several = common.written(lone, "keys")
     maybe = common.marked(keyed, F.col("key"), several.select(F.col("key")))
-    groups = common.written(maybe.join(several, "key", "left_semi").distinct(), "groups")
+    maybe = common.written(maybe, "maybe")
+    groups = common.written(looked_up(maybe, "key", several.withColumn("several", F.lit(True))).where("several").select("node", "size", "key").distinct(), "groups")
+    common.dropped(maybe, several)
     in_groups = common.written(groups.select("node").distinct().join(nodes, "node").select("node", "rep", "keys"), "in-groups")
     labels = common.written(in_groups.select("node", F.struct("rep", "node").alias("label")), "labels")
     keys = in_groups.select("node", F.explode("keys").alias("own"))
@@ -333,25 +359,28 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     while not groups.isEmpty():
         # the most popular member of each group is its centre
         sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
-        popular = groups.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("popularity"))
+        popular = looked_up(groups, "key", sizes).groupBy("node").agg(F.sum("n").alias("popularity"))
         members = common.written(groups.join(popular, "node").join(labels, "node"), "members")
         centres = members.groupBy("key").agg(F.max(F.struct("popularity", "node", "label")).alias("c"), F.count("*").alias("n"), F.sum("size").alias("words"))
-        dealt = common.written(members.join(centres, "key").select("key", F.col("node").alias("member"), F.col("c.node").alias("centre"), "n", "words", "size", (F.col("label") != F.col("c.label")).alias("apart")), "dealt")
+        dealt = common.written(looked_up(members, "key", centres).select("key", F.col("node").alias("member"), F.col("c.node").alias("centre"), "n", "words", "size", (F.col("label") != F.col("c.label")).alias("apart")), "dealt")
         if texts is None:
             wanted = labels.select("node", F.col("label.rep").alias("rep"))
             own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rep"), F.unhex(F.md5(text_col)).alias("node"), F.col(text_col).alias("text"))
             own = common.marked(own, F.col("node"), wanted.select("node"))
             texts = common.written(own.join(wanted, ["rep", "node"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-        pairs = dealt.where("apart").select("member", "centre").distinct()
+        pairs = common.written(dealt.where("apart").select("member", "centre").distinct(), "pairs")
         links = common.written(verified(with_texts(pairs, texts)), "links")
+        common.dropped(members, pairs)
         if not links.isEmpty():
             labels = components(links, labels)
-        dealt = dealt.drop("apart")
         mine = labels.select(F.col("node").alias("member"), "label")
         theirs = labels.select(F.col("node").alias("centre"), F.col("label").alias("c_label"))
-        still = dealt.where("n > 2").join(mine, "member").join(theirs, "centre").withColumn("apart", F.col("label") != F.col("c_label"))
-        open_ = still.groupBy("key").agg(F.max("apart").alias("open")).where("open").select("key")
-        still = common.written(still.join(open_, "key", "left_semi"), "still")
+        known = common.written(dealt.where("n > 2").drop("apart").join(mine, "member"), "known")
+        still = common.written(looked_up(known, "centre", theirs).withColumn("apart", F.col("label") != F.col("c_label")), "still")
+        common.dropped(links, dealt, known)
+        open_ = still.groupBy("key").agg(F.max("apart").alias("open")).where("open").select("key", "open")
+        whole, still = still, common.written(looked_up(still, "key", open_).where("open").drop("open"), "still")
+        common.dropped(whole)
         # small groups are settled, once where bands have the same group
         one_task = (F.col("n") <= SMALL) & (F.col("words") <= SMALL_SHINGLES)
         small = still.where(one_task).groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.col("member").alias("node"), F.col("label.node").alias("label")))).alias("m"))
@@ -362,10 +391,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         # large groups: what is apart from the centre is dealt again, by two keys in common; later groups are parts of the first ones
         if big is None:
             big = common.written(still.where(~one_task).select("key", F.col("member").alias("node")), "big")
+        common.dropped(links, groups)
         rest = still.where(~one_task & F.col("apart")).select("key", F.col("member").alias("node"), "size")
         finer = rest.join(keys, "node").select(F.xxhash64("key", "own").alias("key"), "node", "size").distinct().join(labels, "node")
         several = finer.groupBy("key").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("key")
         groups = common.written(finer.join(several, "key", "left_semi").select("key", "node", "size"), "groups")
+        common.dropped(still)
     if big is not None and not big.isEmpty():
         links = common.written(crossed(big, labels, texts), "links")
         if not links.isEmpty():
@@ -373,7 +404,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     linked = labels.where(F.col("label.node") != F.col("node")).select("node", F.col("label.rep").alias("l_rep"), F.col("label.node").alias("l_node"))
     own = nodes.join(linked, "node", "left").select("node", F.coalesce("l_rep", "rep").alias("class_id"), F.coalesce("l_node", "node").alias("class_node"))
     back = lambda c: F.when(F.col(c) != F.lit(_LAST), F.col(c))
-    out = rows.select("doc_id", "node").join(own, "node", "left")
+    common.dropped(groups, texts, big)
+    out = looked_up(rows.select("doc_id", "node"), "node", own)
     return out.select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(back("class_id")).alias("class_id"), "class_node")
 
 
@@ -392,10 +424,11 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     some = docs.where(F.col(text_col).isNotNull()).withColumn(name, node)
     keep = docs.where(F.col(text_col).isNull()).unionByName(common.marked(some, F.col(name), touched.select("node"), other=True).select(*docs.columns))
     asked = common.marked(some, F.col(name), touched.select("node"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_t_id")) & (F.col(name) == F.col("_t_node"))
-    known = touched.select(F.col("doc_id").alias("_t_id"), F.col("node").alias("_t_node"), "chosen")
+    t_id, t_node, chosen = common.fresh(some, "t_id", "t_node", "chosen")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(t_id)) & (F.col(name) == F.col(t_node))
+    known = touched.select(F.col("doc_id").alias(t_id), F.col("node").alias(t_node), F.col("chosen").alias(chosen))
     free = asked.join(known, same, "left_anti").select(*docs.columns)
-    once = asked.join(known.where("chosen"), same, "left_semi").dropDuplicates([id_col, name]).select(*docs.columns)
+    once = asked.join(known.where(chosen), same, "left_semi").dropDuplicates([id_col, name]).select(*docs.columns)
     return keep.unionByName(free).unionByName(once)
 
 
