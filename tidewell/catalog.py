@@ -7,6 +7,8 @@ rounded, as they depend on the order of addition.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,8 @@ from tidewell.functions import types as ty
 from tidewell.functions import vectors
 from tidewell.operators import enrich, joins, shape
 from tidewell.plans import checkpoints, sinks
-from tidewell.plans.gateway import Gateway
-from tidewell.sources import cube, files, jdbc
+from tidewell.plans.gateway import Gateway, Helper
+from tidewell.sources import cube, files, jdbc, profiles
 from tidewell.streaming import bookmarks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +41,6 @@ def _entry(name: str, query: Query, sql: str | None = None) -> None:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A scratch dataset for round trips: below the checkpoint folder that executors share, or in the warehouse."""
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tidewell-{name}-{uuid.uuid4().hex}"
 
@@ -331,6 +331,208 @@ def _batches(spark, sf_dir):
 _entry("iter_batches", _batches, "SELECT CAST(i AS BIGINT) batch, CAST(least(10, c - i * 10) AS BIGINT) n FROM (SELECT count(*) c FROM nation), range(0, 3) t(i)")
 
 
+# ------------------------------------------------- memberships of any size
+_entry("in_exclude_large", lambda s, d: _gateway(s, d, "orders").load(o_orderkey__in=list(range(0, 24_000, 4)), exclude=True, columns=_O.split()), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT unnest(range(0, 24000, 4)))")
+_entry("in_or_large", lambda s, d: _gateway(s, d, "orders").load({"$or": [{"o_orderkey__in": list(range(0, 24_000, 4))}, {"o_orderstatus": "P"}]}, columns=_O.split()), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (SELECT unnest(range(0, 24000, 4))) OR o_orderstatus = 'P'")
+_entry("in_or_frame", lambda s, d: _gateway(s, d, "customer").load({"$or": [{"c_custkey__in": _table(s, d, "orders").where("o_totalprice > 250000").select("o_custkey")}, {"c_acctbal__lt": 0}]}, columns=["c_custkey", "c_name"]), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) OR c_acctbal < 0")
+_entry("in_date_large", lambda s, d: _gateway(s, d, "orders").load(o_orderdate__date__in=[dt.date(1960, 1, 1) + dt.timedelta(days=k) for k in range(13_300)], columns=_O.split()), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1996-05-31'")
+
+# ------------------------------------------------------------ sources, plans
+def _view(spark, sf_dir, name: str) -> str:
+    _table(spark, sf_dir, name).createOrReplaceTempView(f"tidewell_{name}")
+    return f"tidewell_{name}"
+
+
+_CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+_entry("table_scan", lambda s, d: Gateway(s, _view(s, d, "customer")).load(c_acctbal__gt=0, columns=["c_custkey", "c_name", "c_acctbal"]), f"{_CUSTOMERS} WHERE c_acctbal > 0")
+_entry("statement_scan", lambda s, d: Gateway(s, "unused").load(statement=_table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), c_acctbal__gt=0, columns=["c_custkey", "c_name", "c_acctbal"]), f"{_CUSTOMERS} WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+
+
+def _database(spark, sf_dir, **more) -> jdbc.JdbcSource:
+    """Customers in a database in the driver's memory, as a source."""
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+    df = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    df.coalesce(1).write.format("jdbc").options(url=url, dbtable="customer", driver=jdbc.DRIVERS["jdbc:derby"]).save()
+    return jdbc.JdbcSource(url, **({"table": "customer"} | more))
+
+
+def _lower(df: DataFrame) -> DataFrame:
+    return df.toDF(*(c.lower() for c in df.columns))
+
+
+_entry("jdbc_partitioned", lambda s, d: _lower(_database(s, d, partition_column="c_custkey", chunk=40, workers=4).read(s)), _CUSTOMERS)
+_entry("jdbc_single_fetch", lambda s, d: _lower(_database(s, d, partition_column="c_custkey", chunk=10_000_000).read(s)), _CUSTOMERS)
+_entry("jdbc_limit", lambda s, d: _database(s, d, limit=7).read(s).agg(F.count("*").alias("n")), "SELECT least(count(*), 7) n FROM customer")
+
+
+def _plan(spark, sf_dir):
+    """A plan's conditions, through JSON, and how many rows each has."""
+    df = _table(spark, sf_dir, "customer")
+    low, high = shape.bounds(df, "c_custkey")
+    plan = jdbc.RangePlan.from_json(jdbc.RangePlan("c_custkey", low, high, 4).to_json())
+    parts = [df.where(p).agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k, p in enumerate(plan.predicates())]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.agg(F.count("*").alias("parts"), F.sum("n").alias("n"))
+
+
+_entry("range_plan_json", _plan, "SELECT CAST(4 AS BIGINT) parts, CAST(count(*) AS BIGINT) n FROM customer")
+
+
+def _keyset(spark, sf_dir):
+    out = None
+    for k, page in enumerate(_gateway(spark, sf_dir, "supplier").iter_pages("s_suppkey", 40, columns=["s_suppkey", "s_name"])):
+        page = page.withColumn("page", F.lit(k).cast("long"))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+_entry("keyset_pages", _keyset, "SELECT s_suppkey, s_name, CAST((row_number() OVER (ORDER BY s_suppkey) - 1) // 40 AS BIGINT) page FROM supplier")
+
+
+def _days(spark, sf_dir):
+    """A year/month/day layout that isn't named by columns, read from a day on."""
+    path, nation = _folder(spark, "days"), _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    for day, part in {"2024/1/31": "n_regionkey < 2", "2024/2/1": "n_regionkey IN (2, 3)", "2025/1/1": "n_regionkey > 3"}.items():
+        nation.where(part).write.parquet(f"{path}/{day}")
+    return files.ParquetSource(path, start="2024-02-01", end="2025-01-01").read(spark)
+
+
+_entry("day_layout", _days, "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey >= 2")
+_entry("missing_path", lambda s, d: ty.union_widened(_table(s, d, "region"), files.ParquetSource(f"{d}/no_such.parquet").read(s)), "SELECT * FROM region")
+_entry("load_arrow", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(n_regionkey=2, return_type="arrow")), "SELECT * FROM nation WHERE n_regionkey = 2")
+_entry("load_auto", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(return_type="auto", columns=["n_nationkey", "n_name"])), "SELECT CAST(n_nationkey AS BIGINT) n_nationkey, n_name FROM nation")
+_entry("index_columns", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(return_type="pandas", columns=["n_nationkey", "n_name"], df_options={"index_col": "n_nationkey"}).reset_index()), "SELECT CAST(n_nationkey AS BIGINT) n_nationkey, n_name FROM nation")
+
+
+def _profiled(spark, sf_dir):
+    store = profiles.StorageCatalog({"lake": sf_dir})
+    return store.parquet("lake", "nation.parquet").read(spark)
+
+
+_entry("storage_profile", _profiled, "SELECT * FROM nation")
+_entry("literal_dates", lambda s, d: fl.apply(_table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text")), day__gte=dt.datetime(1996, 3, 1), text__lt=dt.date(1996, 6, 1)).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-06-01'")
+_entry("literal_zone", lambda s, d: fl.apply(_table(s, d, "events"), ts__gte=dt.datetime(2024, 1, 5, 2, tzinfo=dt.timezone(dt.timedelta(hours=2)))).select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00'")
+_entry("assume_zone", lambda s, d: ty.assume_zone(_table(s, d, "events").select("event_id", "ts"), {"ts": "+02:00"}).select("event_id", F.unix_seconds("ts").alias("epoch")), "SELECT event_id, CAST(floor(epoch(ts)) - 7200 AS BIGINT) epoch FROM events")
+_entry("union_common", lambda s, d: ty.union_widened(_table(s, d, "nation"), _table(s, d, "nation").select("n_name", F.lit(1).alias("extra")), columns="common"), "SELECT n_name FROM nation UNION ALL SELECT n_name FROM nation")
+
+
+# --------------------------------------------------------- controls of loads
+def _checks(spark, **checks: bool) -> DataFrame:
+    return spark.createDataFrame(sorted(checks.items()), "name string, holds boolean")
+
+
+def _hold(*names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', true)" for n in names) + ") t(name, holds)"
+
+
+def _raises(kind: type[Exception], action: Callable[[], object]) -> bool:
+    try:
+        action()
+    except kind:
+        return True
+    return False
+
+
+def _persisted(spark, sf_dir):
+    df = _gateway(spark, sf_dir, "nation").load(n_regionkey=1, persist=True)
+    kept = df.storageLevel.useMemory
+    return df.withColumn("kept", F.lit(kept))
+
+
+_entry("load_persist", _persisted, "SELECT *, true AS kept FROM nation WHERE n_regionkey = 1")
+_entry("load_dry_run", lambda s, d: _checks(s, plan="nation.parquet" in _gateway(s, d, "nation").load(n_regionkey=1, dry_run=True), pushed="EqualTo(n_regionkey,1)" in _gateway(s, d, "nation").load(n_regionkey=1, dry_run=True)), _hold("plan", "pushed"))
+_entry("load_diagnostics", lambda s, d: _gateway(s, d, "nation").load(n_regionkey=1, diagnostics=True), "SELECT * FROM nation WHERE n_regionkey = 1")
+
+
+def _bounded(spark, sf_dir):
+    g = _gateway(spark, sf_dir, "nation")
+    slow = Gateway(spark, spark.range(1 << 34).select(F.sum(F.sin(F.sqrt("id"))).alias("x")))
+    return _checks(spark, late=_raises(TimeoutError, lambda: slow.load(return_type="arrow", timeout=0.5)), soon=g.load(return_type="arrow", timeout=60).num_rows == 25)
+
+
+_entry("load_timeout", _bounded, _hold("late", "soon"))
+_entry("request_checks", lambda s, d: _checks(s, ordered=_raises(ValueError, lambda: jdbc.JdbcSource("jdbc:x", query="select a from t order by a", partition_column="a")), limited=_raises(ValueError, lambda: jdbc.JdbcSource("jdbc:x", table="t", partition_column="a", limit=3)), crowded=_raises(ValueError, lambda: jdbc.JdbcSource("jdbc:x", table="t", workers=17)), allowed=_raises(fl.FilterError, lambda: _gateway(s, d, "nation", allowed=["n_name"]).load(n_nationkey__in=list(range(9000))))), _hold("ordered", "limited", "crowded", "allowed"))
+_entry("helper_join", lambda s, d: Helper(s, files.ParquetSource(f"{d}/nation.parquet")).left_join(_table(s, d, "region"), "n_regionkey", "r_regionkey", n_nationkey__lt=9, persist=False).select("n_nationkey", "r_name"), "SELECT n_nationkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 9")
+_entry("join_dry_run", lambda s, d: _checks(s, plan="Join" in Helper(s, files.ParquetSource(f"{d}/nation.parquet")).left_join(_table(s, d, "region"), "n_regionkey", "r_regionkey", dry_run=True)), _hold("plan"))
+
+
+# ------------------------------------------------------- cubes and artifacts
+class _Fixed(cube.BaseCube):
+    """Nations in capitals; an empty load isn't fixed."""
+
+    def __init__(self, keep: str, sf_dir: str):
+        self.source = cube.CubeSource(lambda s, r: _table(s, sf_dir, "nation").select("n_nationkey", "n_name").where(keep))
+
+    def fix_data(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("n_name", F.lower("n_name"))
+
+
+class _Days(cube.BaseArtifact):
+    def __init__(self, sf_dir: str, start, end):
+        super().__init__(start, end)
+        self.sf_dir = sf_dir
+
+    def before_load(self, params):
+        return params | {"columns": ["o_orderkey", "o_totalprice"]}
+
+    def load_frame(self, spark, params):
+        return _gateway(spark, self.sf_dir, "orders").load(o_orderdate__date__range=[params["start_date"], params["end_date"]], columns=params["columns"])
+
+    def after_load(self, df: DataFrame) -> DataFrame:
+        return df.where("o_totalprice > 1000")
+
+
+_entry("cube_fix_data", lambda s, d: _Fixed("n_regionkey = 1", d).load(s).unionByName(_Fixed("false", d).load(s)), "SELECT n_nationkey, lower(n_name) n_name FROM nation WHERE n_regionkey = 1")
+_entry("cube_artifact", lambda s, d: _Days(d, "1996-02-01", "1996-02-29").load(s), "SELECT o_orderkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1996-02-29' AND o_totalprice > 1000")
+_entry("empty_check", lambda s, d: _checks(s, empty=_gateway(s, d, "nation").load(n_nationkey__lt=0).isEmpty(), rows=not _gateway(s, d, "nation").load().isEmpty()), _hold("empty", "rows"))
+_entry("expression_guard", lambda s, d: _checks(s, dunder=_raises(enrich.ExpressionError, lambda: enrich.translate("__import__('os')")), several=_raises(enrich.ExpressionError, lambda: enrich.translate("a; b")), nested=_raises(enrich.ExpressionError, lambda: enrich.translate("a in (select b from c)")), protocol=isinstance(enrich.RowFilter(["a > 1"]), enrich.Transformer)), _hold("dunder", "several", "nested", "protocol"))
+
+
+# --------------------------------------------------------- more of the sinks
+def _guarded(spark, sf_dir):
+    sink = sinks.ParquetSink(spark, _folder(spark, "guarded"), ["p"])
+    row = lambda v: _table(spark, sf_dir, "region").select("r_regionkey", F.lit(v).alias("p"))
+    bad = {"empty": "", "parent": "..", "slash": "a/b", "backslash": "a\\b"}
+    return _checks(spark, **{k: _raises(sinks.PartitionValueError, lambda v=v: sink.write(row(v))) for k, v in bad.items()}, fine=len(sink.write(row("a b")).files) > 0)
+
+
+_entry("partition_values", _guarded, _hold("empty", "parent", "slash", "backslash", "fine"))
+_entry("sink_registry", lambda s, d: s.createDataFrame([(n,) for n in sinks.available_sinks() if n in ("csv", "jsonl", "parquet", "upsert")], "name string"), "SELECT * FROM (VALUES ('csv'), ('jsonl'), ('parquet'), ('upsert')) t(name)")
+
+
+def _materialized(spark, sf_dir):
+    path = _folder(spark, "materialized")
+    job = sinks.ParquetPipeline(_gateway(spark, sf_dir, "nation"), sinks.ParquetSink(spark, path))
+    got = job.materialize(reload=False, columns=["n_nationkey"])
+    return _checks(spark, path=got.path == path, files=all(f.endswith(".parquet") for f in got.files) and bool(got.files), frame=got.frame is None)
+
+
+_entry("materialization", _materialized, _hold("path", "files", "frame"))
+
+
+def _since(spark, sf_dir):
+    store = bookmarks.MemoryStore({"tidewell_events": 100})
+    first = Gateway(spark, _view(spark, sf_dir, "events")).load(since="event_id", watermark_store=store, event_type__ne="none", columns=["event_id", "user_id"])
+    return first.withColumn("mark", F.lit(store.read("tidewell_events")).cast("long"))
+
+
+_entry("incr_since", _since, "SELECT event_id, user_id, (SELECT max(event_id) FROM events) mark FROM events WHERE event_id > 100")
+
+
+def _evolved_folders(spark, sf_dir):
+    """Appends of other types to a dataset in folders, with a filter on what the folders name."""
+    path, c = _folder(spark, "evolved-folders"), _table(spark, sf_dir, "customer")
+    sink = sinks.ParquetSink(spark, path, ["c_mktsegment"])
+    sink.write(c.select(F.col("c_custkey").cast("int").alias("c_custkey"), "c_mktsegment"))
+    sink.write(c.select("c_custkey", "c_name", "c_mktsegment"), overwrite=False)
+    return files.ParquetSource(path, evolved=True).read(spark).where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", "c_mktsegment")
+
+
+_entry("evolve_partitioned", _evolved_folders, "SELECT c_custkey, NULL::VARCHAR c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
+
+
 def queries() -> dict[str, Query]:
     return {k: q for k, (q, _) in _ENTRIES.items()}
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -300,7 +301,7 @@ def _members(df: DataFrame, leaf: ColOp) -> tuple[Column, DataFrame, bool]:
         plain = [v.isoformat(" ") if isinstance(v, dt.datetime) else v.isoformat() if isinstance(v, dt.date) else str(v) for v in plain]
     elif len({type(v) for v in plain}) > 1:
         plain = [float(v) for v in plain]
-    given = df.sparkSession.createDataFrame([(v,) for v in plain], None if plain else "_member string").toDF("_member")
+    given = df.sparkSession.createDataFrame(pa.table({"_member": pa.array(plain) if plain else pa.array([], pa.string())}))
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         given = given.select(F.col("_member").cast(kind))
     return key, given.distinct(), None in values

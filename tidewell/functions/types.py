@@ -136,8 +136,17 @@ def widened(a: T.DataType, b: T.DataType) -> T.DataType | None:
     return None
 
 
-def union_widened(*frames: DataFrame, stringify: bool = True) -> DataFrame:
-    """All rows by column name; a column has the type its frames' types widen to, or text, and is null where a frame lacks it."""
+def union_widened(*frames: DataFrame, stringify: bool = True, columns: str = "all") -> DataFrame:
+    """All rows by column name; a column has the type its frames' types widen to, or text, and is null where a frame lacks it.
+
+    ``columns`` is "all", "common" (those that all frames have) or "same" (all have the same, or it is an error).
+    """
+    if columns not in ("all", "common", "same"):
+        raise ValueError("columns are all, common or same")
+    if columns == "same" and any(set(df.columns) != set(frames[0].columns) for df in frames):
+        raise SchemaValidationError("the frames' columns differ")
+    if columns == "common":
+        frames = tuple(df.select(*(f"`{c}`" for c in frames[0].columns if all(c in x.columns for x in frames))) for df in frames)
     types: dict[str, T.DataType] = {}
     for df in frames:
         for f in df.schema:

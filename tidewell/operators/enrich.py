@@ -5,6 +5,7 @@ from __future__ import annotations
 import asyncio
 import re
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any, Protocol, runtime_checkable
 
@@ -132,20 +133,34 @@ class AttachmentSpec:
 
 @dataclass(frozen=True)
 class Enricher:
+    """Attachments, in order. Those that need only columns of the frame itself are loaded together, ``at_once`` at a time."""
+
     specs: Sequence[AttachmentSpec]
     most: int = 5_000
+    at_once: int = 4
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for spec in self.specs:
-            if gone := [c for c in (*spec.required, spec.left_on) if c not in df.columns]:
-                raise KeyError(f"{spec.key} needs {', '.join(gone)}")
-            if spec.keyword is None:
-                got = spec.attachment()
-            else:
-                got = spec.attachment(**{spec.keyword: shape.distinct_values(df, spec.left_on, spec.most or self.most)})
-            if asyncio.iscoroutine(got):
-                got = asyncio.run(got)
-            if isinstance(got, (pd.DataFrame, list)):
-                got = df.sparkSession.createDataFrame(got)
-            df = joins.string_key_join(df, got, spec.left_on, spec.right_on, spec.drop)
+        if self.at_once < 1:
+            raise ValueError("one attachment at a time is the least")
+        first = df
+        with ThreadPoolExecutor(self.at_once) as pool:
+            early = {k: pool.submit(self._loaded, first, spec) for k, spec in enumerate(self.specs) if not self._lacks(first, spec)}
+            for k, spec in enumerate(self.specs):
+                if gone := self._lacks(df, spec):
+                    raise KeyError(f"{spec.key} needs {', '.join(gone)}")
+                got = early[k].result() if k in early else self._loaded(df, spec)
+                df = joins.string_key_join(df, got, spec.left_on, spec.right_on, spec.drop)
         return df
+
+    @staticmethod
+    def _lacks(df: DataFrame, spec: AttachmentSpec) -> list[str]:
+        return [c for c in (*spec.required, spec.left_on) if c not in df.columns]
+
+    def _loaded(self, df: DataFrame, spec: AttachmentSpec) -> DataFrame:
+        if spec.keyword is None:
+            got = spec.attachment()
+        else:
+            got = spec.attachment(**{spec.keyword: shape.distinct_values(df, spec.left_on, spec.most or self.most)})
+        if asyncio.iscoroutine(got):
+            got = asyncio.run(got)
+        return df.sparkSession.createDataFrame(got) if isinstance(got, (pd.DataFrame, list)) else got

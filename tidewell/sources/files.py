@@ -55,6 +55,8 @@ class ParquetSource:
                 df = read_evolved(spark, path)
             else:
                 reader = spark.read.schema(self.schema) if self.schema else spark.read
+                if not self.partition_on and (self.start is not None or self.end is not None):
+                    reader = reader.option("recursiveFileLookup", "true")  # folders of days are no columns
                 df = reader.parquet(path)
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
