@@ -77,3 +77,13 @@ def test_groups_of_copies_are_exact(spark):
         got.setdefault(row.query_id, []).append(row.vec_id)
     place = {int(v): k for k, v in enumerate(ids)}
     assert got == {int(q): [v for v, _ in brute(ids, x, place[q])] for q in asked}
+
+
+def test_doubles_are_ranked_as_doubles(spark):
+    base = [1.0, 2.0, 3.0]
+    rows = [(k, [1.0 + (k % 13) * 1e-12, 2.0, 3.0 + (k // 13) * 1e-11]) for k in range(1, 90)] + [(0, base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in nn.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    far = lambda v: float(np.sqrt(((np.array(v) - np.array(base)) ** 2).sum()))
+    want = sorted((far(v), k) for k, v in rows if k)[:10]
+    assert [k for k, _ in got] == [k for _, k in want] and [s for _, s in got] == [d for d, _ in want]

@@ -4,8 +4,8 @@ A vector is the sum of one full-dimensional codeword from each of ``BOOKS``
 codebooks, chosen by beam search over residuals; the squared norm of that sum
 is stored with the codes. A query has a table of its inner products with all
 codewords, so a coded vector's squared distance is its norm less twice a sum
-of looked-up entries. The best by that are ranked again by exact distances on
-the original vectors, in double precision.
+of looked-up entries, in single precision. The best by that are ranked again by
+exact distances on the original vectors, in double precision.
 
 Codebooks are fitted on a bounded sample of the vectors (``TRAIN_ROWS``, by
 smallest hash) and all vectors are coded. Queries are a stated set; their
@@ -101,7 +101,7 @@ def distances(q: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct vectors, the up to ``most`` smallest ids of each in turn, and where those begin."""
-    x = np.ascontiguousarray(x + np.float32(0))  # one zero
+    x = np.ascontiguousarray(x + 0.0)  # one zero
     _, first, own = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     order = np.lexsort((ids, own))
     g, v = own[order], ids[order]
@@ -114,7 +114,7 @@ def distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull())
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(good)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -123,7 +123,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
