@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewell.llm import quality as q
 
@@ -47,3 +48,14 @@ def test_held_out_accuracy(spark, sf_dir):
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if rows[r.doc_id].held_out]
     assert np.mean([rows[r.doc_id].predicted == r.quality for r in labels]) > 0.97
     assert np.mean([rows[r.doc_id].predicted for r in labels if r.quality == 1]) > 0.99
+
+
+def test_repeated_ids_and_clashing_columns_give_one_model(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    odd = docs.unionByName(docs).withColumn("_y", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("_s0", F.lit(2.0))
+    one = q.train(odd.repartition(3), labels, rows=30)
+    assert one == q.train(odd.repartition(7, "lang"), labels, rows=30) and one.rules
+    assert q.accepted(odd, one).columns == odd.columns
+    tie = spark.createDataFrame([(k, "same text here", k % 2) for k in range(40)], "doc_id long, text string, quality int")
+    flat = q.scores(tie, q.train(tie, tie.select("doc_id", "quality")))
+    assert flat.select("score").distinct().count() == 1 and flat.count() == 40

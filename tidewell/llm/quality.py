@@ -208,12 +208,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """A model of the labelled documents that are not held out.
 
     The sample of labels has at most ``rows`` rows, so that it may be broadcast
-    and its statistics may come to the driver.
+    and its statistics may come to the driver. Where ids of documents repeat, at
+    most twice as many documents are learnt from, in the order of hashes too.
     """
     own = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (crc_mod(F.col("_id")) != 0))
     sample = own.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    got = with_statistics(texts, "_s", text_col="_text", keep=["_y"]).limit(2 * rows).toArrow()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h")).join(F.broadcast(sample), "_id")
+    got = with_statistics(texts, "_s", text_col="_text", keep=["_y", "_id", "_h"])
+    got = got.orderBy(F.xxhash64("_id"), "_id", "_h", "_y").limit(2 * rows).drop("_id", "_h").toArrow()
     data = np.column_stack([c.to_numpy() for c in got.columns]).reshape(-1, 1 + len(STATISTICS))
     return fit(data[:, 1:], (data[:, 0] > 0.5).astype(float))
 
