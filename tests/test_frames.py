@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,3 +324,48 @@ def test_pages_zones_and_marks(spark, tmp_path):
     for v in (1, 2):
         store.write("a", v)
     assert store.read("a") == 2
+
+
+def test_upserts_replace_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "up")
+    up = sinks.UpsertSink(spark, path, ["id"], ["p"])
+    rows = lambda r: spark.createDataFrame(r, "id int, n string, p string")
+    up.write(rows([(1, "a", "x"), (2, "b", "y"), (3, "c", "z w"), (4, "d", "x"), (9, "i", None)]))
+    before = {f for f in up.write(rows([(1, "a", "x")])).files}
+    other = {f.name for f in (tmp_path / "up" / "p=y").iterdir() if f.suffix == ".parquet"}
+    up.write(rows([(1, "A", "x"), (3, "C", "y"), (5, "e", "n/a".replace("/", "")), (9, "I", None)]))
+    assert data(spark.read.parquet(path).select("id", "n", "p")) == sorted([(1, "A", "x"), (2, "b", "y"), (3, "C", "y"), (4, "d", "x"), (5, "e", "na"), (9, "I", None)], key=repr)
+    assert not (tmp_path / "up" / "p=z w").exists() and before and other
+    same = {f.name for f in (tmp_path / "up" / "p=y").iterdir() if f.suffix == ".parquet"}
+    up.write(rows([(4, "D", "x")]))
+    assert same == {f.name for f in (tmp_path / "up" / "p=y").iterdir() if f.suffix == ".parquet"}
+    with pytest.raises(sinks.PartitionValueError):
+        up.write(rows([(4, "D", "a/b")]))
+    assert [d.name for d in tmp_path.iterdir()] == ["up"]
+
+
+def test_profiles_from_files(tmp_path):
+    file = tmp_path / "x.env"
+    file.write_text("# c\nexport SHOP_URL='jdbc:derby:y'\nSHOP_USER=u\nOTHER=1\n")
+    c = profiles.ConnectionCatalog()
+    c.load("shop.main", "SHOP", env_file=str(file), env={"SHOP_USER": "v"}, fetchsize=9)
+    source = c.jdbc("shop.main", table="t")
+    assert source.url == "jdbc:derby:y" and dict(source.options) == {"user": "u", "fetchsize": "9"}
+    for bad in ("", "a b", "a/b"):
+        with pytest.raises(ValueError):
+            c.register(bad, url="x")
+    with pytest.raises(KeyError):
+        c.jdbc("gone", table="t")
+
+
+def test_attachments_are_loaded_together(spark):
+    together = threading.Barrier(2, timeout=20)
+    spec = lambda key, on: enrich.AttachmentSpec(key, lambda: (together.wait(), spark.createDataFrame([(1, key)], f"k_{key} int, v_{key} string"))[1], on, f"k_{key}")
+    late = enrich.AttachmentSpec("c", lambda: spark.createDataFrame([("a", 7)], "k_c string, v_c int"), "v_a", "k_c")
+    df = spark.createDataFrame([(1,)], "id int")
+    assert enrich.Enricher([spec("a", "id"), spec("b", "id"), late]).transform(df).select("v_a", "v_b", "v_c").first() == ("a", "b", 7)
+    with pytest.raises(KeyError):
+        enrich.Enricher([late]).transform(df)
+    assert ty.union_widened(df, df.withColumn("x", F.lit(1)), columns="common").columns == ["id"]
+    with pytest.raises(ty.SchemaValidationError):
+        ty.union_widened(df, df.withColumn("x", F.lit(1)), columns="same")

@@ -161,9 +161,21 @@ class JsonlSink(_Folder):
     __post_init__ = CsvSink.__post_init__
 
 
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 @dataclass(frozen=True)
 class UpsertSink:
-    """Rows replace those of their keys: what has no new row stays, and the dataset is swapped as a whole."""
+    """Rows replace those of their keys: what has no new row stays.
+
+    Of a partitioned dataset only partitions that have such a key, or get a new
+    row, are read whole and replaced, a folder at a time; a dataset without
+    partitions, or one whose columns widen, is swapped as a whole.
+    """
 
     spark: SparkSession
     path: str
@@ -177,22 +189,42 @@ class UpsertSink:
         fresh = f"{path}.rows-{uuid.uuid4().hex}"
         try:
             # the new rows are computed once, though they are checked, matched and written
-            df.write.parquet(fresh)
-            df = self.spark.read.schema(df.schema).parquet(fresh)
+            _written(check_partitions(df, self.partition_on).write.parquet, f"{fresh}/rows")
+            df = self.spark.read.schema(df.schema).parquet(f"{fresh}/rows")
             if not df.groupBy(*self.keys).count().where("count > 1").isEmpty():
                 raise ValueError("several rows of one key")
-            if not overwrite and hadoop.listed(self.spark, path, ".parquet"):
-                old = self.spark.read.parquet(path)
-                check_widening(df.schema, old.schema)
-                match = [old[k].eqNullSafe(df[k]) for k in self.keys]
-                condition = match[0]
-                for m in match[1:]:
-                    condition = condition & m
-                df = ty.union_widened(old.join(df, condition, "left_anti"), df, stringify=False)
-            return ParquetSink(self.spark, path, self.partition_on).write(df)
+            if overwrite or not hadoop.listed(self.spark, path, ".parquet"):
+                return ParquetSink(self.spark, path, self.partition_on).write(df)
+            old = self.spark.read.parquet(path)
+            same = check_widening(df.schema, old.schema) == T.StructType([T.StructField(f.name, f.dataType) for f in old.schema])
+            if self.partition_on and same and set(df.columns) == set(old.columns):
+                return self._replace(df, old, path, fresh)
+            merged = ty.union_widened(self._without(old, df), df, stringify=False)
+            return ParquetSink(self.spark, path, self.partition_on).write(merged)
         finally:
             hadoop.delete(self.spark, fresh)
 
+    def _without(self, old: DataFrame, df: DataFrame) -> DataFrame:
+        return old.join(df, _all([old[k].eqNullSafe(df[k]) for k in self.keys]), "left_anti")
+
+    def _replace(self, df: DataFrame, old: DataFrame, path: str, fresh: str) -> SinkResult:
+        parts = list(self.partition_on)
+        hit = old.join(df, _all([old[k].eqNullSafe(df[k]) for k in self.keys]), "left_semi")
+        hit.select(*parts).unionByName(df.select(*parts)).distinct().write.parquet(f"{fresh}/parts")
+        touched = self.spark.read.parquet(f"{fresh}/parts")
+        some = old.join(touched, _all([old[c].eqNullSafe(touched[c]) for c in parts]), "left_semi")
+        folders = old.select(*parts, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
+        folders = folders.join(touched, _all([folders[c].eqNullSafe(touched[c]) for c in parts]), "left_semi").select("_folder").distinct()
+        before = {hadoop.below(self.spark, path, r[0], uri=True) for r in folders.collect()}  # as many as partitions are touched
+        staged = f"{fresh}/staged"
+        ParquetSink(self.spark, staged, parts)._save(self._without(some, df).unionByName(df), staged, "errorifexists")
+        now = {f.rsplit("/", 1)[0] for f in (hadoop.below(self.spark, staged, x) for x in hadoop.listed(self.spark, staged, ".parquet"))}
+        for folder in sorted(now):
+            hadoop.swap(self.spark, f"{staged}/{folder}", f"{path}/{folder}")
+        for folder in sorted(before - now):  # all its rows went to other partitions
+            hadoop.delete(self.spark, f"{path}/{folder}")
+        return SinkResult(path, tuple(f for f in hadoop.listed(self.spark, path, ".parquet") if hadoop.below(self.spark, path, f).rsplit("/", 1)[0] in now))
+
 
 # ------------------------------------------------------------------ registry
 _SINKS: dict[str, Callable[..., Sink]] = {"parquet": ParquetSink, "csv": CsvSink, "jsonl": JsonlSink, "upsert": UpsertSink}

@@ -79,3 +79,14 @@ def listed(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
         if name.getName().endswith(suffix) and not name.getName().startswith(("_", ".")):
             found.append(name.toString())
     return sorted(found)
+
+
+def below(spark: SparkSession, path: str, name: str, *, uri: bool = False) -> str:
+    """The part of a file's or folder's full name (or URI, whose letters may be escaped) after the folder ``path``."""
+    fs, p = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name) if uri else name)
+    base, full = (fs.makeQualified(x).toUri().getPath() for x in (p, own))
+    if not full.startswith(base.rstrip("/") + "/"):
+        raise ValueError(f"{name} is not below {path}")
+    return full[len(base.rstrip("/")) + 1 :]

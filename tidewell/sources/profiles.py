@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -13,6 +14,16 @@ from tidewell.sources.files import ParquetSource
 from tidewell.sources.jdbc import JdbcSource
 
 
+NAME = re.compile(r"[A-Za-z0-9._-]+")
+
+
+def checked(name: str) -> str:
+    """A profile's name: letters, digits, dots, underscores and hyphens."""
+    if not NAME.fullmatch(name.strip()):
+        raise ValueError(f"{name!r}: a name has letters, digits, dots, underscores and hyphens")
+    return name.strip()
+
+
 @dataclass
 class ConnectionCatalog:
     """Connections by name; secrets stay out of what is printed."""
@@ -20,10 +31,23 @@ class ConnectionCatalog:
     profiles: dict[str, dict[str, Any]] = field(default_factory=dict, repr=False)
 
     def register(self, name: str, **options: Any) -> None:
+        name = checked(name)
         if name in self.profiles:
             raise ValueError(f"{name} is registered already")
         self.profiles[name] = options
 
+    def load(self, name: str, prefix: str, *, env_file: str | None = None, env: Mapping[str, str] | None = None, **more: Any) -> None:
+        """A profile of variables like ``PREFIX_URL``; those of ``env_file`` (``NAME=value`` lines) come before the environment's, ``more`` before both."""
+        found = dict(os.environ if env is None else env)
+        if env_file:
+            with open(env_file, encoding="utf-8") as file:
+                for line in map(str.strip, file):
+                    if line and not line.startswith("#") and "=" in line:
+                        key, _, value = line.removeprefix("export ").partition("=")
+                        found[key.strip()] = value.strip().strip("\"'")
+        lead = f"{prefix.rstrip('_')}_"
+        self.register(name, **{k[len(lead) :].lower(): v for k, v in found.items() if k.startswith(lead) and len(k) > len(lead)} | more)
+
     @classmethod
     def from_env(cls, prefix: str, env: Mapping[str, str] | None = None) -> ConnectionCatalog:
         """Profiles of variables like ``PREFIX_NAME_URL``; the last part is the option."""
@@ -38,6 +62,8 @@ class ConnectionCatalog:
         return sorted(self.profiles)
 
     def jdbc(self, name: str, **more: Any) -> JdbcSource:
+        if checked(name) not in self.profiles:
+            raise KeyError(f"{name}: profiles are {', '.join(self.names())}")
         profile = dict(self.profiles[name])
         url, own = profile.pop("url"), {k: str(v) for k, v in profile.items()}
         return JdbcSource(url, options=own | more.pop("options", {}), **more)
