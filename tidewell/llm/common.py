@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,9 +148,31 @@ def sole(memo: dict) -> None:
 class Cache(dict):
     """A bounded memo: emptied when full, so a worker's memory doesn't grow with its input."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 600_000):
         self.most = most
 
     def room(self, n: int) -> None:
         if len(self) + n > self.most:
             self.clear()
+
+    def asked(self, distinct: list, learn) -> list:
+        """The values of distinct keys; ``learn`` puts those of the keys that it is given into the memo."""
+        found = list(map(self.get, distinct))
+        if new := [k for k, x in zip(distinct, found, strict=True) if x is None]:
+            if len(self) + len(new) > self.most:
+                # what is asked for now stays: it has the frequent keys
+                kept = {k: x for k, x in zip(distinct, found, strict=True) if x is not None}
+                self.clear()
+                self.update(kept)
+            learn(new)
+            found = list(map(self.__getitem__, distinct))
+        return found
+
+
+def gathered(lists: pa.ListArray, value, kind: pa.DataType) -> tuple[pa.Array, np.ndarray]:
+    """Each distinct piece's value, in the order of the pieces in ``lists``, and where each list ends after the first's beginning.
+
+    ``value`` gets the distinct pieces and gives their values.
+    """
+    coded = lists.flatten().dictionary_encode()
+    return pa.array(value(coded.dictionary.to_pylist()), kind).take(coded.indices), lists.offsets.to_numpy() - lists.offsets[0].as_py()

@@ -155,6 +155,7 @@ class WordEncoder:
             self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(end)]] = True
         #: Whether capitals have the ids of small letters, and the strings that are looked for before anything else.
         self.tell = self._ids("\u00c9Ab") == self._ids("\u00e9ab")
+        self.apart = True
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {self.MARK} a") == [*self._ids("a"), *mark, *self._ids("a")] else None
 
@@ -165,6 +166,7 @@ class WordEncoder:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[str]) -> None:
+        self.apart = self.apart and (not self.tell or all(self._splits(w) for w in words if ONLY_MARKS.fullmatch(w)))
         if self.last is not None:
             # a word of Latin letters is one pre-token, whose last id, and no other, ends a word
             letters = [w for w in words if LETTERS.fullmatch(w)]
@@ -203,27 +205,16 @@ class WordEncoder:
         whole = {k: np.array(self._ids(t), self.dtype).tobytes() for k, t in enumerate(texts) if any(x in t for x in self.special)}
         rows = pc.replace_substring(pa.array(["" if k in whole else self._folded(t) for k, t in enumerate(texts)], pa.string()), "\n", " ")
         words = pc.split_pattern(pc.replace_substring_regex(rows, MARKS_END, r"\1 \2\3") if self.tell else rows, " ")
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.memo.get, distinct))
-        if new := [w for w, x in zip(distinct, found, strict=True) if x is None]:
-            if self.tell and not all(self._apart(w) for w in new if ONLY_MARKS.fullmatch(w)):
-                self.tell = False  # marks that the file doesn't split from letters: words stay as they are
-                self.memo.clear()
-                return self.encode(texts)
-            kept = {w: x for w, x in zip(distinct, found, strict=True) if x is not None}
-            if len(self.memo) + len(new) > self.memo.most:
-                # what these texts use stays: it has the frequent words
-                self.memo.clear()
-                self.memo.update(kept)
-            self._learn(new)
-            found = list(map(self.memo.__getitem__, distinct))
-        ids = pa.array(found, pa.binary()).take(coded.indices)
-        ends = np.frombuffer(ids.buffers()[1], np.int32)[words.offsets.to_numpy() + ids.offset].tolist()
+        ids, ends = common.gathered(words, lambda distinct: self.memo.asked(distinct, self._learn), pa.binary())
+        if not self.apart:
+            self.tell, self.apart = False, True  # marks that the file doesn't split from letters: words stay as they are
+            self.memo.clear()
+            return self.encode(texts)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ends + ids.offset].tolist()
         data = memoryview(ids.buffers()[2] or b"")
         return [whole.get(k) or bytes(data[x:y]) for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False))]
 
-    def _apart(self, marks: str) -> bool:
+    def _splits(self, marks: str) -> bool:
         """Whether the file splits these marks from letters before them."""
         return self._ids(f"abc{marks}") == [*self._ids("abc"), *self._ids(marks)]
 
