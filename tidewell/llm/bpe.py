@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from tidewell.llm import common
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: Unicode's White_Space characters.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same characters by themselves.
+BLANKS = SPACE.encode().decode("unicode_escape")
 #: Pre-tokens of more bytes get a tree of their own.
 LONG = 256
 _NONE = np.iinfo(np.int64).max
@@ -84,6 +87,7 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for piece, i in self.special.items():
             self.plain[i] = piece.encode()
+        self.pieces_of = pa.array(self.plain, pa.binary())
         self.byte_id = np.zeros(256, np.int64)
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
@@ -189,11 +193,9 @@ class ByteBPE:
         return found
 
     # ------------------------------------------------------------- texts
-    def _fill(self, pieces: set[str]) -> None:
-        self.memo.room(len(pieces))
-        new = [p for p in pieces if p not in self.memo]
+    def _fill(self, new: list[str]) -> None:
         # a blank and letters are one pre-token; what else a piece holds, the pattern tells
-        alone = {p: p.encode() for p in new if p[0] == " " and p[1:].isalpha()}
+        alone = {p: p.encode() for p in new if p[:1] == " " and p[1:].isalpha()}
         mixed = {p: [w.encode() for w in self.words.findall(p)] for p in new if p not in alone}
         found = self.merge({*alone.values(), *chain.from_iterable(mixed.values())})
         for p, w in alone.items():
@@ -201,13 +203,41 @@ class ByteBPE:
         for p, ws in mixed.items():
             self.memo[p] = b"".join(map(found.__getitem__, ws))
 
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text that holds special strings or the mark."""
+        parts = self.specials.split(text) if self.specials else [text]
+        pieces = [[p] if k % 2 else self.pieces.findall(p) for k, p in enumerate(parts)]
+        known = dict(zip(own := list(set(chain.from_iterable(pieces[::2]))), self.memo.asked(own, self._fill), strict=True))
+        return b"".join(np.array([self.special[p[0]]], "<i4").tobytes() if k % 2 else b"".join(map(known.__getitem__, p)) for k, p in enumerate(pieces))
+
+    #: A control character that is put before blanks to cut texts there.
+    MARK = "\0"
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each begins and the last ends. Distinct pieces are looked up, or merged, once."""
+        odd = {k: t for k, t in enumerate(texts) if self.MARK in t or any(x in t for x in self.special)}
+        rows = pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.string())
+        lists = pc.split_pattern(pc.replace_substring_regex(rows, f"([{BLANKS}]+)", f"{self.MARK}\\1"), self.MARK)
+        ids, ends = common.gathered(lists, lambda distinct: self.memo.asked(distinct, self._fill), pa.binary())
+        values = np.frombuffer(ids.buffers()[2] or b"", "<i4")
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ends + ids.offset] // 4
+        if odd:
+            parts = [np.frombuffer(self._whole(odd[k]), "<i4") if k in odd else values[ends[k] : ends[k + 1]] for k in range(len(texts))]
+            values, ends = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return values[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.specials.split(t) if self.specials and any(s in t for s in self.special) else [t] for t in texts]
-        split = [[[p] if k % 2 else self.pieces.findall(p) for k, p in enumerate(ps)] for ps in parts]
-        self._fill(set(chain.from_iterable(x for s in split for x in s[::2])))
-        fixed = {s: np.array([i], "<i4").tobytes() for s, i in self.special.items()}
-        get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(b"".join(map(get, x)) if k % 2 == 0 else fixed[x[0]] for k, x in enumerate(s)), "<i4") for s in split]
+        if not texts:
+            return []
+        values, ends = self.encoded(texts)
+        return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def decoded(self, values: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids that lie end to end."""
+        pieces = self.pieces_of.take(pa.array(values))
+        at = np.frombuffer(pieces.buffers()[1], np.int32)[ends + pieces.offset].tolist()
+        data = memoryview(pieces.buffers()[2] or b"")
+        return [str(data[a:b], "utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace")
@@ -231,12 +261,10 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     def run(batches):
         bpe = tokenizer(path)
         for part in common.slices(batches):
-            ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
-            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.int32), *ids])
+            values, ends = bpe.encoded([t or "" for t in part.column(1).to_pylist()])
             columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))]
             if decoded:
-                columns.append(pa.array([bpe.decode(i.tolist()) for i in ids], pa.string()))
+                columns.append(pa.array(bpe.decoded(values, ends), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "token_ids", "decoded"][: 2 + decoded]
