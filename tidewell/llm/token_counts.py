@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,23 +145,37 @@ class PieceCounter:
                 heapq.heappush(heap, got[0] << 32 | k)
         return total
 
-    def count(self, texts: list[str]) -> list[int]:
-        split = [self.words.findall(self.prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
-        words = set(chain.from_iterable(split))
-        self.memo.room(len(words))
-        new = sorted((w for w in words if w not in self.memo), key=len)
+    def _learn(self, new: list[str]) -> None:
+        new = sorted(new, key=len)
         while new and len(new[-1]) > LONG:
             self.memo[new[-1]] = self.long_count(new[-1])
             new.pop()
         at = 0
         while at < len(new):  # blocks of like length, about a million symbols each
-            block = max(1, min(100_000, 1_000_000 // len(new[at])))
+            block = max(1, min(100_000, 1_000_000 // max(1, len(new[at]))))
             part = new[at : at + block]
             while len(part) > 1 and len(part[-1]) > 4 * len(part[0]) + 16:
                 part = part[: len(part) // 2]
             self.memo |= zip(part, self.counts(part).tolist(), strict=True)
             at += len(part)
-        return [sum(map(self.memo.__getitem__, s)) for s in split]
+
+    #: A control character that is put where texts are cut.
+    MARK = "\0"
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: its distinct pre-tokens are looked up, or counted, once."""
+        if not texts:
+            return []
+        odd = {k: self.words.findall(self.prefix + t.replace(" ", BLANK)) for k, t in enumerate(texts) if self.MARK in t}
+        rows = pa.array(["" if k in odd or not t else self.prefix + t for k, t in enumerate(texts)], pa.string())
+        rows = pc.replace_substring_regex(pc.replace_substring(rows, " ", BLANK), f"({BLANK}+)", f"{self.MARK}\\1")
+        lists = pc.split_pattern(pc.replace_substring_regex(rows, "(\n+)", f"{self.MARK}\\1{self.MARK}"), self.MARK)
+        n, ends = common.gathered(lists, lambda distinct: self.memo.asked(distinct, self._learn), pa.int64())
+        total = np.concatenate([[0], np.cumsum(n.to_numpy())])
+        out = (total[ends[1:]] - total[ends[:-1]]).tolist()
+        for k, pieces in odd.items():
+            out[k] = sum(self.memo.asked(pieces, lambda new: self._learn(list(set(new)))))
+        return out
 
 
 @functools.lru_cache(1)
