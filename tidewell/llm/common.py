@@ -148,7 +148,7 @@ def sole(memo: dict) -> None:
 class Cache(dict):
     """A bounded memo: emptied when full, so a worker's memory doesn't grow with its input."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
 
     def room(self, n: int) -> None:
