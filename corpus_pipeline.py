@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.dropped(before)
+        before = docs
     return docs
