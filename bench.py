@@ -17,6 +17,7 @@ from tidewell.plans.gateway import Gateway
 from tidewell.plans.sinks import ParquetSink
 from tidewell.session import session
 from tidewell.sources.files import ParquetSource
+from tidewell.sources.jdbc import DRIVERS, JdbcSource
 
 HEADLINE = (
     "flagship",
@@ -68,7 +69,30 @@ def sink_100k(spark, sf_dir):
     return len(ParquetSink(spark, "/tmp/tidewell-bench/sink", ["l_returnflag"]).write(df.coalesce(4)).files)
 
 
-ACTIONS = {"parquet_to_pandas": to_pandas, "in_clause_to_pandas": in_to_pandas, "stream_batches": batches, "sink_write_100k": sink_100k}
+DATABASE: list[str] = []
+
+
+def _database(spark, sf_dir):
+    """Orders in a database in the driver's memory, written once, before the clock runs."""
+    if not DATABASE:
+        url = "jdbc:derby:memory:bench;create=true"
+        spark.read.parquet(f"{sf_dir}/orders.parquet").drop("o_orderdate").coalesce(1).write.format("jdbc").options(url=url, dbtable="orders", driver=DRIVERS["jdbc:derby"], batchsize=10_000).save()
+        DATABASE.append(url)
+    return DATABASE[0]
+
+
+def sql_to_pandas(spark, sf_dir):
+    """All orders of a database as pandas, in one fetch."""
+    return len(Gateway(spark, JdbcSource(_database(spark, sf_dir), table="orders")).load(return_type="pandas"))
+
+
+def sql_partitioned(spark, sf_dir):
+    """The same in ranges of the key, 8 connections at a time."""
+    source = JdbcSource(_database(spark, sf_dir), table="orders", partition_column="o_orderkey", chunk=20_000, workers=8)
+    return len(Gateway(spark, source).load(return_type="pandas"))
+
+
+ACTIONS = {"sql_to_pandas": sql_to_pandas, "sql_partitioned_8": sql_partitioned, "parquet_to_pandas": to_pandas, "in_clause_to_pandas": in_to_pandas, "stream_batches": batches, "sink_write_100k": sink_100k}
 
 
 def main() -> None:

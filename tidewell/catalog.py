@@ -458,6 +458,18 @@ _entry("helper_join", lambda s, d: Helper(s, files.ParquetSource(f"{d}/nation.pa
 _entry("join_dry_run", lambda s, d: _checks(s, plan="Join" in Helper(s, files.ParquetSource(f"{d}/nation.parquet")).left_join(_table(s, d, "region"), "n_regionkey", "r_regionkey", dry_run=True)), _hold("plan"))
 
 
+_entry("filter_isnull_true", lambda s, d: fl.apply(_nulled(s, d), status__isnull=True), f"SELECT * FROM {_N} WHERE status IS NULL")
+_entry("filter_not_isnull", lambda s, d: fl.apply(_nulled(s, d), status__isnull=False), f"SELECT * FROM {_N} WHERE status IS NOT NULL")
+
+
+def _described(spark, sf_dir):
+    got = _gateway(spark, sf_dir, "supplier").describe(5)
+    return spark.createDataFrame([(got["rows"], got["more"])], "n long, more boolean")
+
+
+_entry("describe_rows", _described, "SELECT least(count(*), 5) n, count(*) > 5 more FROM supplier")
+
+
 # ------------------------------------------------------- cubes and artifacts
 class _Fixed(cube.BaseCube):
     """Nations in capitals; an empty load isn't fixed."""
