@@ -402,8 +402,8 @@ def _days(spark, sf_dir):
 _entry("day_layout", _days, "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey >= 2")
 _entry("missing_path", lambda s, d: ty.union_widened(_table(s, d, "region"), files.ParquetSource(f"{d}/no_such.parquet").read(s)), "SELECT * FROM region")
 _entry("load_arrow", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(n_regionkey=2, return_type="arrow")), "SELECT * FROM nation WHERE n_regionkey = 2")
-_entry("load_auto", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(return_type="auto", columns=["n_nationkey", "n_name"])), "SELECT CAST(n_nationkey AS BIGINT) n_nationkey, n_name FROM nation")
-_entry("index_columns", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(return_type="pandas", columns=["n_nationkey", "n_name"], df_options={"index_col": "n_nationkey"}).reset_index()), "SELECT CAST(n_nationkey AS BIGINT) n_nationkey, n_name FROM nation")
+_entry("load_auto", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(return_type="auto", columns=["n_nationkey", "n_name"])), "SELECT n_nationkey, n_name FROM nation")
+_entry("index_columns", lambda s, d: s.createDataFrame(_gateway(s, d, "nation").load(return_type="pandas", columns=["n_nationkey", "n_name"], df_options={"index_col": "n_nationkey"}).reset_index()), "SELECT n_nationkey, n_name FROM nation")
 
 
 def _profiled(spark, sf_dir):
