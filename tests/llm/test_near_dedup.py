@@ -143,3 +143,14 @@ def test_query(spark, sf_dir):
         if len(g) == 2:
             a, b = (sequence(t) for t in g)
             assert nd.aligned(a, b) >= 0.8
+
+
+def test_query_as_all_pairs(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    seqs, own = [sequence(r.text) for r in rows], [r.doc_id for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if own[i] != own[j] and (rows[i].text == rows[j].text or nd.aligned(seqs[i], seqs[j]) > 0):
+                low, high = sorted((own[i], own[j]))
+                own = [low if x == high else x for x in own]
+    assert {r.doc_id: r.class_id for r in nd.op4_order_minhash(spark, sf_dir).collect()} == dict(zip([r.doc_id for r in rows], own, strict=True))

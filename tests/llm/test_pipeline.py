@@ -1,9 +1,49 @@
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from tidewell.llm import common, decontamination, near_dedup, quality, secrets
 
 
+def plain_run(spark, sf_dir):
+    """The pipeline's rows by loops over all documents, and by the tokenizers library."""
+    model = quality.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    docs = [r for r in common.table(spark, sf_dir, "documents").orderBy("doc_id").collect() if model.score(np.array([quality.statistics(r.text)]))[0] >= quality.THRESHOLD]
+    sequences, own = [near_dedup._sequence(r.text) for r in docs], list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if own[i] != own[j] and (docs[i].text == docs[j].text or near_dedup.aligned(sequences[i], sequences[j]) > 0):
+                low, high = sorted((own[i], own[j]))
+                own = [low if x == high else x for x in own]
+    docs = [d for k, d in enumerate(docs) if own[k] == k]
+    items = [(r.item_id, r.text) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    tokens = [decontamination.words(t) for _, t in items]
+    index = decontamination.Index(items, len(items), Counter(w for x in tokens for w in set(x)), sum(map(len, tokens)) / len(items))
+    scanner = decontamination.Scanner(index, 0.6, 0.8)
+    docs = [d for d in docs if not scanner.scan([d.text])[0]]
+    lib, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for d in docs:
+        text, end, parts = d.text, 0, []
+        for c, _ in secrets.secrets(d.text, d.source, secrets.forest()):
+            parts += [text[end : c.start], "[SECRET]"]
+            end = c.end
+        ids = lib.encode("".join([*parts, text[end:]]), add_special_tokens=False).ids
+        plain = lib.decode(ids, skip_special_tokens=False)
+        out[d.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest())
+    return out
+
+
+def test_run_as_plain_loops(spark, sf_dir):
+    want = plain_run(spark, sf_dir)
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want and len(want) > 50
+
+
 def test_every_stage_takes_effect(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     columns, counts = docs.columns, [docs.count()]

@@ -59,3 +59,14 @@ def test_repeated_ids_and_clashing_columns_give_one_model(spark, sf_dir):
     tie = spark.createDataFrame([(k, "same text here", k % 2) for k in range(40)], "doc_id long, text string, quality int")
     flat = q.scores(tie, q.train(tie, tie.select("doc_id", "quality")))
     assert flat.select("score").distinct().count() == 1 and flat.count() == 40
+
+
+def test_query_as_a_plain_loop(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = q.train(docs, labels)
+    got = {r.doc_id: r for r in q.op8_quality_rules(spark, sf_dir).collect()}
+    for d in docs.collect():
+        want = float(model.score(np.array([q.statistics(d.text)]))[0])
+        r = got.pop(d.doc_id)
+        assert abs(r.score - want) < 1e-9 and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+    assert not got
