@@ -23,6 +23,16 @@ def test_any_text_as_the_library(text):
     assert OWN.decode(ids) == text
 
 
+def test_marks_and_blanks_as_the_library():
+    r = random.Random(12)
+    some = ["Don't", "it's.", "dogs'", "I'LL,", "x's", "a.b", "É***", "ß!?", "3.5,", "a1!", "_x_", "...", "\u00a0", "\t", "\n", "  ", "\u3000", "日本。", "😀.", "\0", "ª.", "×!", "<|endoftext|>", "word", "(a)", "'s", "a'\u2019", "\x85", "\x1c"]
+    texts = ["".join(r.choice(some) + r.choice([" ", " ", "\n", ""]) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    got = [x.tolist() for x in OWN.encode(texts)]
+    assert got == [x.ids for x in LIB.encode_batch(texts, add_special_tokens=False)]
+    values, ends = OWN.encoded(texts)
+    assert OWN.decoded(values, ends) == [LIB.decode(x, skip_special_tokens=False) for x in got]
+
+
 def test_long_and_special():
     for text in ("a" * 3000, "é☃" * 400, "<|endoftext|>", "x <|endoftext|>y\n\n  z ", " " * 900 + "w", ""):
         ids = OWN.encode([text])[0].tolist()

@@ -34,8 +34,12 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same characters by themselves.
 BLANKS = SPACE.encode().decode("unicode_escape")
+#: A letter, and the marks after it at a word's end: the pattern always splits there, as it has no letters and marks in one but for 's and the like.
+MARKS_END = f"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-/:-@\\[-`{{-~]+)([{BLANKS}]|$)"
 #: Pre-tokens of more bytes get a tree of their own.
 LONG = 256
+#: Pieces that a worker remembers, about 0.2 kB each.
+MEMO = 600_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -76,7 +80,7 @@ class SegmentTree:
 class ByteBPE:
     """Vocabulary, merge ranks and memo of one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
@@ -102,7 +106,7 @@ class ByteBPE:
         # white space always begins a pre-token, so texts fall into pieces of blanks and what follows
         self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo = common.Cache()
+        self.memo = common.Cache(memo)
 
     # -------------------------------------------------- one long pre-token
     def merge_long(self, data: bytes) -> list[int]:
@@ -217,6 +221,7 @@ class ByteBPE:
         """The ids of all texts end to end, and where each begins and the last ends. Distinct pieces are looked up, or merged, once."""
         odd = {k: t for k, t in enumerate(texts) if self.MARK in t or any(x in t for x in self.special)}
         rows = pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.string())
+        rows = pc.replace_substring_regex(rows, MARKS_END, f"\\1{self.MARK}\\2\\3")
         lists = pc.split_pattern(pc.replace_substring_regex(rows, f"([{BLANKS}]+)", f"{self.MARK}\\1"), self.MARK)
         ids, ends = common.gathered(lists, lambda distinct: self.memo.asked(distinct, self._fill), pa.binary())
         values = np.frombuffer(ids.buffers()[2] or b"", "<i4")
@@ -244,22 +249,25 @@ class ByteBPE:
 
 
 @functools.lru_cache(1)
-def _tokenizer(path: str) -> ByteBPE:
-    return ByteBPE(path)
+def _tokenizer(path: str, memo: int) -> ByteBPE:
+    return ByteBPE(path, memo)
 
 
-def tokenizer(path: str) -> ByteBPE:
-    found = _tokenizer(path)
+def tokenizer(path: str, memo: int = MEMO) -> ByteBPE:
+    found = _tokenizer(path, memo)
     common.sole(found.memo)
     return found
 
 
 # --------------------------------------------------------------- operators
-def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """doc_id and token_ids of every text; with ``decoded`` also the text that the ids stand for, from the same worker."""
+def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, memo: int = MEMO) -> DataFrame:
+    """doc_id and token_ids of every text; with ``decoded`` also the text that the ids stand for, from the same worker.
+
+    A worker remembers ``memo`` pieces: more take memory, fewer take time.
+    """
 
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, memo)
         for part in common.slices(batches):
             values, ends = bpe.encoded([t or "" for t in part.column(1).to_pylist()])
             columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))]
@@ -292,11 +300,11 @@ def digests(df: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, *, memo: int = MEMO) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return digests(encode(docs, path, decoded=True))
+    return digests(encode(docs, path, decoded=True, memo=memo))
 
 
 # ------------------------------------------------------------------- query
