@@ -33,6 +33,8 @@ from tidewell.llm import common
 BLANK = "▁"
 _NONE = np.iinfo(np.int64).max
 LONG = 128
+#: Pre-tokens that a worker remembers, about 0.2 kB each.
+MEMO = 800_000
 
 
 class PieceCounter:
@@ -67,7 +69,7 @@ class PieceCounter:
         prefix = model.encode(f"{BLANK}a", out_type=str), model.encode("a", out_type=str)
         self.prefix = BLANK if prefix[1] and prefix[1][0].startswith(BLANK) else ""
         self.words = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
-        self.memo = common.Cache()
+        self.memo = common.Cache(MEMO)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = a * self.size + b
