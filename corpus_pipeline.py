@@ -33,7 +33,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, encoded and decoded."""
-    return bpe.round_trip(docs)
+    # workers hold what other stages left too, so that this memo is smaller
+    return bpe.round_trip(docs, memo=250_000)
 
 
 STAGES = [
