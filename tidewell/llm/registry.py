@@ -16,6 +16,9 @@ MODULES = {
     "op8_quality_rules": "quality",
     "op9_token_counts": "token_counts",
     "op10_secret_forest": "secrets",
+    "op11_prefix_trie": "prefix_trie",
+    "op12_importance_resampling": "resampling",
+    "op13_language_bayes": "language_id",
 }
 
 
@@ -28,5 +31,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
+    from tidewell.llm import prefix_trie, resampling
 
-    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op11_prefix_trie": prefix_trie.ORACLE_SQL, "op12_importance_resampling": resampling.ORACLE_SQL}
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
