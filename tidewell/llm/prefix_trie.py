@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import common
@@ -34,6 +34,17 @@ from tidewell.llm.ordered import running
 
 _NODE = ["depth", "ka", "kb"]
 EMPTY = hashlib.sha256(b"").hexdigest()
+#: Turns of a conversation that are joined in one task; a longer one is cut.
+BLOCK = 128
+
+
+def _block(place) -> Column:
+    return F.floor(place / BLOCK).cast("long")
+
+
+def _spread(convs: DataFrame, last: str) -> DataFrame:
+    """A row of a conversation for each block of its places up to ``last``."""
+    return convs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _block(F.col(last)))))
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -57,11 +68,12 @@ def rebuilt(numbered: DataFrame, *, family: int = 5, most: int = 9) -> DataFrame
     base = own.select(F.col("conv").alias("base"), F.col("own").alias("base_own"))
     convs = own.withColumn("base", F.col("conv") - F.col("conv") % family).join(base, "base", "left")
     lent = F.least(F.coalesce("base_own", F.lit(0)), F.col("h"))
-    convs = convs.select("conv", "base", "h", lent.alias("lent"), (lent + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("n"))
+    convs = convs.select("conv", "base", "h", "own", lent.alias("lent"), (lent + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("n"))
     heads = numbered.where((F.col("conv") % family == 0) & (F.col("nth") < most)).select(F.col("conv").alias("base"), "nth", "a", "b", "bytes")
     # a head of fewer than ``most`` turns goes to the few conversations of its family
     first = convs.join(heads, "base").where("nth <= h").select("conv", F.col("nth").alias("depth"), "a", "b", "bytes", "n")
-    rest = numbered.join(convs, "conv").where("nth > h").select("conv", (F.col("lent") + F.col("nth") - F.col("h")).alias("depth"), "a", "b", "bytes", "n")
+    long = _spread(convs.where("own > h"), "own")
+    rest = numbered.withColumn("block", _block(F.col("nth"))).join(long, ["conv", "block"]).where("nth > h").select("conv", (F.col("lent") + F.col("nth") - F.col("h")).alias("depth"), "a", "b", "bytes", "n")
     zero = F.lit(0).cast("long")
     root = convs.select("conv", zero.alias("depth"), zero.alias("a"), zero.alias("b"), zero.alias("bytes"), "n")
     placed = first.unionByName(rest).withColumns({"a": F.xxhash64("depth", "a", "b"), "b": F.xxhash64("b", "a", "depth")})
@@ -107,8 +119,8 @@ def trie(paths: DataFrame) -> DataFrame:
     suffix = suffix.select("conv", "top.*", "leaf").join(above, ["depth", "pa", "pb"], "left")
     ends = occ.where("depth = n")
     starts = ends.select("conv", "n", "upto").join(suffix.drop("pa", "pb"), "conv", "left")
-    starts = starts.select("conv", F.coalesce("depth", F.col("n") + 1).alias("start"), F.coalesce("before", "upto").alias("shared"), F.coalesce("leaf", F.lit(0)).alias("leaf"), "above")
-    rows = occ.join(starts, "conv")
+    starts = starts.select("conv", "n", F.coalesce("depth", F.col("n") + 1).alias("start"), F.coalesce("before", "upto").alias("shared"), F.coalesce("leaf", F.lit(0)).alias("leaf"), "above")
+    rows = occ.withColumn("block", _block(F.col("depth"))).join(_spread(starts, "n").drop("n"), ["conv", "block"])
     found = rows.groupBy(*_NODE).agg(
         F.min("conv").alias("conv_id"),
         F.min_by(F.when(F.col("depth") > F.col("start"), F.col("conv")).otherwise(F.col("above")), "conv").alias("parent_conv_id"),
