@@ -3,14 +3,21 @@
 A filter dict becomes one Column, so that Catalyst pushes to the scan what a
 scan can take and evaluates the rest. Logic is SQL's three-valued one: a
 comparison with null is neither true nor false, and such rows are dropped.
+
+A text column is compared as text, with the value's text. The values of a list
+are made ones of the column's type first, the same way for any length and for a
+frame of values: what nothing of that type equals (7.5 for integers, a time of
+day for dates) is in no list.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 from functools import reduce
 from typing import Any
 
@@ -19,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions import types as ty
+
 # The operators and casts of the language.
 OPERATORS = ("exact", "not_exact", "gt", "gte", "lt", "lte", "in", "not_in", "range", "contains", "not_contains", "startswith", "endswith", "isnull", "icontains", "istartswith", "iendswith", "iexact", "regex", "iregex")
 SHORT = {"ne": "not_exact", "nin": "not_in"}
@@ -59,12 +68,13 @@ class ColOp(Expr):
 
 @dataclass(frozen=True)
 class Joined(Expr):
-    """A membership whose values were joined with: ``mark`` is true where one matched, and ``key`` is what was compared."""
+    """A membership whose values were joined with: ``mark`` is set where one matched, ``key`` is what was compared, and ``some`` tells whether there are any (None: there are)."""
 
     op: str
     key: Column
     mark: str
     nulls: bool
+    some: Column | None
 
 
 @dataclass(frozen=True)
@@ -162,9 +172,9 @@ def check_pattern(pattern: str) -> str:
 
 # ----------------------------------------------------------------- compiling
 def _literal(value: Any, kind: T.DataType | None) -> Column:
-    """A value as a literal of the column's type, for temporal columns and texts of dates."""
-    if isinstance(kind, T.StringType) and isinstance(value, (dt.date, dt.datetime)):
-        return F.lit(value.isoformat() if not isinstance(value, dt.datetime) else value.isoformat(" "))
+    """A value as a literal of the column's type, for temporal columns; a text column is compared with the value's text."""
+    if isinstance(kind, T.StringType) and value is not None:
+        return F.lit(_text(value))
     if isinstance(kind, T.DateType):
         if isinstance(value, dt.datetime):
             return F.lit(value).cast("timestamp_ntz")
@@ -179,6 +189,115 @@ def _literal(value: Any, kind: T.DataType | None) -> Column:
     return F.lit(value)
 
 
+def _text(value: Any) -> str:
+    """A value's text as a cast to text has it."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, dt.datetime):
+        return value.isoformat(" ").rstrip("0").rstrip(".") if value.microsecond and not value.tzinfo else value.isoformat(" ")
+    if isinstance(value, dt.date):
+        return value.isoformat()
+    if isinstance(value, float) and math.isfinite(value) and value and not 1e-3 <= abs(value) < 1e7:
+        sign, digits, _ = Decimal(repr(value)).normalize().as_tuple()
+        tail = "".join(map(str, digits[1:])) or "0"
+        return f"{'-' if sign else ''}{digits[0]}.{tail}E{Decimal(repr(value)).adjusted()}"
+    return str(value)
+
+
+# --------------------------------------------------------------- memberships
+def _moment(value: Any) -> dt.datetime | None:
+    """A date, time or text of one as a local time; dates are midnights."""
+    if isinstance(value, dt.datetime):
+        return value
+    if isinstance(value, dt.date):
+        return dt.datetime(value.year, value.month, value.day)
+    if isinstance(value, str):
+        if short := re.fullmatch(r"\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*", value):
+            value = "{:0>4}-{:0>2}-{:0>2}".format(*short.groups())
+        try:
+            return dt.datetime.fromisoformat(value.strip())
+        except ValueError as e:
+            raise FilterError(f"{value!r} is no date or time") from e
+    return None
+
+
+def _member(value: Any, kind: T.DataType) -> Any:
+    """A list's value as one of the column's type, or None if no value of that type equals it."""
+    if isinstance(kind, T.StringType):
+        return _text(value)
+    if isinstance(kind, T.DateType):
+        moment = _moment(value)
+        return None if moment is None or moment.time() != dt.time() else moment.date()
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        moment = _moment(value)
+        if moment is not None and moment.tzinfo and isinstance(kind, T.TimestampNTZType):
+            moment = moment.astimezone(dt.UTC).replace(tzinfo=None)
+        return moment
+    if isinstance(kind, T.BooleanType):
+        if isinstance(value, str):
+            word = value.strip().lower()
+            return True if word in ty.TRUE_WORDS else False if word in ty.FALSE_WORDS else None
+        return bool(value) if value in (0, 1) else None
+    if isinstance(kind, T.NumericType):
+        if isinstance(value, (dt.date, dt.time)):
+            return None
+        try:
+            exact = value if isinstance(value, (int, float)) else Decimal(str(value).strip())
+            if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+                return float(exact)
+            exact = Decimal(repr(exact)) if isinstance(exact, float) else Decimal(exact)
+        except ArithmeticError as e:
+            raise FilterError(f"{value!r} is no number") from e
+        if not exact.is_finite():
+            return None
+        with localcontext(prec=100):
+            if isinstance(kind, T.DecimalType):
+                return exact if exact == round(exact, kind.scale) and abs(exact) < Decimal(10) ** (kind.precision - kind.scale) else None
+            return int(exact) if exact == exact.to_integral_value() and abs(exact) < 2**63 else None
+    return value
+
+
+def _members_of(values: Iterable, cast: str | None, kind: T.DataType | None) -> list:
+    """The distinct values of a list that something of the column's type (after the cast) can equal; the same for any length."""
+    plain = [v for v in values if v is not None]
+    if cast == "date":
+        plain = list(map(_date, plain))
+    elif cast:
+        plain = [_seconds(v) if cast == "time" else int(v) for v in plain]
+    elif kind is not None:
+        plain = [m for m in (_member(v, kind) for v in plain) if m is not None]
+    return list(dict.fromkeys(plain))
+
+
+def _member_literal(value: Any, kind: T.DataType | None) -> Column:
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit(value.isoformat()).cast(kind)
+    return F.lit(value)
+
+
+def _frame_members(c: Column, own: T.DataType, kind: T.DataType) -> Column:
+    """A frame's value as one of the column's type by the rules of lists, or null if it equals none."""
+    numbers = isinstance(own, T.NumericType)
+    if own == kind or isinstance(own, T.IntegralType) and isinstance(kind, T.IntegralType):
+        return c
+    if isinstance(kind, T.StringType):
+        return c.cast("string")
+    if isinstance(kind, T.BooleanType):
+        return F.when(c == 1, True).when(c == 0, False) if numbers else ty.coerce(c, own, kind)
+    if isinstance(kind, T.DateType):
+        at = c.try_cast("timestamp_ntz")
+        return F.when(at == F.to_date(at).cast("timestamp_ntz"), F.to_date(at))
+    if isinstance(kind, T.NumericType):
+        if isinstance(own, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.lit(None).cast(kind)
+        if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            return F.trim(c).try_cast("double") if not numbers else c.cast("double")
+        exact = c if numbers else F.trim(c).try_cast("decimal(38,10)")
+        own_kind = exact.try_cast(kind)
+        return F.when(own_kind == exact, own_kind)
+    return c.try_cast(kind)
+
+
 def _seconds(value: Any) -> int:
     if isinstance(value, dt.datetime):
         value = value.time()
@@ -213,7 +332,7 @@ def _many(value: Any, what: str) -> list:
     return list(dict.fromkeys(value))
 
 
-def _compare(c: Column, op: str, value: Any, lit) -> Column:
+def _compare(c: Column, op: str, value: Any, lit, members) -> Column:
     if op == "exact":
         return c.isNull() if value is None else c == lit(value)
     if op == "not_exact":
@@ -222,12 +341,12 @@ def _compare(c: Column, op: str, value: Any, lit) -> Column:
         return {"gt": c > lit(value), "gte": c >= lit(value), "lt": c < lit(value), "lte": c <= lit(value)}[op]
     if op in ("in", "not_in"):
         values = _many(value, op)
-        plain = [lit(v) for v in values if v is not None]
+        plain = members(values)
+        # a list none of whose values can be met is still a list: what is null is in neither
+        test = c.isin(*plain) if plain else F.when(c.isNotNull(), F.lit(False)) if any(v is not None for v in values) else F.lit(False)
         if op == "in":
-            test = c.isin(*plain) if plain else F.lit(False)
             return test | c.isNull() if None in values else test
-        test = ~c.isin(*plain) if plain else F.lit(True)
-        return test & c.isNotNull() if None in values else test
+        return ~test & c.isNotNull() if None in values else ~test
     if op == "range":
         if isinstance(value, (str, bytes)) or not isinstance(value, Iterable) or len(ends := list(value)) != 2:
             raise FilterError("range takes two ends")
@@ -258,7 +377,8 @@ def compile_expr(expr: Expr, schema: T.StructType) -> Column:
     if isinstance(expr, Or):
         return reduce(lambda a, b: a | b, (compile_expr(p, schema) for p in expr.parts))
     if isinstance(expr, Joined):
-        found = F.when(expr.key.isNull(), F.lit(None).cast("boolean")).otherwise(F.col(expr.mark).isNotNull())
+        unknown = expr.key.isNull() if expr.some is None else expr.key.isNull() & expr.some
+        found = F.when(unknown, F.lit(None).cast("boolean")).otherwise(F.col(expr.mark).isNotNull())
         if expr.op == "in":
             return found | expr.key.isNull() if expr.nulls else found
         return ~found & expr.key.isNotNull() if expr.nulls else ~found
@@ -266,9 +386,9 @@ def compile_expr(expr: Expr, schema: T.StructType) -> Column:
         raise FilterError(f"{expr.column!r}: no such column")
     kind, column = schema[expr.column].dataType, F.col(f"`{expr.column}`")
     if expr.cast is None:
-        return _compare(column, expr.op, expr.value, lambda v: _literal(v, kind))
+        return _compare(column, expr.op, expr.value, lambda v: _literal(v, kind), lambda values: [_member_literal(v, kind) for v in _members_of(values, None, kind)])
     lit = (lambda v: F.lit(_date(v))) if expr.cast == "date" else (lambda v: F.lit(_seconds(v))) if expr.cast == "time" else (lambda v: F.lit(int(v)))
-    return _compare(_cast(column, expr.cast, kind), expr.op, expr.value, lit)
+    return _compare(_cast(column, expr.cast, kind), expr.op, expr.value, lit, lambda values: [F.lit(v) for v in _members_of(values, expr.cast, kind)])
 
 
 def _long(expr: Expr) -> bool:
@@ -287,24 +407,16 @@ def _members(df: DataFrame, leaf: ColOp) -> tuple[Column, DataFrame, bool]:
     if isinstance(leaf.value, DataFrame):
         first = F.col(f"`{leaf.value.columns[0]}`")
         own = leaf.value.schema[0].dataType
-        given = leaf.value.select((_cast(first, leaf.cast, own) if leaf.cast and own != kind else first).alias("_member"))
-        return key, given.where("_member IS NOT NULL").distinct(), False
-    values = list(dict.fromkeys(leaf.value))
-    plain = [v for v in values if v is not None]
-    if leaf.cast == "date":
-        plain = [_date(v) for v in plain]
-    elif leaf.cast:
-        plain = [_seconds(v) if leaf.cast == "time" else int(v) for v in plain]
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)):
-        if isinstance(kind, T.TimestampNTZType):
-            plain = [v.astimezone(dt.UTC).replace(tzinfo=None) if isinstance(v, dt.datetime) and v.tzinfo else v for v in plain]
-        plain = [v.isoformat(" ") if isinstance(v, dt.datetime) else v.isoformat() if isinstance(v, dt.date) else str(v) for v in plain]
-    elif len({type(v) for v in plain}) > 1:
-        plain = [float(v) for v in plain]
-    given = df.sparkSession.createDataFrame(pa.table({"_member": pa.array(plain) if plain else pa.array([], pa.string())}))
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        given = given.select(F.col("_member").cast(kind))
-    return key, given.distinct(), None in values
+        if leaf.cast and own != kind:
+            first = _cast(first, leaf.cast, own)
+        elif not leaf.cast:
+            first = _frame_members(first, own, kind)
+        return key, leaf.value.select(first.alias("_member")).where("_member IS NOT NULL").distinct(), False
+    plain = _members_of(leaf.value, leaf.cast, kind)
+    times = isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and not leaf.cast
+    values = [v.isoformat() for v in plain] if times else plain
+    given = df.sparkSession.createDataFrame(pa.table({"_member": pa.array(values) if values else pa.array([], pa.string())}))
+    return key, given.select(F.col("_member").cast(kind)) if times or not values else given, None in leaf.value
 
 
 def _joined(df: DataFrame, expr: Expr) -> tuple[DataFrame, Expr]:
@@ -314,8 +426,9 @@ def _joined(df: DataFrame, expr: Expr) -> tuple[DataFrame, Expr]:
         mark = "_mark"
         while mark in df.columns:
             mark = "_" + mark
+        some = given.exists() if isinstance(expr.value, DataFrame) else None
         given = given.select(F.col("_member").alias(mark))
-        return df.join(given, key == F.col(mark), "left"), Joined(expr.op, key, mark, nulls)
+        return df.join(given, key == F.col(mark), "left"), Joined(expr.op, key, mark, nulls, some)
     if isinstance(expr, Not):
         df, part = _joined(df, expr.part)
         return df, Not(part)
@@ -353,7 +466,9 @@ def apply(df: DataFrame, filters: Mapping[str, Any] | Expr | None = None, *, exc
         if _long(leaf):
             key, given, nulls = _members(df, leaf)
             if leaf.op == "not_in":
-                df = df.where(key.isNotNull()).join(given, key == F.col("_member"), "left_anti")
+                # nothing is in an empty frame, and nothing is known of null and any other
+                known = key.isNotNull() | ~given.exists() if isinstance(leaf.value, DataFrame) else key.isNotNull()
+                df = df.where(known).join(given, key == F.col("_member"), "left_anti")
             else:
                 if nulls:
                     given = given.unionByName(given.limit(0).groupBy().agg(F.max("_member").alias("_member")))

@@ -61,6 +61,34 @@ def indexed_left_join(left: DataFrame, right: DataFrame, on: str, *, partitions:
     return deal(left).join(deal(right), on, "left")
 
 
+def hot_keys(df: DataFrame, on: str, share: float = 0.01) -> list:
+    """The keys that more than a ``share`` of all rows have: fewer than 1 / share. Counts are reduced before they are shuffled."""
+    counts = df.where(F.col(f"`{on}`").isNotNull()).groupBy(F.col(f"`{on}`").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    total = df.count()
+    return [r.k for r in counts.where(F.col("n") > share * total).collect()]
+
+
+def hot_key_join(left: DataFrame, right: DataFrame, on: str, *, how: str = "left", share: float = 0.01, salt: int = 32) -> DataFrame:
+    """Join on one key of which few values may have most of the left rows.
+
+    Left rows of such a key, and those of null, are dealt over ``salt`` tasks;
+    the right rows of the same keys, and no others, go to all of them. All
+    other keys are joined as ever. A null key matches nothing.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("a join of hot keys is left or inner")
+    if clash := (set(left.columns) & set(right.columns)) - {on}:
+        raise ValueError(f"columns that both sides have: {', '.join(sorted(clash))}")
+    hot = hot_keys(left, on, share)
+    c = F.col(f"`{on}`")
+    many = F.array(*(F.lit(k) for k in range(salt)))
+    # any number does for a left row, as all have the right rows
+    number = F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int")
+    dealt = left.withColumn("_salt", F.when(c.isin(*hot) | c.isNull() if hot else c.isNull(), number).otherwise(0))
+    copies = right.withColumn("_salt", F.explode(F.when(c.isin(*hot), many).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))))
+    return dealt.join(copies, [on, "_salt"], how).drop("_salt")
+
+
 def _keys(keys: DataFrame | Sequence, df: DataFrame, on: str) -> DataFrame:
     if isinstance(keys, DataFrame):
         return keys.select(F.col(f"`{keys.columns[0]}`").alias(on))

@@ -102,19 +102,30 @@ class Gateway:
         there; ``watermark_store`` and ``watermark_source`` (the table, if not
         given) go with a field.
         """
-        if more.get("since") is not None:
-            return self._since(filters, more)
         controls = {k: more.pop(k) for k in list(more) if k in CONTROLS}
         kind = controls.get("return_type", "spark")
         if kind not in RETURN_TYPES:
             raise ValueError(f"return_type is one of {', '.join(RETURN_TYPES)}")
+        if controls.get("since") is None:
+            df = self._finished(self._filtered(filters, more, controls), controls)
+            return df if controls.get("dry_run") else self._returned(df, kind, self._options(controls), controls.get("timeout"))
+        field_, store, source = self._since(controls)
+        found = self._past(field_, store, source, controls.get("watermark_operator", "gt"), controls.get("watermark_initial"), filters, more, controls)
+        if controls.get("dry_run"):
+            return found.frame
+        out = self._returned(found.frame, kind, self._options(controls), controls.get("timeout"))
+        bookmarks.commit_mark(store, source, found)
+        return out
+
+    def _filtered(self, filters: Mapping[str, Any] | None, more: Mapping[str, Any], controls: Mapping[str, Any]) -> DataFrame:
+        """All columns, by semantic names, of the rows for which filters and period hold."""
         if controls.get("sql"):
             df = guard.run(self.spark, controls["sql"], controls.get("params"), allow_raw_sql=controls.get("allow_raw_sql", False))
         else:
             df = controls.get("statement")
             df = self.relation() if df is None else df
         names = fm.FieldMap(self.field_map)
-        given = dict(self.filters) | more | dict(filters or {})
+        given = dict(self.filters) | dict(more) | dict(filters or controls.get("filters") or {})
         semantic = [self.field_map.get(c, c) for c in df.columns]
         expr = names.filters(fl.parse(given, semantic))
         if self.allowed is not None and (bad := {self.field_map.get(c, c) for c in fl.fields(expr)} - set(self.allowed)):
@@ -122,12 +133,16 @@ class Gateway:
         df = fl.apply(df, expr, exclude=controls.get("exclude", self.exclude))
         if controls.get("start") is not None or controls.get("end") is not None:
             df = fl.apply(df, names.filters(fl.parse(fl.period(controls["dt_field"], controls["start"], controls["end"]), semantic)))
-        df = names.apply(df)
-        df = shape.select_fields(df, controls.get("columns"))
+        return names.apply(df)
+
+    def _options(self, controls: Mapping[str, Any]) -> FrameOptions:
         options = controls.get("df_options") or self.options
-        if isinstance(options, Mapping):
-            options = FrameOptions(**options)
-        df = options.shape(df)
+        return FrameOptions(**options) if isinstance(options, Mapping) else options
+
+    def _finished(self, df: DataFrame, controls: Mapping[str, Any]) -> Any:
+        """The frame as it was asked for, or the plan's text."""
+        df = shape.select_fields(df, controls.get("columns"))
+        df = self._options(controls).shape(df)
         if controls.get("return_schema"):
             df = ty.apply_schema_map(df, controls["return_schema"])
         if controls.get("limit") is not None:
@@ -136,33 +151,30 @@ class Gateway:
             log.info("plan:\n%s", df._jdf.queryExecution().toString())
         if controls.get("dry_run"):
             return df._jdf.queryExecution().toString()
-        if controls.get("persist"):
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        return self._returned(df, kind, options, controls.get("timeout"))
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if controls.get("persist") else df
 
-    def _since(self, filters: Mapping[str, Any] | None, more: dict[str, Any]) -> Any:
-        since = more.pop("since")
-        store, source, operator, initial = (more.pop(f"watermark_{k}", d) for k, d in (("store", None), ("source", None), ("operator", "gt"), ("initial", None)))
+    def _since(self, controls: Mapping[str, Any]) -> tuple[str, bookmarks.Store, str]:
+        since, store, source = controls["since"], controls.get("watermark_store"), controls.get("watermark_source")
         if isinstance(since, tuple):
             if len(since) != 3:
                 raise ValueError("since is a field or (field, store, source)")
-            field_, store, source = since
-        elif isinstance(since, str):
-            field_ = since
-        else:
+            since, store, source = since
+        elif not isinstance(since, str):
             raise TypeError("since is a field or (field, store, source)")
         if store is None:
             raise ValueError("since needs a store of marks: give watermark_store")
         source = source or (self.source if isinstance(self.source, str) else getattr(self.source, "table", None) or getattr(self.source, "path", None))
         if not source:
             raise ValueError("since needs a name for the mark: give watermark_source")
-        kind, timeout = more.pop("return_type", "spark"), more.get("timeout")
-        both = lambda mark: {"$and": [x for x in (dict(filters or {}), dict(mark)) if x]} if filters and mark else dict(filters or {}) | dict(mark)
-        found = bookmarks.load(lambda mark: self.load(both(mark), **more), field_, store, source, operator=operator, initial=initial, commit=False)
-        options = more.get("df_options") or self.options
-        out = self._returned(found.frame, kind, FrameOptions(**options) if isinstance(options, Mapping) else options, timeout)
-        bookmarks.commit_mark(store, source, found)
-        return out
+        return since, store, source
+
+    def _past(self, field_: str, store: bookmarks.Store, source: str, operator: str, initial: Any, filters: Mapping[str, Any] | None, more: Mapping[str, Any], controls: Mapping[str, Any]) -> bookmarks.Increment:
+        """The rows past a mark; the mark is a condition of its own, whatever the request excludes or filters by, and is taken before columns are."""
+        if controls.get("limit") is not None:
+            raise ValueError("a load past a mark has no limit, as the mark would pass rows that it leaves out")
+        df = self._filtered(filters, more, controls)
+        found = bookmarks.load(lambda mark: fl.apply(df, mark), field_, store, source, operator=operator, initial=initial, commit=False)
+        return replace(found, frame=self._finished(found.frame, controls))
 
     def _returned(self, df: DataFrame, kind: str, options: FrameOptions, timeout: float | None) -> Any:
         if kind == "auto":
@@ -206,8 +218,15 @@ class Gateway:
     def load_period(self, dt_field: str, start: Any, end: Any, **more: Any) -> Any:
         return self.load(dt_field=dt_field, start=start, end=end, **more)
 
-    def load_incremental(self, field_: str, store: bookmarks.Store, source: str, *, operator: str = "gt", initial: Any = None, commit: bool = True, **more: Any) -> bookmarks.Increment:
-        return bookmarks.load(lambda filters: self.load(filters, **more), field_, store, source, operator=operator, initial=initial, commit=commit)
+    def load_incremental(self, field_: str, store: bookmarks.Store, source: str, *, operator: str = "gt", initial: Any = None, commit: bool = True, filters: Mapping[str, Any] | None = None, **more: Any) -> bookmarks.Increment:
+        """The rows past a mark, with ``load``'s filters and options; both the mark and filters on its field hold.
+
+        The source is read for the maximum, and again when the frame is; where
+        rows go to a sink, ``ParquetPipeline.incremental`` reads it once.
+        """
+        controls = {k: more.pop(k) for k in list(more) if k in CONTROLS}
+        found = self._past(field_, store, source, operator, initial, filters, more, controls)
+        return replace(found, committed=commit and bookmarks.commit_mark(store, source, found))
 
     def semi_join(self, keys: DataFrame | Sequence, on: str, **more: Any) -> DataFrame:
         return joins.semi_join(self.load(**more), keys, on)

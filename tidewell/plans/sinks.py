@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions import filters as fl
 from tidewell.functions import types as ty
 from tidewell.plans import telemetry
 from tidewell.sources import files, hadoop
@@ -97,13 +98,18 @@ class _Folder:
             if overwrite:
                 staged = f"{path}.staging-{uuid.uuid4().hex}"
                 self._save(df, staged, "errorifexists")
+                self._noted(df, staged, None)
                 hadoop.swap(self.spark, staged, path)
             else:
-                self._check_append(df, path)
+                old = self._check_append(df, path)
                 self._save(df, path, "append")
+                self._noted(df, path, old)
         return SinkResult(path, tuple(f for f in hadoop.listed(self.spark, path, self.suffix) if f not in before))
 
-    def _check_append(self, df: DataFrame, path: str) -> None:
+    def _check_append(self, df: DataFrame, path: str) -> files.Record | None:
+        return None
+
+    def _noted(self, df: DataFrame, path: str, old: files.Record | None) -> None:
         pass
 
     def _save(self, df: DataFrame, path: str, mode: str) -> None:
@@ -132,11 +138,27 @@ class ParquetSink(_Folder):
             df = with_partition_date(df, self.date_field)
         return super().write(df, overwrite=overwrite)
 
-    def _check_append(self, df: DataFrame, path: str) -> None:
-        if hadoop.listed(self.spark, path, ".parquet"):
-            own = T.StructType([f for f in df.schema if f.name not in self.partition_on])
-            old = files.read_evolved(self.spark, path).schema
-            check_widening(own, T.StructType([f for f in old if f.name not in self.partition_on]))
+    def _check_append(self, df: DataFrame, path: str) -> files.Record | None:
+        """What the dataset has, if the append goes with it; only footers of files that the record doesn't know are read."""
+        old = files.current(self.spark, path, self._folders(df))
+        if old is not None:
+            check_widening(T.StructType([f for f in df.schema if f.name not in self.partition_on]), old.data())
+        return old
+
+    def _folders(self, df: DataFrame) -> T.StructType:
+        return T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.partition_on])
+
+    def _noted(self, df: DataFrame, path: str, old: files.Record | None) -> None:
+        """Keep the types beside the files: readers need no guesses from folders' names, and appends no old footers."""
+        own = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema if f.name not in self.partition_on])
+        merged, uniform = own, True
+        if old is not None:
+            merged = check_widening(own, old.data())
+            types = lambda s: {f.name: f.dataType for f in s}
+            uniform = old.uniform and types(own) == types(old.data())
+        folders = old.folders() if old is not None and old.partition_on else self._folders(df)
+        newest = hadoop.newer(self.spark, path, self.suffix, -1)[1]
+        files.write_record(self.spark, path, files.Record(T.StructType([*merged, *folders]), tuple(f.name for f in folders), uniform, newest))
 
 
 @dataclass(frozen=True)
@@ -173,8 +195,11 @@ class UpsertSink:
     """Rows replace those of their keys: what has no new row stays.
 
     Of a partitioned dataset only partitions that have such a key, or get a new
-    row, are read whole and replaced, a folder at a time; a dataset without
-    partitions, or one whose columns widen, is swapped as a whole.
+    row, are read whole and replaced; where the partition columns are among the
+    keys, those of the new rows are all, and no old key is looked at to find
+    them. Folders are replaced one at a time, so that a driver lost meanwhile
+    leaves some of them new and some old; the same upsert again completes it. A
+    dataset without partitions, or one whose columns widen, is swapped as a whole.
     """
 
     spark: SparkSession
@@ -195,9 +220,10 @@ class UpsertSink:
                 raise ValueError("several rows of one key")
             if overwrite or not hadoop.listed(self.spark, path, ".parquet"):
                 return ParquetSink(self.spark, path, self.partition_on).write(df)
-            old = self.spark.read.parquet(path)
+            folders = T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.partition_on])
+            old, uniform = files.read_dataset(self.spark, path, folders), files.current(self.spark, path, folders).uniform
             same = check_widening(df.schema, old.schema) == T.StructType([T.StructField(f.name, f.dataType) for f in old.schema])
-            if self.partition_on and same and set(df.columns) == set(old.columns):
+            if self.partition_on and uniform and same and set(df.columns) == set(old.columns):
                 return self._replace(df, old, path, fresh)
             merged = ty.union_widened(self._without(old, df), df, stringify=False)
             return ParquetSink(self.spark, path, self.partition_on).write(merged)
@@ -209,13 +235,17 @@ class UpsertSink:
 
     def _replace(self, df: DataFrame, old: DataFrame, path: str, fresh: str) -> SinkResult:
         parts = list(self.partition_on)
-        hit = old.join(df, _all([old[k].eqNullSafe(df[k]) for k in self.keys]), "left_semi")
-        hit.select(*parts).unionByName(df.select(*parts)).distinct().write.parquet(f"{fresh}/parts")
-        touched = self.spark.read.parquet(f"{fresh}/parts")
-        some = old.join(touched, _all([old[c].eqNullSafe(touched[c]) for c in parts]), "left_semi")
-        folders = old.select(*parts, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
-        folders = folders.join(touched, _all([folders[c].eqNullSafe(touched[c]) for c in parts]), "left_semi").select("_folder").distinct()
-        before = {hadoop.below(self.spark, path, r[0], uri=True) for r in folders.collect()}  # as many as partitions are touched
+        touched = df.select(*parts)
+        if not set(parts) <= set(self.keys):
+            touched = touched.unionByName(old.join(df, _all([old[k].eqNullSafe(df[k]) for k in self.keys]), "left_semi").select(*parts))
+        touched.distinct().write.parquet(f"{fresh}/parts")
+        touched = self.spark.read.schema(touched.schema).parquet(f"{fresh}/parts")
+        places = old.select(*parts, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
+        places = places.join(touched, _all([places[c].eqNullSafe(touched[c]) for c in parts]), "left_semi").select("_folder").distinct()
+        before = {hadoop.below(self.spark, path, r[0], uri=True) for r in places.collect()}  # as many as partitions are touched
+        # only their folders are read
+        own = [hadoop.joined(self.spark, path, x) for x in sorted(before)]
+        some = self.spark.read.schema(old.schema).option("basePath", path).parquet(*own) if own else old.limit(0)
         staged = f"{fresh}/staged"
         ParquetSink(self.spark, staged, parts)._save(self._without(some, df).unionByName(df), staged, "errorifexists")
         now = {f.rsplit("/", 1)[0] for f in (hadoop.below(self.spark, staged, x) for x in hadoop.listed(self.spark, staged, ".parquet"))}
@@ -278,24 +308,24 @@ class ParquetPipeline(SinkPipeline):
 
     def materialize(self, *, reload: bool = True, overwrite: bool = True, **request: Any) -> Materialization:
         result = self.write(overwrite=overwrite, **request)
-        return Materialization(result.path, result.files, self.sink.spark.read.parquet(result.path) if reload else None)
+        return Materialization(result.path, result.files, files.read_dataset(self.sink.spark, result.path) if reload else None)
 
     def incremental(self, field_: str, store: bookmarks.Store, source: str, *, operator: str = "gt", initial: Any = None, overwrite: bool = False, **request: Any) -> Materialization:
         """The rows past the mark are written, their maximum is observed on the way, and then the mark moves."""
-        schema = self.source.load(**request).schema
+        if request.get("limit") is not None:
+            raise ValueError("an increment has no limit, as the mark would pass rows that it leaves out")
+        columns = request.get("columns")
+        extra = columns is not None and field_ not in columns
+        df = self.source.load(**request | ({"columns": [*columns, field_]} if extra else {}))
         previous = store.read(source)
-        previous = bookmarks.typed(initial if previous is None else previous, schema[field_].dataType)
+        previous = bookmarks.typed(initial if previous is None else previous, df.schema[field_].dataType)
         # both hold: the caller's filters and the mark
-        df = self.source.load(**request)
-        from tidewell.functions import filters as fl
-
         df = fl.apply(df, bookmarks.build_filters(field_, previous, operator))
         df = self.enrich.transform(df) if self.enrich else df
-        from pyspark.sql import Observation
-
         seen = Observation()
-        result = self.sink.write(df.observe(seen, F.max(field_).alias("mark"), F.count(F.lit(1)).alias("rows")), overwrite=overwrite)
+        df = df.observe(seen, F.max(field_).alias("mark"), F.count(F.lit(1)).alias("rows"))
+        result = self.sink.write(df.drop(field_) if extra else df, overwrite=overwrite)
         mark = seen.get.get("mark")
         if mark is not None and (previous is None or mark > previous):
             store.write(source, mark)
-        return Materialization(result.path, result.files, self.sink.spark.read.parquet(result.path), mark)
+        return Materialization(result.path, result.files, files.read_dataset(self.sink.spark, result.path), mark)

@@ -14,6 +14,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import types as ty
+from tidewell.sources import hadoop
+
+#: The record that sinks keep beside a dataset's files; readers of Parquet pass over names like this.
+RECORD = "_schema.json"
+
+
+@dataclass(frozen=True)
+class Record:
+    """What a dataset's files have: all columns with the types that they widen to, those that folders name, whether all
+    files have just these data columns, and the time of the newest file that was looked at."""
+
+    schema: T.StructType
+    partition_on: tuple[str, ...] = ()
+    uniform: bool = True
+    at: int = 0
+
+    def data(self) -> T.StructType:
+        return T.StructType([f for f in self.schema if f.name not in self.partition_on])
+
+    def folders(self) -> T.StructType:
+        return T.StructType([f for f in self.schema if f.name in self.partition_on])
+
+
+def record(spark: SparkSession, path: str) -> Record | None:
+    text = hadoop.read_text(spark, f"{path.rstrip('/')}/{RECORD}")
+    if text is None:
+        return None
+    found = json.loads(text)
+    return Record(T.StructType.fromJson(found["schema"]), tuple(found["partition_on"]), found["uniform"], found["at"])
+
+
+def write_record(spark: SparkSession, path: str, rec: Record) -> None:
+    hadoop.write_text(spark, f"{path.rstrip('/')}/{RECORD}", json.dumps({"schema": rec.schema.jsonValue(), "partition_on": list(rec.partition_on), "uniform": rec.uniform, "at": rec.at}))
+
+
+def current(spark: SparkSession, path: str, folders: T.StructType | None = None) -> Record | None:
+    """A dataset's record with what files say that came after it; only their footers are read. None without files.
+
+    ``folders`` has the types of columns that folders name, where no record has them.
+    """
+    old = record(spark, path)
+    names, newest = hadoop.newer(spark, path, ".parquet", old.at if old else -1)
+    if not names:
+        return old if newest else None
+    schemas = [s for s, _ in _schemas(spark, names).values()]
+    folders = old.folders() if old else folders or T.StructType([])
+    types = {f.name: f.dataType for f in old.data()} if old else {}
+    uniform = old is None or old.uniform
+    for schema in schemas:
+        own = {f.name: f.dataType for f in schema}
+        uniform = uniform and (not types or own == types)
+        for name, kind in own.items():
+            types[name] = (ty.widened(types[name], kind) or T.StringType()) if name in types else kind
+    fields = [T.StructField(c, t) for c, t in types.items()]
+    return Record(T.StructType([*fields, *folders]), tuple(f.name for f in folders), uniform, newest)
+
+
+def read_dataset(spark: SparkSession, path: str, folders: T.StructType | None = None) -> DataFrame:
+    """A dataset with the types of its record, those of columns that folders name included.
+
+    Without a record types come from the files, and those of folders from
+    ``folders`` or else from their names.
+    """
+    rec = record(spark, path)
+    if rec is None:
+        if not folders:
+            return spark.read.parquet(path)
+        rec = current(spark, path, folders)
+        if rec is None:
+            return spark.createDataFrame([], T.StructType([]))
+    if rec.uniform:
+        return spark.read.schema(rec.schema).parquet(path)
+    return read_evolved(spark, path, rec.folders())
 
 
 class StaleFileError(RuntimeError):
@@ -54,10 +127,13 @@ class ParquetSource:
             if self.evolved:
                 df = read_evolved(spark, path)
             else:
-                reader = spark.read.schema(self.schema) if self.schema else spark.read
-                if not self.partition_on and (self.start is not None or self.end is not None):
-                    reader = reader.option("recursiveFileLookup", "true")  # folders of days are no columns
-                df = reader.parquet(path)
+                days = not self.partition_on and (self.start is not None or self.end is not None)
+                if self.schema is None and not days and record(spark, path) is not None:
+                    df = read_dataset(spark, path)
+                else:
+                    reader = spark.read.schema(self.schema) if self.schema else spark.read
+                    # folders of days are no columns
+                    df = (reader.option("recursiveFileLookup", "true") if days else reader).parquet(path)
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -128,12 +204,15 @@ def _schemas(spark: SparkSession, names: list[str]) -> dict[str, tuple[T.StructT
     return groups
 
 
-def read_evolved(spark: SparkSession, path: str) -> DataFrame:
+def read_evolved(spark: SparkSession, path: str, folders: T.StructType | None = None) -> DataFrame:
     """Files whose schemas differ: each column has the type that all widen to, or text.
 
     Files of one schema are one scan. Columns that folders name (``p=1``) come
-    too, and filters on them leave folders unread.
+    too, with the types of ``folders`` or of the dataset's record if there are
+    any, and filters on them leave folders unread.
     """
+    if folders is None and (rec := record(spark, path)) is not None:
+        folders = rec.folders()
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
     names = sorted(r.path for r in files.toLocalIterator())
     if not names:
@@ -141,7 +220,7 @@ def read_evolved(spark: SparkSession, path: str) -> DataFrame:
     scans = []
     for schema, own in _schemas(spark, names).values():
         reader = spark.read.option("basePath", path) if any("=" in n[len(path) :] for n in own) else spark.read
-        scans.append(reader.schema(schema).parquet(*own))
+        scans.append(reader.schema(T.StructType([*schema, *(folders or [])])).parquet(*own))
     return ty.union_widened(*scans)
 
 

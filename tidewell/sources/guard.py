@@ -15,11 +15,21 @@ class UnsafeSqlError(ValueError):
     """The text isn't a single reading statement."""
 
 
-def check(sql: str) -> str:
-    text = re.sub(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)+", "", sql, flags=re.S).strip()
-    text = text[:-1].rstrip() if text.endswith(";") else text
-    bare = re.sub(r"'(?:[^'\\]|''|\\.)*'|\"[^\"]*\"|`[^`]*`", "''", text)
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", bare, flags=re.S)
+#: What may hold any words and marks: texts (in which a backslash is an escape for some databases and not for others), quoted names, comments.
+_TEXT = {True: r"'(?:''|\\.|[^'\\])*'", False: r"'(?:''|[^'])*'"}
+_NAME, _COMMENT = r'"(?:""|[^"])*"|`[^`]*`', r"--[^\n]*|/\*.*?\*/"
+
+
+def _bare(sql: str, escapes: bool) -> str:
+    """The statement, as long as it was, with marks for its texts and quoted names and blanks for its comments."""
+    aside = re.compile(f"(?P<kept>{_TEXT[escapes]}|{_NAME})|{_COMMENT}", re.S)
+    return aside.sub(lambda m: ("?" if m["kept"] else " ") * len(m[0]), sql)
+
+
+def _reading(bare: str) -> str:
+    """The statement without the mark at its end, if it is one that reads."""
+    bare = bare.rstrip()
+    bare = bare[:-1].rstrip() if bare.endswith(";") else bare
     if ";" in bare:
         raise UnsafeSqlError("one statement only")
     words = re.findall(r"[a-z_]+", bare.lower())
@@ -27,7 +37,13 @@ def check(sql: str) -> str:
         raise UnsafeSqlError("a statement begins with SELECT or WITH")
     if bad := BLOCKED & set(words):
         raise UnsafeSqlError(f"not allowed: {', '.join(sorted(bad))}")
-    return text
+    return bare
+
+
+def check(sql: str) -> str:
+    """The statement, from its first word to its last, if it reads, however a database takes backslashes in texts."""
+    bare = max((_reading(_bare(sql, escapes)) for escapes in (True, False)), key=len)
+    return sql[len(bare) - len(bare.lstrip()) : len(bare)]
 
 
 def run(spark: SparkSession, sql: str, params: dict[str, Any] | None = None, *, allow_raw_sql: bool = False) -> DataFrame:

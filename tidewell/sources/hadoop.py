@@ -51,6 +51,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def moved(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file into a folder that may be new."""
+    fs, p = _fs(spark, old)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"{old} can't be moved to {new}")
+
+
 def swap(spark: SparkSession, staged: str, target: str) -> None:
     """Put ``staged`` in the place of ``target``; what was there goes only when the new is in place."""
     fs, new = _fs(spark, staged)
@@ -81,6 +90,22 @@ def listed(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
     return sorted(found)
 
 
+def newer(spark: SparkSession, path: str, suffix: str, than: int) -> tuple[list[str], int]:
+    """Data files below a folder that changed after a time (milliseconds), and the time of the newest of all."""
+    fs, p = _fs(spark, path)
+    found, newest = [], 0
+    if fs.exists(p):
+        it = fs.listFiles(p, True)
+        while it.hasNext():
+            status = it.next()
+            name, at = status.getPath(), status.getModificationTime()
+            if name.getName().endswith(suffix) and not name.getName().startswith(("_", ".")):
+                newest = max(newest, at)
+                if at > than:
+                    found.append(name.toString())
+    return sorted(found), newest
+
+
 def below(spark: SparkSession, path: str, name: str, *, uri: bool = False) -> str:
     """The part of a file's or folder's full name (or URI, whose letters may be escaped) after the folder ``path``."""
     fs, p = _fs(spark, path)
@@ -90,3 +115,9 @@ def below(spark: SparkSession, path: str, name: str, *, uri: bool = False) -> st
     if not full.startswith(base.rstrip("/") + "/"):
         raise ValueError(f"{name} is not below {path}")
     return full[len(base.rstrip("/")) + 1 :]
+
+
+def joined(spark: SparkSession, path: str, name: str) -> str:
+    """A path below a folder, with the signs of patterns in ``name`` taken as they are."""
+    escaped = "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in name)
+    return f"{path.rstrip('/')}/{escaped}"

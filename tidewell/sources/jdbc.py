@@ -11,11 +11,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.sources import guard
 
 #: The default chunk and the bounds of connections at a time.
 CHUNK, LEAST_WORKERS, MOST_WORKERS = 50_000, 1, 16
+#: Keys of a text column that ranges are cut by.
+SAMPLE = 20_000
 # Drivers by URL prefix.
 DRIVERS = {
     "jdbc:postgresql": "org.postgresql.Driver",
@@ -67,6 +70,8 @@ class JdbcSource:
         whole = self._reader(spark, self.relation).load()
         if self.partition_column is None:
             return whole if self.limit is None else whole.limit(self.limit)
+        if isinstance(whole.schema[self._column(whole)].dataType, T.StringType):
+            return self._text_ranges(spark, whole)
         plan = self.plan(spark)
         if plan.partitions == 1:
             return whole
@@ -75,6 +80,48 @@ class JdbcSource:
         # a task has one connection at a time: so many tasks, so many connections
         return df.coalesce(self.workers) if plan.partitions > self.workers else df
 
+    def _column(self, whole: DataFrame) -> str:
+        """The partition column as the database writes it."""
+        return next((c for c in whole.columns if c.lower() == self.partition_column.lower()), self.partition_column)
+
+    def _text_ranges(self, spark: SparkSession, whole: DataFrame) -> DataFrame:
+        """Ranges of a text key with about as many rows each, cut at keys of a sample; null keys belong to the first."""
+        cuts = self.cuts(spark, whole)
+        if not cuts:
+            return whole
+        driver = self.options.get("driver") or next((d for p, d in DRIVERS.items() if self.url.startswith(p)), None)
+        properties = {k: str(v) for k, v in self.options.items()} | ({"driver": driver} if driver else {})
+        df = spark.read.jdbc(self.url, self.relation, predicates=text_predicates(self._quoted(spark, self._column(whole)), cuts), properties=properties)
+        return df.coalesce(self.workers) if len(cuts) >= self.workers else df
+
+    def cuts(self, spark: SparkSession, whole: DataFrame | None = None) -> list[str]:
+        """Keys at which ranges of about a chunk begin, in the database's own order.
+
+        They come from a random sample of at most about ``SAMPLE`` keys, so that
+        frequent keys and crowded stretches get more of the ranges; a key is in
+        one range, whatever its rows.
+        """
+        whole = self._reader(spark, self.relation).load() if whole is None else whole
+        c = self._column(whole)
+        keys = whole.select(F.col(f"`{c}`").alias("k")).where("k IS NOT NULL")
+        n = keys.count()
+        parts = math.ceil(n / self.chunk)
+        if parts <= 1:
+            return []
+        share = min(1.0, SAMPLE / n)
+        sample = sorted(r.k for r in (keys.sample(share, seed=1) if share < 1 else keys).collect())
+        found = sorted({sample[len(sample) * k // parts] for k in range(1, parts)} - {sample[0]}) if sample else []
+        if not found:
+            return []
+        # a database may sort texts otherwise than by code points and take some for equal: it tells how many keys are not above each
+        q = self._quoted(spark, c)
+        own = f"(select distinct {q} as k from {self.relation} where {q} in ({', '.join(map(_text, found))}))"
+        places = self._reader(spark, f"(select a.k as k, count(*) as n from {own} a, {own} b where b.k <= a.k group by a.k) s").load().toDF("k", "n")
+        return [r.k for r in sorted(places.collect(), key=lambda r: r.n)]
+
+    def _quoted(self, spark: SparkSession, name: str) -> str:
+        return spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.url).quoteIdentifier(name)
+
     def plan(self, spark: SparkSession) -> RangePlan:
         """Bounds and partitions: one fetch for a table of up to a chunk."""
         c = self.partition_column
@@ -84,6 +131,19 @@ class JdbcSource:
         return RangePlan(c, low, high, max(1, math.ceil(n / self.chunk)) if low is not None else 1)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def text_predicates(column: str, cuts: list[str]) -> list[str]:
+    """Half-open ranges of a text column as conditions, whose union is every row once."""
+    if not cuts:
+        return ["1 = 1"]
+    marks = list(map(_text, cuts))
+    middle = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(marks, marks[1:], strict=False)]
+    return [f"{column} < {marks[0]} OR {column} IS NULL", *middle, f"{column} >= {marks[-1]}"]
+
+
 @dataclass(frozen=True)
 class RangePlan:
     """Half-open ranges of a column; null keys belong to the first."""
@@ -138,9 +198,3 @@ def described(df: DataFrame, most: int = 10_000) -> dict[str, Any]:
     """Types, and the row count up to a bound."""
     n = df.limit(most + 1).count()
     return {"columns": dict(df.dtypes), "rows": min(n, most), "more": n > most}
-
-
-def repository_get(df: DataFrame, key: str, value: Any) -> dict | None:
-    """The row of a key."""
-    row = df.where(df[key] == value).head(1)
-    return row[0].asDict() if row else None

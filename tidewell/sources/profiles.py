@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from tidewell.sources.files import ParquetSource
 from tidewell.sources.jdbc import JdbcSource
 
-
+# Fixed value: what a profile's name may be.
 NAME = re.compile(r"[A-Za-z0-9._-]+")
 
 
