@@ -154,3 +154,11 @@ def test_query_as_all_pairs(spark, sf_dir):
                 low, high = sorted((own[i], own[j]))
                 own = [low if x == high else x for x in own]
     assert {r.doc_id: r.class_id for r in nd.op4_order_minhash(spark, sf_dir).collect()} == dict(zip([r.doc_id for r in rows], own, strict=True))
+
+
+def test_the_first_of_equal_rows_stays_whatever_the_partitions(spark):
+    rows = [(7, "one text that is the same in all rows", 39 - k, {"k": k}) for k in range(40)] + [(8, "one text that is the same in all rows", 5, None), (9, None, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int, tags map<string,int>")
+    for parts in (1, 3, 7, 13):
+        got = sorted((r.doc_id, r.other, r.tags) for r in nd.survivors(df.repartition(parts)).collect())
+        assert got == [(7, 0, {"k": 39}), (9, 1, None)], parts

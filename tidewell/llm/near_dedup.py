@@ -410,7 +410,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns; null texts all stay."""
+    """One document of each class, that with the smallest id, with all its columns; null texts all stay.
+
+    Of rows of one id and text the first by all columns in turn stays, nulls first.
+    """
     found = classes(docs, id_col=id_col, text_col=text_col)
     found = common.written(found.where(F.col("node").isNotNull()), "classes")
     same_text = F.col("class_node") == F.col("node")
@@ -428,7 +431,10 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     same = F.col(id_col).cast("long").eqNullSafe(F.col(t_id)) & (F.col(name) == F.col(t_node))
     known = touched.select(F.col("doc_id").alias(t_id), F.col("node").alias(t_node), F.col("chosen").alias(chosen))
     free = asked.join(known, same, "left_anti").select(*docs.columns)
-    once = asked.join(known.where(chosen), same, "left_semi").dropDuplicates([id_col, name]).select(*docs.columns)
+    once = asked.join(known.where(chosen), same, "left_semi")
+    ordered = [F.to_json(F.struct(f"`{f.name}`")) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`") for f in docs.schema]
+    row, = common.fresh(once, "row")
+    once = once.groupBy(id_col, name).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*ordered)).alias(row)).select(f"{row}.*")
     return keep.unionByName(free).unionByName(once)
 
 
