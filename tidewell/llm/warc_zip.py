@@ -39,6 +39,8 @@ from tidewell.llm import common
 
 #: A repeated payload's rows go to so many tasks.
 SALTS = 32
+#: Payloads of more rows than this are dealt so.
+SALTED = 1_000
 #: Archives are closed at about so many bytes.
 ARCHIVE_MB = 24
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -190,12 +192,16 @@ def write_archives(pages: DataFrame, to: str, *, id_col: str = "page_id", url_co
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
     alike = rows.groupBy("sha", "page", "url").agg(F.count("*").alias("n"))
-    best = alike.groupBy("sha").agg(F.max(F.struct("page", "url", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1").select("sha", "best")
+    best = alike.groupBy("sha").agg(F.max(F.struct("page", "url", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1").select("sha", "best", "n")
     best = common.written(best, "repeated")
     # a payload that the bit map lets by is joined with nothing
     once = common.marked(rows, F.col("sha"), best.select("sha"), other=True).select("page", "url", "html", F.lit(None).cast("struct<page:long,url:string,n:long>").alias("best"))
-    again = common.marked(rows, F.col("sha"), best.select("sha")).withColumn("salt", F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)))
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    again = common.marked(rows, F.col("sha"), best.select("sha"))
+    # payloads of many rows are dealt over many tasks; the same bit map tells on both sides which those may be
+    many, zero = best.where(F.col("n") > SALTED).select("sha"), F.lit(0).cast("long")
+    split = lambda df, salt: common.marked(df, F.col("sha"), many).withColumn("salt", salt).unionByName(common.marked(df, F.col("sha"), many, other=True).withColumn("salt", zero))
+    again = split(again, F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)))
+    best = split(best.select("sha", "best"), F.explode(F.sequence(zero, F.lit(SALTS - 1).cast("long"))))
     todo = once.unionByName(again.join(best, ["sha", "salt"], "left").select("page", "url", "html", "best"))
 
     def run(batches):
