@@ -50,16 +50,24 @@ PROVIDERS = {
     "google": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+",
     "openai": r"\bsk-[0-9A-Za-z_-]{20,}+",
+    "gitlab": r"\bglpat-[0-9A-Za-z_-]{20,}+",
+    "npm": r"\bnpm_[0-9A-Za-z]{36}\b",
     "jwt": r"\beyJ[0-9A-Za-z_-]{8,2000}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
     "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)",
 }
 #: Names that secrets are assigned to.
 NAMES = r"(?:api|access|auth|secret|private|client)[_-]?(?:key|token|secret)|token|secret|passw(?:or)?d|pwd|passphrase|credentials?|bearer|authorization"
 ASSIGNED = rf"""(?i:(?P<name>{NAMES})\w{{0,32}})["'\]]{{0,2}}\s{{0,8}}+(?P<sep>[:=]{{1,2}}>?|\bis\b|(?<=\s))\s{{0,8}}+(?P<quote>["'`]?)(?P<value>[A-Za-z0-9+/=_.\-!@#$%^&*]{{6,}}+)"""
+#: A login in an address: what stands between its colon and its at sign.
+LOGIN = r"""(?<=://)[^\s/:@"'<>]{0,64}+:(?P<login>[^\s/@"'<>]{3,128}+)@"""
+#: Several words in quotes that a name of a pass phrase is given to.
+PHRASE = r"""(?i:pass[_-]?(?:phrase|word))["'\]]{0,2}\s{0,8}+[:=]{1,2}\s{0,8}+(?P<mark>["'`])(?P<phrase>[A-Za-z0-9]{2,20}+(?: [A-Za-z0-9]{2,20}+){2,11}+)(?P=mark)"""
+# Passwords that are plain words or runs of keys, as public lists of the most frequent have them.
+FREQUENT = frozenset("abc123 admin admin123 baseball dragon football hunter2 iloveyou letmein login master monkey passw0rd password password1 princess qwerty qwerty123 qwertyuiop shadow solo starwars sunshine superman trustno1 welcome welcome1 1234567 12345678 123456789".split())
 ALONE = r"(?<![A-Za-z0-9+/=_.\-@])(?=[A-Za-z+/=_\-]*+[0-9])(?=[0-9+/=_\-]*+[A-Za-z])[A-Za-z0-9+/=_\-]{20,}+(?![A-Za-z0-9+/=_.\-@])"
 #: Parts of which every name, and every format that fits in less than 20 characters, has one.
-HINTS = "key token secret passw pwd passphrase credential bearer authorization xox -----begin".split()
-CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in PROVIDERS.items()), f"(?P<assigned>{ASSIGNED})", f"(?P<alone>{ALONE})"]), re.S)
+HINTS = "key token secret passw pwd passphrase credential bearer authorization xox -----begin ://".split()
+CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in PROVIDERS.items()), f"(?P<url>{LOGIN})", f"(?P<words>{PHRASE})", f"(?P<assigned>{ASSIGNED})", f"(?P<alone>{ALONE})"]), re.S)
 THRESHOLD = 0.5
 AROUND = 40
 _NAME = re.compile(NAMES, re.I)
@@ -100,6 +108,13 @@ def candidates(text: str | None) -> list[Candidate]:
                 at = start  # what stands there may itself be a name, or a key
                 continue
             found.append(Candidate("assigned", start, start + len(value), value, m["name"].lower(), given, bool(m["quote"])))
+        elif m["url"]:
+            found.append(Candidate("url", m.start("login"), m.end("login"), m["login"], "password", True))
+        elif m["words"]:
+            if 2 * len(_PROSE.findall(m["phrase"])) > m["phrase"].count(" ") + 1:
+                at = m.start("phrase")  # a sentence
+                continue
+            found.append(Candidate("phrase", m.start("phrase"), m.end("phrase"), m["phrase"], "passphrase", True, True))
         else:
             kind = next(k for k in (*PROVIDERS, "alone") if m[k])
             found.append(Candidate(kind, m.start(), m.end(), m[0]))
@@ -136,9 +151,29 @@ def coverage(value: str, words: frozenset[str]) -> float:
 
 
 # ----------------------------------------------------------------- features
-#: Letter pairs of plain words, by which a candidate's own pairs are surprising or not.
-COMMON_PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
-FEATURES = 19
+#: Words of prose, as opposed to random words of a pass phrase.
+_PROSE = re.compile(r"(?i)\b(?:a|an|the|your|is|are|to|of|for|in|please|enter|must|be|and|or|not|invalid|here|this|password|passphrase)\b")
+_WORDS = re.compile(r"[a-z]+")
+
+
+@functools.lru_cache(2)
+def transitions(words: frozenset[str]) -> dict[str, float]:
+    """Log probabilities of a letter after a letter in the dictionary's words; a pair that none has is as rare as one can be."""
+    pairs, first = Counter(), Counter()
+    for w in words:
+        pairs.update(map(operator.add, w, w[1:]))
+        first.update(w[:-1])
+    return {x + y: math.log((pairs[x + y] + 0.5) / (first[x] + 13)) for x in string.ascii_lowercase for y in string.ascii_lowercase}
+
+
+def surprise(value: str, words: frozenset[str]) -> float:
+    """How unlikely a value's letters follow each other in a word, on average; 0 without two letters in a row."""
+    known = transitions(words)
+    found = [known[x + y] for run in _WORDS.findall(value.lower()) for x, y in zip(run, run[1:], strict=False)]
+    return -sum(found) / len(found) if found else 0.0
+
+
+FEATURES = 22
 
 
 def _kind(c: str) -> int:
@@ -153,7 +188,6 @@ def features(c: Candidate, text: str, path: str | None, words: frozenset[str]) -
     counts = Counter(v)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     low = v.lower()
-    pairs = sum(x + y in COMMON_PAIRS for x, y in zip(low, low[1:], strict=False)) / max(1, n - 1)
     near = text[max(0, c.start - AROUND) : c.start]
     around = near + " " + text[c.end : c.end + AROUND]
     return (
@@ -164,10 +198,10 @@ def features(c: Candidate, text: str, path: str | None, words: frozenset[str]) -
         kinds.count(3) / n,
         moves,
         entropy,
-        pairs,
+        surprise(v, words),
         coverage(v, words),
         float(all(x in string.hexdigits for x in v)),
-        float(c.kind not in ("assigned", "alone")),
+        float(c.kind not in ("assigned", "alone", "url", "phrase")),
         float(c.kind == "assigned" or bool(_NAME.search(near))),
         float(bool(_DENY.search(around) or _DENY.search(v))),
         float(bool(_HASHY.search(near))),
@@ -176,6 +210,9 @@ def features(c: Candidate, text: str, path: str | None, words: frozenset[str]) -
         float(c.given),
         float(c.quoted),
         float(c.name.startswith("pass") or c.name == "pwd"),
+        float(low in FREQUENT),
+        float(c.kind == "url"),
+        len(_PROSE.findall(v)) / (1 + v.count(" ")) if c.kind == "phrase" else -1.0,
     )
 
 
@@ -250,12 +287,14 @@ def findings(n: int = 4000, seed: int = 5, words: frozenset[str] | None = None)
     key = lambda: r.choice([lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(alnum, r.randint(12, 48)), lambda: pick(alnum + "+/", r.choice([40, 44, 64])), lambda: pick(alnum + "-_", r.randint(24, 60)), lambda: pick(alnum + "!@#$%", r.randint(10, 18))])()
     leet = lambda w: "".join({"o": "0", "a": "4", "e": "3", "i": "1"}.get(x, x) if r.random() < 0.5 else x for x in w)
     phrase = lambda: r.choice([lambda: f"{word()}{r.randint(0, 9999)}", lambda: f"{leet(word()).capitalize()}{r.choice('!@#$%&*-_')}{r.randint(0, 99)}{pick(string.ascii_lowercase, 1)}", lambda: f"{word()}{word()}{r.randint(1, 99)}{r.choice('!@#$%')}", lambda: leet(word() + word())])()
+    quotes, frequent = ["\"", "'"], sorted(FREQUENT)
+    close = lambda s: s + next((x for x in s if x in quotes), "")
     out = []
     for k in range(n):
         q = r.choice(['"', "'", ""])
         path = r.choice(["src/app.py", "config/prod.yml", f"{made()}{r.randint(0, 99)}", f"{made()}.md", "deploy/env.sh", "notes.txt", ""])
         if k % 2:
-            body = r.choice([lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: f"{login()}{eq()}{q}{phrase()}{q}", lambda: f"{name()} {login()}: {q}{phrase()}{q}", lambda: f"{r.choice(['the', 'my', 'root'])} {login()} is {q}{pick(alnum, 3)}{r.randint(10, 99)}{pick(alnum + '!@#$%', r.randint(5, 9))}{q}", lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 40), lambda: f"xoxb-{pick(string.digits, 11)}-{pick(alnum, 24)}", lambda: "AIza" + pick(alnum, 35), lambda: f"sk_live_{pick(alnum, 24)}", lambda: f"eyJ{pick(alnum, 20)}.{pick(alnum, 40)}.{pick(alnum, 43)}", lambda: f"Authorization: Bearer {pick(alnum, 40)}"])()
+            body = r.choice([lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: f"{name()}{eq()}{q}{key()}{q}", lambda: f"{login()}{eq()}{q}{phrase()}{q}", lambda: f"{name()} {login()}: {q}{phrase()}{q}", lambda: f"{r.choice(['the', 'my', 'root'])} {login()} is {q}{pick(alnum, 3)}{r.randint(10, 99)}{pick(alnum + '!@#$%', r.randint(5, 9))}{q}", lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 40), lambda: "glpat-" + pick(alnum + "_-", 20), lambda: "npm_" + pick(alnum, 36), lambda: f"{r.choice(['mysql', 'postgres', 'https', 'amqp', 'redis'])}://{made()}:{r.choice([phrase, key, lambda: word() + word()])().replace('/', '').replace('@', '')}@{word()}.{made()}:{r.randint(80, 9999)}/{made()}", lambda: close(f"passphrase{r.choice([' = ', ': ', '='])}{r.choice(quotes)}{' '.join(r.choice(real) if real else made() for _ in range(r.randint(3, 7)))}"), lambda: f"{login()}{eq()}{q}{r.choice(frequent)}{q}", lambda: f"xoxb-{pick(string.digits, 11)}-{pick(alnum, 24)}", lambda: "AIza" + pick(alnum, 35), lambda: f"sk_live_{pick(alnum, 24)}", lambda: f"eyJ{pick(alnum, 20)}.{pick(alnum, 40)}.{pick(alnum, 43)}", lambda: f"Authorization: Bearer {pick(alnum, 40)}"])()
             out.append((loud(f"{prose()} {body} {prose()}") if "=" in body else f"{prose()} {body} {prose()}", path, True))
         else:
             body = r.choice(
@@ -264,8 +303,12 @@ def findings(n: int = 4000, seed: int = 5, words: frozenset[str] | None = None)
                     lambda: f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}",
                     lambda: f"{name()}{eq()}{q}{r.choice(['YOUR_API_KEY_HERE1', 'xxxxxxxxxxxxxxxx', 'changeme123', 'example-token-123', '${API_KEY}1', 'placeholder_value', 'test_password_1'])}{q}",
                     lambda: f"{name()} {r.choice(['is', ''])} {word()}{word()}{word()}",
+                    lambda: f"{login()}{r.choice([': ', ' = ', '='])}{r.choice(['required', 'optional', 'hidden', 'string', 'invalid', 'expired', 'missing', word(), word()])}",
                     lambda: f"{name()}{r.choice([': ', ' = ', '='])}{r.choice(['string', 'required', 'optional', 'undefined', 'getenv', 'String', 'function', 'expired', word(), word()])}",
                     lambda: f"{word()}_{word()}_{word()}{r.randint(1, 99)}_{word()}",
+                    lambda: f"{word()}://{made()}:{r.choice(['password', 'PASSWORD', 'pass', 'changeme', '${DB_PASSWORD}', '<password>', 'xxxx', 'your_password'])}@{word()}.example/{made()}",
+                    lambda: close(f"{login()}{r.choice([' = ', ': ', '='])}{r.choice(quotes)}{r.choice(['please enter your', 'this must be a', 'invalid or', 'the', 'enter the'])} {word()} {word()} {r.choice(['here', 'for this', 'in the', 'of your', 'to be'])} {word()}"),
+                    lambda: close(f"{r.choice(['password', 'passphrase'])}{r.choice([' = ', ': ', '='])}{r.choice(quotes)}{r.choice(['please enter your', 'this must be a', 'invalid or', 'the', 'enter the'])} {word()} {word()} {r.choice(['here', 'for this', 'in the', 'of your', 'to be'])} {word()}"),
                     lambda: f"{word()}-{word()}-{word()}-{r.randint(2000, 2030)}-{word()}",
                     lambda: f"https://www.{word()}.example.com/{word()}/{word()}{r.randint(1, 99)}/{word()}",
                     lambda: f"{name()}{eq()}{q}{word()}{word()}{word()}{word()}{q}",
