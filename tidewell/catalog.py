@@ -7,6 +7,7 @@ rounded, as they depend on the order of addition.
 
 from __future__ import annotations
 
+import asyncio
 import datetime as dt
 import uuid
 from collections.abc import Callable
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import filters as fl
 from tidewell.functions import types as ty
 from tidewell.functions import vectors
-from tidewell.operators import enrich, joins, shape, temporal
+from tidewell.operators import enrich, joins, shape, sketches, temporal
 from tidewell.plans import checkpoints, jdbc_upsert, sinks
 from tidewell.plans.gateway import Gateway, Helper
 from tidewell.sources import cube, files, jdbc, partitioned_cube, profiles
@@ -704,6 +705,65 @@ def _vec_topk_many(spark, sf_dir):
 _entry("vec_topk_many", _vec_topk_many, "SELECT query_id, rank, vec_id, round(d, 6) distance FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT q.vec_id query_id, b.vec_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) d FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id)) WHERE rank <= 5")
 
 
+# ------------------------------------------ sketches, footers, marks, controls
+def _incremental_nunique(spark, sf_dir):
+    """Distinct parts by flag of two increments, each sketched by itself; counts of this size come out exact."""
+    l = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_quantity", "l_shipdate")  # noqa: E741
+    halves = [l.where(w).drop("l_shipdate") for w in ("l_shipdate < TIMESTAMP_NTZ '1995-06-01'", "l_shipdate >= TIMESTAMP_NTZ '1995-06-01'")]
+    path = _folder(spark, "sketches")
+    for part in halves:
+        sinks.write_parquet(sketches.sketched(part, "l_returnflag", distinct=["l_partkey"]), path, overwrite=False)
+    return sketches.estimates(sketches.merged("l_returnflag", files.read_dataset(spark, path)))
+
+
+_entry("group_nunique_incremental", _incremental_nunique, "SELECT l_returnflag, count(*) AS rows, count(DISTINCT l_partkey) l_partkey_nunique FROM lineitem GROUP BY 1")
+
+
+def _footers(spark, sf_dir):
+    got = files.footer_bounds(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"])
+    return spark.createDataFrame([(got.rows, *got.bounds["l_orderkey"], *got.bounds["l_quantity"])], "n long, first_key long, last_key long, least double, most double")
+
+
+_entry("footer_bounds", _footers, "SELECT count(*) n, min(l_orderkey) first_key, max(l_orderkey) last_key, min(l_quantity) least, max(l_quantity) most FROM lineitem")
+
+
+def _marks_in_a_table(spark, sf_dir):
+    """Two loads past a mark that a database keeps: one up to a moment, and what came after it."""
+    store = jdbc_upsert.JdbcStore(spark, f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true")
+    gate = Gateway(spark, _view(spark, sf_dir, "events"))
+    gate.load_incremental("ts", store, "events", filters={"event_type": "click"})
+    mark = store.read("events")
+    got = gate.load_incremental("ts", store, "events", columns=["event_id", "ts"])
+    return got.frame.withColumn("mark", F.lit(mark).cast("timestamp_ntz"))
+
+
+_entry("incr_jdbc_marks", _marks_in_a_table, "SELECT event_id, ts, m AS mark FROM events, (SELECT max(ts) m FROM events WHERE event_type = 'click') WHERE ts > m")
+
+
+class _Capitals:
+    """A transformer of a user's own."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("n_name", F.upper(F.reverse("n_name")))
+
+
+_entry("custom_transformer", lambda s, d: enrich.Composite([_Capitals(), enrich.RowFilter(["n_regionkey != 2 & ~(n_nationkey == 3)"])]).transform(_table(s, d, "nation")), "SELECT n_nationkey, upper(reverse(n_name)) n_name, n_regionkey FROM nation WHERE n_regionkey <> 2 AND NOT n_nationkey = 3")
+
+
+def _custom_sink(spark, sf_dir):
+    """A sink of a user's own, by name: Parquet files packed by zstandard."""
+    sinks.register_sink("packed", lambda spark, path, **o: sinks.ParquetSink(spark, path, options={"compression": "zstd"}, **o), replace=True)
+    path = _folder(spark, "packed")
+    sinks.create_sink("packed", spark, path, partition_on=["s_nationkey"]).write(_table(spark, sf_dir, "supplier"))
+    return files.read_dataset(spark, path).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+_entry("sink_custom", _custom_sink, "SELECT * FROM supplier")
+_entry("load_async", lambda s, d: s.createDataFrame(asyncio.run(_gateway(s, d, "customer").aload({"c_acctbal__lt": 0}, columns=["c_custkey", "c_acctbal"], return_type="arrow"))), "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
+_entry("load_controls", lambda s, d: _gateway(s, d, "orders").load(o_totalprice__gt=100_000, start="1996-01-01", end="1996-12-31", dt_field="o_orderdate", exclude=False, df_options={"sort_field": "o_orderkey"}, return_schema={"o_totalprice": "string"}, columns=["o_orderkey", "o_totalprice"], allow_raw_sql=True, diagnostics=True).select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
+_entry("jdbc_statement_ranges", lambda s, d: _lower(_database(s, d, table=None, query='select "c_custkey", "c_acctbal" from customer where "c_acctbal" > 0', partition_column="c_custkey", chunk=300, workers=4).read(s)), "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+
+
 def queries() -> dict[str, Query]:
     return {k: q for k, (q, _) in _ENTRIES.items()}
 

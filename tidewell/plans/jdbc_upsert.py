@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,25 @@ def merge_statement(url: str, table: str, stage: str, keys: Sequence[str], other
     raise ValueError(f"no upserts into {url.split(':')[1]}")
 
 
+@contextmanager
+def connection(spark: SparkSession, url: str, options: Mapping[str, str]):
+    """A connection of the driver's own."""
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver(url, options))
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, str(v))
+    made = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        yield made
+    finally:
+        made.close()
+
+
+def driver(url: str, options: Mapping[str, str]) -> str:
+    return options.get("driver") or next(d for p, d in jdbc.DRIVERS.items() if url.startswith(p))
+
+
 @dataclass(frozen=True)
 class JdbcUpsertSink:
     """Rows replace those of their keys in a table that exists; of the columns, those count that the table has.
@@ -97,28 +118,14 @@ class JdbcUpsertSink:
         raise OSError(f"rows were staged twice {ATTEMPTS} times")
 
     def _stage(self, df: DataFrame, stage: str) -> None:
-        options = {"url": self.url, "dbtable": stage, "driver": self._driver, "numPartitions": str(self.workers)} | dict(self.options)
+        options = {"url": self.url, "dbtable": stage, "driver": driver(self.url, self.options), "numPartitions": str(self.workers)} | dict(self.options)
         df.write.format("jdbc").options(**options).mode("append").save()
 
-    @property
-    def _driver(self) -> str:
-        return self.options.get("driver") or next(d for p, d in jdbc.DRIVERS.items() if self.url.startswith(p))
-
     def _quoted(self, name: str) -> str:
         return self.spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.url).quoteIdentifier(name)
 
-    @contextmanager
     def _connection(self):
-        jvm = self.spark.sparkContext._jvm
-        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(self._driver)
-        properties = jvm.java.util.Properties()
-        for k, v in self.options.items():
-            properties.setProperty(k, str(v))
-        connection = jvm.java.sql.DriverManager.getConnection(self.url, properties)
-        try:
-            yield connection
-        finally:
-            connection.close()
+        return connection(self.spark, self.url, self.options)
 
     def _run(self, sql: str, *, quiet: bool = False) -> None:
         """One statement in a transaction of its own."""
@@ -137,3 +144,47 @@ class JdbcUpsertSink:
             found = connection.createStatement().executeQuery(sql)
             found.next()
             return found.getLong(1)
+
+
+@dataclass(frozen=True)
+class JdbcStore:
+    """Marks as rows (source, value, updated_at) of a table of a database, which is made if it isn't there."""
+
+    spark: SparkSession
+    url: str
+    table: str = "tidewell_marks"
+    options: Mapping[str, str] = field(default_factory=dict, repr=False)
+
+    def _prepared(self, made: Any, sql: str, *values: Any) -> Any:
+        statement = made.prepareStatement(sql)
+        for k, v in enumerate(values):
+            statement.setString(k + 1, v)
+        return statement
+
+    def _there(self, made: Any) -> bool:
+        for name in (self.table, self.table.upper(), self.table.lower()):
+            if made.getMetaData().getTables(None, None, name, None).next():
+                return True
+        return False
+
+    def read(self, source: str) -> Any:
+        with connection(self.spark, self.url, self.options) as made:
+            if not self._there(made):
+                return None
+            found = self._prepared(made, f"SELECT mark FROM {self.table} WHERE source = ?", source).executeQuery()
+            return json.loads(found.getString(1)) if found.next() else None
+
+    def write(self, source: str, value: Any) -> None:
+        """Put the mark in its row, in one transaction."""
+        text = json.dumps(value, default=str)
+        with connection(self.spark, self.url, self.options) as made:
+            if not self._there(made):
+                made.createStatement().executeUpdate(f"CREATE TABLE {self.table} (source VARCHAR(255) NOT NULL PRIMARY KEY, mark VARCHAR(4000), updated_at TIMESTAMP)")
+            made.setAutoCommit(False)
+            try:
+                if not self._prepared(made, f"UPDATE {self.table} SET mark = ?, updated_at = CURRENT_TIMESTAMP WHERE source = ?", text, source).executeUpdate():
+                    self._prepared(made, f"INSERT INTO {self.table} (source, mark, updated_at) VALUES (?, ?, CURRENT_TIMESTAMP)", source, text).executeUpdate()
+                made.commit()
+            except Exception:
+                made.rollback()
+                raise

@@ -227,3 +227,45 @@ def read_evolved(spark: SparkSession, path: str, folders: T.StructType | None =
 def summary(df: DataFrame) -> dict[str, int]:
     """Files and bytes a scan would read, by the planner's own estimate."""
     return {"files": len(df.inputFiles()), "bytes": int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))}
+
+
+@dataclass(frozen=True)
+class Footers:
+    """Rows, and the least and largest value of columns, that are no nulls."""
+
+    rows: int
+    bounds: dict[str, tuple[Any, Any]]
+    pushed: bool
+
+
+def footer_bounds(spark: SparkSession, path: str, columns: Sequence[str] = (), where: Any = None) -> Footers:
+    """Row count and bounds of a dataset from its files' footers, without their rows.
+
+    Spark's Parquet reader takes such aggregates whole where columns are
+    numbers, booleans or dates (or name folders) and no filter is left over
+    (one on columns that name folders isn't); else, the same plan reads the
+    columns, and so it does where a file has nothing but nulls in one. ``pushed``
+    tells which it was.
+    """
+    own = spark.newSession()  # the reader that takes aggregates is chosen by settings, and others keep theirs
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    rec = record(spark, path)
+    reader = own.read.schema(rec.schema) if rec is not None and rec.uniform else own.read
+    made = [x for c in columns for x in (F.min(f"`{c}`"), F.max(f"`{c}`"))]
+
+    def asked(push: bool) -> DataFrame:
+        own.conf.set("spark.sql.parquet.aggregatePushdown", str(push).lower())
+        df = reader.parquet(path)
+        return (df if where is None else df.where(where)).agg(F.count(F.lit(1)), *made)
+
+    plan = asked(True)
+    pushed = "PushedAggregation: [COUNT" in plan._jdf.queryExecution().executedPlan().toString()
+    try:
+        n, *found = plan.first()
+    except Exception:
+        if not pushed:
+            raise
+        # a file all of whose values of a column are null has no bounds of it, which the reader takes for an error
+        pushed = False
+        n, *found = asked(False).first()
+    return Footers(n, {c: (found[2 * k], found[2 * k + 1]) for k, c in enumerate(columns)}, pushed)
