@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import plain as loops
 
 from tidewell.llm import near_dedup as nd
 from tidewell.llm import shingles as sh
@@ -162,3 +164,25 @@ def test_the_first_of_equal_rows_stays_whatever_the_partitions(spark):
     for parts in (1, 3, 7, 13):
         got = sorted((r.doc_id, r.other, r.tags) for r in nd.survivors(df.repartition(parts)).collect())
         assert got == [(7, 0, {"k": 39}), (9, 1, None)], parts
+
+
+def test_alignments_of_all_kinds_agree():
+    r = random.Random(12)
+    for k in range(300):
+        letters = r.choice([2, 5, 1000])
+        a = [r.randrange(letters) for _ in range(r.randrange(1, 60))]
+        b = [x for x in a if r.random() > 0.2] + [r.randrange(letters) for _ in range(r.randrange(1, 9))]
+        assert nd._run(a, b, 1000) == nd._packed(a, b, 1000) == loops.longest_common(a, b), k
+        for band in (0, 3, 20):
+            assert nd._run(a, b, band) == nd._packed(a, b, band)
+
+
+def test_long_near_copies_take_little_time():
+    r = random.Random(13)
+    words = [f"w{r.randrange(30_000)}" for _ in range(500_000)]
+    other = [f"v{k}" if r.random() < 0.01 else w for k, w in enumerate(words)]
+    a, b = nd._sequence(" ".join(words)), nd._sequence(" ".join(other))
+    start = time.process_time()
+    assert 0.9 < nd.aligned(a, b) < 0.95
+    assert time.process_time() - start < 20
+    assert nd.aligned(a, nd._sequence(" ".join(other[250_000:] + words[:250_000]))) == 0.0

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -107,8 +108,38 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return s if s >= similarity - 1e-12 else 0.0
 
 
+#: So many pairs of equal shingles a shingle are chained one by one; more, of texts that repeat themselves, a machine's word at a time.
+CHAINED = 16
+
+
 def _run(a: list[int], b: list[int], band: int) -> int:
-    """Longest common subsequence with partners at most ``band`` places apart, a bit a shingle."""
+    """Longest common subsequence with partners at most ``band`` places apart.
+
+    Pairs of equal shingles within the band are few where a text repeats little:
+    then the longest chain of them is found in time in proportion to their
+    number (and a logarithm), however long the texts.
+    """
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    if sum(len(places.get(x, ())) for x in a) > CHAINED * (len(a) + len(b)):
+        return _packed(a, b, band)
+    ends: list[int] = []  # the least last partner of a chain of each length
+    for i, x in enumerate(a):
+        for j in reversed(places.get(x, ())):
+            if j < i - band:
+                break
+            if j <= i + band:
+                k = bisect_left(ends, j)
+                if k == len(ends):
+                    ends.append(j)
+                else:
+                    ends[k] = j
+    return len(ends)
+
+
+def _packed(a: list[int], b: list[int], band: int) -> int:
+    """The same, a bit a shingle."""
     places: dict[int, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
