@@ -369,3 +369,9 @@ def test_attachments_are_loaded_together(spark):
     assert ty.union_widened(df, df.withColumn("x", F.lit(1)), columns="common").columns == ["id"]
     with pytest.raises(ty.SchemaValidationError):
         ty.union_widened(df, df.withColumn("x", F.lit(1)), columns="same")
+
+
+def test_polars_where_it_is_installed(spark):
+    polars = pytest.importorskip("polars")
+    got = Gateway(spark, spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")).load(id__gt=0, return_type="polars", df_options={"sort_field": "id"})
+    assert isinstance(got, polars.DataFrame) and got.rows() == [(1, "a"), (2, None)]

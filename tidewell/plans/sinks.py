@@ -219,14 +219,14 @@ class UpsertSink:
             if not df.groupBy(*self.keys).count().where("count > 1").isEmpty():
                 raise ValueError("several rows of one key")
             if overwrite or not hadoop.listed(self.spark, path, ".parquet"):
-                return ParquetSink(self.spark, path, self.partition_on).write(df)
+                return ParquetSink(self.spark, path, self.partition_on).write(self._gathered(df))
             folders = T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.partition_on])
             old, uniform = files.read_dataset(self.spark, path, folders), files.current(self.spark, path, folders).uniform
             same = check_widening(df.schema, old.schema) == T.StructType([T.StructField(f.name, f.dataType) for f in old.schema])
             if self.partition_on and uniform and same and set(df.columns) == set(old.columns):
                 return self._replace(df, old, path, fresh)
             merged = ty.union_widened(self._without(old, df), df, stringify=False)
-            return ParquetSink(self.spark, path, self.partition_on).write(merged)
+            return ParquetSink(self.spark, path, self.partition_on).write(self._gathered(merged))
         finally:
             hadoop.delete(self.spark, fresh)
 
@@ -242,18 +242,23 @@ class UpsertSink:
         touched = self.spark.read.schema(touched.schema).parquet(f"{fresh}/parts")
         places = old.select(*parts, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
         places = places.join(touched, _all([places[c].eqNullSafe(touched[c]) for c in parts]), "left_semi").select("_folder").distinct()
-        before = {hadoop.below(self.spark, path, r[0], uri=True) for r in places.collect()}  # as many as partitions are touched
+        before = set(hadoop.below(self.spark, path, [r[0] for r in places.collect()], uri=True))  # as many as partitions are touched
         # only their folders are read
         own = [hadoop.joined(self.spark, path, x) for x in sorted(before)]
         some = self.spark.read.schema(old.schema).option("basePath", path).parquet(*own) if own else old.limit(0)
         staged = f"{fresh}/staged"
-        ParquetSink(self.spark, staged, parts)._save(self._without(some, df).unionByName(df), staged, "errorifexists")
-        now = {f.rsplit("/", 1)[0] for f in (hadoop.below(self.spark, staged, x) for x in hadoop.listed(self.spark, staged, ".parquet"))}
+        ParquetSink(self.spark, staged, parts)._save(self._gathered(self._without(some, df).unionByName(df)), staged, "errorifexists")
+        now = {f.rsplit("/", 1)[0] for f in hadoop.below(self.spark, staged, hadoop.listed(self.spark, staged, ".parquet"))}
         for folder in sorted(now):
             hadoop.swap(self.spark, f"{staged}/{folder}", f"{path}/{folder}")
         for folder in sorted(before - now):  # all its rows went to other partitions
             hadoop.delete(self.spark, f"{path}/{folder}")
-        return SinkResult(path, tuple(f for f in hadoop.listed(self.spark, path, ".parquet") if hadoop.below(self.spark, path, f).rsplit("/", 1)[0] in now))
+        files_ = hadoop.listed(self.spark, path, ".parquet")
+        return SinkResult(path, tuple(f for f, own in zip(files_, hadoop.below(self.spark, path, files_), strict=True) if own.rsplit("/", 1)[0] in now))
+
+    def _gathered(self, df: DataFrame) -> DataFrame:
+        """Rows of a partition together, but for large ones, which are split again: few files, and no task with most rows."""
+        return df.hint("rebalance", *self.partition_on) if self.partition_on else df
 
 
 # ------------------------------------------------------------------ registry

@@ -38,7 +38,8 @@ class Record:
 
 
 def record(spark: SparkSession, path: str) -> Record | None:
-    text = hadoop.read_text(spark, f"{path.rstrip('/')}/{RECORD}")
+    # below a file some file systems take such a question for an error
+    text = hadoop.read_text(spark, f"{path.rstrip('/')}/{RECORD}") if hadoop.is_folder(spark, path) else None
     if text is None:
         return None
     found = json.loads(text)

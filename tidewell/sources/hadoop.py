@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +20,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
@@ -78,43 +85,47 @@ def swap(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(aside, True)
 
 
+def _data(name: str, suffix: str) -> bool:
+    own = name.rsplit("/", 1)[-1]
+    return own.endswith(suffix) and not own.startswith(("_", "."))
+
+
 def listed(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """The full names of data files below a folder."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
     found, it = [], fs.listFiles(p, True)
     while it.hasNext():
-        name = it.next().getPath()
-        if name.getName().endswith(suffix) and not name.getName().startswith(("_", ".")):
-            found.append(name.toString())
-    return sorted(found)
+        found.append(it.next().getPath().toString())
+    return sorted(f for f in found if _data(f, suffix))
 
 
 def newer(spark: SparkSession, path: str, suffix: str, than: int) -> tuple[list[str], int]:
     """Data files below a folder that changed after a time (milliseconds), and the time of the newest of all."""
     fs, p = _fs(spark, path)
-    found, newest = [], 0
+    found = []
     if fs.exists(p):
         it = fs.listFiles(p, True)
         while it.hasNext():
             status = it.next()
-            name, at = status.getPath(), status.getModificationTime()
-            if name.getName().endswith(suffix) and not name.getName().startswith(("_", ".")):
-                newest = max(newest, at)
-                if at > than:
-                    found.append(name.toString())
-    return sorted(found), newest
+            found.append((status.getPath().toString(), status.getModificationTime()))
+    found = [(f, at) for f, at in found if _data(f, suffix)]
+    return sorted(f for f, at in found if at > than), max((at for _, at in found), default=0)
 
 
-def below(spark: SparkSession, path: str, name: str, *, uri: bool = False) -> str:
-    """The part of a file's or folder's full name (or URI, whose letters may be escaped) after the folder ``path``."""
+def below(spark: SparkSession, path: str, names: list[str], *, uri: bool = False) -> list[str]:
+    """The parts of files' or folders' full names (or URIs, whose letters may be escaped) after the folder ``path``."""
     fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    own = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name) if uri else name)
-    base, full = (fs.makeQualified(x).toUri().getPath() for x in (p, own))
-    if not full.startswith(base.rstrip("/") + "/"):
-        raise ValueError(f"{name} is not below {path}")
-    return full[len(base.rstrip("/")) + 1 :]
+    base = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/"
+    out = []
+    for name in names:
+        full = re.sub(r"^[A-Za-z][\w+.-]*:(?://[^/]*)?", "", name)
+        full = unquote(full) if uri else full
+        if not full.startswith(base):
+            raise ValueError(f"{name} is not below {path}")
+        out.append(full[len(base) :])
+    return out
 
 
 def joined(spark: SparkSession, path: str, name: str) -> str:

@@ -72,8 +72,9 @@ class BatchSink:
         staged = f"{path}.{name}staged"
         hadoop.delete(spark, staged)
         ParquetSink(spark, staged, self.sink.partition_on, date_field=self.sink.date_field).write(df)
-        for k, f in enumerate(hadoop.listed(spark, staged, ".parquet")):
-            folder = hadoop.below(spark, staged, f).rpartition("/")[0]
+        made = hadoop.listed(spark, staged, ".parquet")
+        for k, (f, own) in enumerate(zip(made, hadoop.below(spark, staged, made), strict=True)):
+            folder = own.rpartition("/")[0]
             hadoop.moved(spark, f, f"{path}/{folder + '/' if folder else ''}{name}{k:05d}.parquet")
         self.sink._noted(files.read_dataset(spark, staged), path, old)
         hadoop.delete(spark, staged)
