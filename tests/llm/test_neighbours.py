@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewell.llm import neighbours as nn
 
@@ -87,3 +88,14 @@ def test_doubles_are_ranked_as_doubles(spark):
     far = lambda v: float(np.sqrt(((np.array(v) - np.array(base)) ** 2).sum()))
     want = sorted((far(v), k) for k, v in rows if k)[:10]
     assert [k for k, _ in got] == [k for _, k in want] and [s for _, s in got] == [d for d, _ in want]
+
+
+def test_clashing_columns_and_their_types_change_nothing(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(k), r.normal(size=4).astype(np.float32).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    odd = df
+    for name, value in {"query_id": "x", "rank": "y", "score": "z", "id": 1, "_id": 2, "codes": None, "norm": [1.0], "v": "w", "h": 0, "label": 3}.items():
+        odd = odd.withColumn(name, F.array(F.lit(1.0)) if isinstance(value, list) else F.lit(value))
+    key = lambda d: sorted(tuple(x)[:4] for x in nn.search(d, d.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score").collect())
+    assert key(odd.repartition(3)) == key(df) and len(key(df)) == 30
