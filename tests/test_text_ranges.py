@@ -35,6 +35,15 @@ def test_a_table_in_parts(spark, monkeypatch):
     assert sum(map(len, held)) == len(set(keys)) and all(held)
 
 
+def test_more_partitions_than_parts(spark):
+    database = embedded.Database(spark)
+    rows = spark.range(70).selectExpr("lpad(cast(id as string), 3, '0') as code").repartitionByRange(7, "code")
+    tables = database.load_parts(rows, "codes", '"code" VARCHAR(20)', "code", 3)
+    url = database.published()
+    held = [sorted(r.code for r in jdbc.JdbcSource(url, table=t).read(spark).collect()) for t in tables]
+    assert len(held) == 3 and sum(held, []) == [f"{k:03d}" for k in range(70)]
+
+
 def test_parts_of_no_rows(spark):
     source = embedded.parted(spark, spark.createDataFrame([], "code string, n int"), "codes", '"code" VARCHAR(20), "n" INT', "code", chunk=40)
     assert len(source.parts) == 1 and source.read(spark).collect() == []
